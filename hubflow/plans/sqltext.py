@@ -91,3 +91,13 @@ corr as (select source_center, destination_center, median(computed_delay_ratio)
 labels as (select hub, first(name order by side, row_ord) as label from (
   select source_center hub, source_name name, 0 side, row_ord from audit
   union all select destination_center, destination_name, 1, row_ord from audit) group by hub)"""
+
+TRIP_VIEW_COLUMNS = ["data", "trip_creation_time", "route_type", "trip_uuid", "source_center", "source_name",
+                     "destination_center", "destination_name", "start_scan_to_end_scan", "is_cutoff",
+                     "cutoff_factor", "actual_distance_to_destination", "actual_time", "osrm_time",
+                     "osrm_distance", "factor", "segment_actual_time", "segment_osrm_time",
+                     "segment_osrm_distance", "segment_factor", "row_ord"]
+
+NONULL = TRIPS + """,
+nonull as (select * from trips where source_center is not null and destination_center is not null
+  and actual_time is not null and osrm_time is not null)"""
