@@ -26,3 +26,20 @@ def training(spark: SparkSession, sf: str) -> DataFrame:
 def r10(df: DataFrame, *cols: str) -> DataFrame:
     """Round interpolated / non-dyadic statistics to 10 places for exact comparison."""
     return df.withColumns({c: F.round(F.col(c), 10) for c in cols})
+
+
+_MEMO: dict = {}
+
+
+def memo(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
+    """Materialise a shared intermediate table once per session and scale factor.
+
+    The table is written to the session's reliable checkpoint folder, so later
+    queries (and recomputation after an executor loss) read it back instead of
+    re-running its plan.
+    """
+    from hubflow.session import cut_lineage
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _MEMO:
+        _MEMO[key] = cut_lineage(build())
+    return _MEMO[key]

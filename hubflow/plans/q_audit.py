@@ -19,9 +19,16 @@ def audited(spark, sf):
 def graph_of(spark, sf):
     """Hub and corridor tables, materialised once (small next to the trips;
     every graph operator reads them several times)."""
-    from hubflow.session import cut_lineage
-    v, e = A.corridor_graph(audited(spark, sf))
-    return cut_lineage(v), cut_lineage(e)
+    from hubflow.plans.common import memo
+    v = memo(spark, sf, "audit_vertices", lambda: A.corridor_graph(audited(spark, sf))[0])
+    e = memo(spark, sf, "audit_edges", lambda: A.corridor_graph(audited(spark, sf))[1])
+    return v, e
+
+
+def metrics_of(spark, sf):
+    """Hub metric table (betweenness included), materialised once per session."""
+    from hubflow.plans.common import memo
+    return memo(spark, sf, "node_metrics", lambda: A.node_metrics(*graph_of(spark, sf)))
 
 
 # Brandes betweenness in SQL (min-plus squaring + recursive path counts), tie-aware.
@@ -178,8 +185,7 @@ select facility_id, label, round(betweenness_centrality, 10) as betweenness_cent
   round(in_degree_centrality, 10) as in_degree_centrality, round(out_degree_centrality, 10) as out_degree_centrality,
   round(degree_asymmetry, 10) as degree_asymmetry, weighted_in_strength, weighted_out_strength from metrics""")
 def q_node_metrics(spark, sf):
-    v, e = graph_of(spark, sf)
-    return r10(A.node_metrics(v, e), *_METRIC_COLS)
+    return r10(metrics_of(spark, sf), *_METRIC_COLS)
 
 
 @query("chronic_corridors", f"""with {S.AUDIT}{CHRONIC_SQL}
@@ -210,7 +216,7 @@ def q_minmax(spark, sf):
 
 def _ranked(spark, sf):
     v, e = graph_of(spark, sf)
-    metrics = A.node_metrics(v, e)
+    metrics = metrics_of(spark, sf)
     chronic = A.chronic_corridors(e, v)
     return v, e, metrics, chronic, A.rank_facilities(chronic, metrics, top_n=10)
 
@@ -269,5 +275,5 @@ select round(quantile_cont(betweenness_centrality, 0.90), 10) as bc_p90,
 from metrics""")
 def q_calibrate(spark, sf):
     v, e = graph_of(spark, sf)
-    metrics = A.node_metrics(v, e)
+    metrics = metrics_of(spark, sf)
     return r10(A.calibrate_thresholds(metrics, A.chronic_corridors(e, v)), "bc_p90", "bc_p95", "bc_max")

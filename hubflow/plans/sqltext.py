@@ -101,3 +101,6 @@ TRIP_VIEW_COLUMNS = ["data", "trip_creation_time", "route_type", "trip_uuid", "s
 NONULL = TRIPS + """,
 nonull as (select * from trips where source_center is not null and destination_center is not null
   and actual_time is not null and osrm_time is not null)"""
+
+FEAT_TAIL = FEAT[len(TRIPS):]
+EDGES_TAIL = EDGES[len(TRIPS):]
