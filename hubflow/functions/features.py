@@ -12,7 +12,7 @@ from hubflow.schema import TIER_EDGES, TIER_LABELS, TOD_EDGES, TOD_IS_PEAK, TOD_
 
 __all__ = ["add_temporal", "tod_label", "tod_code", "add_time_of_day", "add_ratios",
            "route_code_model", "route_code_graph", "centrality_tier", "is_peak_tod",
-           "row_id", "signed_pct_error", "add_features", "clean_features"]
+           "row_id", "signed_pct_error", "add_features", "clean_features", "model_preprocess"]
 
 
 def add_temporal(df: DataFrame, ts: str = "trip_creation_time", month: bool = True) -> DataFrame:
@@ -104,3 +104,19 @@ def signed_pct_error(actual: Column, estimate: Column, lo=-50.0, hi=200.0) -> Co
     """(actual - estimate) / estimate * 100 clipped to [lo, hi]."""
     e = F.try_divide(actual - estimate, estimate) * 100.0
     return F.greatest(F.least(e, F.lit(hi)), F.lit(lo))
+
+
+def model_preprocess(df: DataFrame, order: str = "row_ord") -> DataFrame:
+    """Model-stage preprocess: null drop (ids, target, estimate, timestamp), five-rule mask,
+    temporal ints, route code (FTL 0 / Carting 1 / other -1), int cutoff flag,
+    fallback trip id, model vocabulary."""
+    from hubflow.functions.cleaning import model_clean
+    from hubflow.sources.trips import rename_to_model
+    t = add_temporal(model_clean(df), month=False)
+    t = t.withColumns({
+        "is_weekend": F.col("is_weekend").cast("int"),
+        "route_type": route_code_model(F.col("route_type")),
+        "is_cutoff": F.col("is_cutoff").cast("int"),
+        "trip_uuid": row_id(F.col("trip_uuid"), F.col(order)),
+    })
+    return rename_to_model(t)

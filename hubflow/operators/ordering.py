@@ -5,7 +5,8 @@ partition, counts rows per partition (one tiny row per partition), turns the
 counts into offsets and adds the in-partition index.  Rows never leave their
 partition; only the per-partition counts (bounded by the partition count)
 are combined.  With a total order (tie key included) the result is
-deterministic and survives recomputation after executor loss.
+deterministic and survives recomputation after executor loss (the indexed
+rows are checkpointed, so a lost task re-reads them instead of re-sampling).
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from hubflow.session import cut_lineage
+
 _LOW33 = (1 << 33) - 1
 
 
@@ -22,9 +25,13 @@ def global_position(df: DataFrame, order_cols, pos_col: str = "pos",
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     cols = [F.col(c) if isinstance(c, str) else c for c in order_cols]
-    ranged = (df.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
-              .withColumn("__pid", F.spark_partition_id())
-              .withColumn("__idx", F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW33))))
+    # Range bounds come from a sample of the input; the input's row order after
+    # a shuffle is not deterministic, so the partitioned + indexed rows are
+    # written once to the reliable checkpoint folder and both the per-partition
+    # counts and the final rows read that same copy.
+    ranged = cut_lineage(df.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
+                         .withColumn("__pid", F.spark_partition_id())
+                         .withColumn("__idx", F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW33))))
     counts = ranged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__cnt"))
     offsets = counts.select(
         "__pid",

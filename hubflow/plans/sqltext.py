@@ -104,3 +104,37 @@ nonull as (select * from trips where source_center is not null and destination_c
 
 FEAT_TAIL = FEAT[len(TRIPS):]
 EDGES_TAIL = EDGES[len(TRIPS):]
+
+MODEL = TRIPS + """,
+mp as (select trip_uuid as trip_id, source_center as source_hub_id, destination_center as dest_hub_id,
+  actual_time as actual_eta, osrm_time as osrm_predicted_eta, actual_distance_to_destination as distance_km,
+  osrm_distance as osrm_distance_km, trip_creation_time, factor as delay_factor,
+  cast(hour(trip_creation_time) as integer) as hour_of_day,
+  cast(isodow(trip_creation_time) - 1 as integer) as day_of_week,
+  cast(isodow(trip_creation_time) in (6, 7) as integer) as is_weekend,
+  cast(is_cutoff as integer) as is_cutoff,
+  cast(case route_type when 'FTL' then 0 when 'Carting' then 1 else -1 end as integer) as route_type,
+  start_scan_to_end_scan, row_ord
+  from trips where source_center is not null and destination_center is not null and actual_time is not null
+  and osrm_time is not null and trip_creation_time is not null and factor >= 0.2 and factor <= 10.0
+  and actual_time >= 1.0 and osrm_time >= 1.0 and actual_distance_to_destination >= 0.1),
+sp as (select *, row_number() over (order by trip_creation_time, row_ord) - 1 as pos, count(*) over () as n from mp),
+split as (select *, case when pos < floor(n * 0.8) then 'train' else 'test' end as split from sp),
+tr as (select * from split where split = 'train'),
+te as (select * from split where split = 'test'),
+gm as (select median(actual_eta / osrm_predicted_eta) as g from tr),
+cm as (select source_hub_id, dest_hub_id, median(actual_eta / osrm_predicted_eta) as r from tr group by 1, 2),
+pred as (
+  select 'router' as model, row_ord, actual_eta, osrm_predicted_eta as predicted_eta, osrm_predicted_eta from te
+  union all select 'global_median', row_ord, actual_eta, g * osrm_predicted_eta, osrm_predicted_eta from te, gm
+  union all select 'corridor_median', te.row_ord, actual_eta, coalesce(cm.r, gm.g) * osrm_predicted_eta,
+    osrm_predicted_eta from te cross join gm left join cm using (source_hub_id, dest_hub_id)),
+met as (select model, count(*) as n_samples, avg(abs(predicted_eta - actual_eta)) as mae,
+  sqrt(avg((predicted_eta - actual_eta) * (predicted_eta - actual_eta))) as rmse,
+  avg(abs(predicted_eta - actual_eta) / abs(actual_eta)) * 100 as mape,
+  avg(case when abs(predicted_eta - actual_eta) <= 0.15 * abs(actual_eta) then 1.0 else 0.0 end) * 100 as sla_adherence,
+  avg(abs(osrm_predicted_eta - actual_eta)) as router_mae,
+  sqrt(avg((osrm_predicted_eta - actual_eta) * (osrm_predicted_eta - actual_eta))) as router_rmse,
+  avg(case when abs(osrm_predicted_eta - actual_eta) <= 0.15 * abs(actual_eta) then 1.0 else 0.0 end) * 100
+    as router_sla_adherence
+  from pred group by 1)"""
