@@ -68,8 +68,10 @@ def draw_params(n: int, seed: int = 42, space: dict = SEARCH_SPACE) -> list[dict
 
 def gbt_pipeline(features, label: str = TARGET, params: dict | None = None, seed: int = 42,
                  vector_cols=()) -> Pipeline:
+    # NULL scalars are kept (trees route them); vector inputs are never NULL
+    # (unknown hubs get the zero vector) and their width comes from the data.
     assembler = VectorAssembler(inputCols=list(features) + list(vector_cols), outputCol="features",
-                                handleInvalid="keep")
+                                handleInvalid="error" if vector_cols else "keep")
     gbt = GBTRegressor(featuresCol="features", labelCol=label, predictionCol="predicted_eta", seed=seed,
                        lossType="squared", maxBins=64)
     if params:

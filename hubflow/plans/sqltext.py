@@ -138,3 +138,26 @@ met as (select model, count(*) as n_samples, avg(abs(predicted_eta - actual_eta)
   avg(case when abs(osrm_predicted_eta - actual_eta) <= 0.15 * abs(actual_eta) then 1.0 else 0.0 end) * 100
     as router_sla_adherence
   from pred group by 1)"""
+
+# unrounded hub features of training rows, appended after FEAT
+HUBS_TAIL = """,
+tr0 as (select * from feat where data = 'training'),
+ob as (select source_center as hub_id, count(trip_uuid) as outbound_trips,
+  median(delay_ratio) as avg_congestion_factor, quantile_cont(delay_ratio, 0.75) as p75_delay_ratio,
+  stddev_samp(delay_ratio) as std_delay_ratio, avg(cast(is_cutoff as double)) as cutoff_rate,
+  median(start_scan_to_end_scan) as avg_dwell_time_min, median(log_dwell_time) as log_dwell_time,
+  count(distinct destination_center) as unique_destinations,
+  count(*) filter (where route_type = 'FTL') as ftl_count,
+  median(delay_ratio) filter (where is_weekend) - median(delay_ratio) filter (where not is_weekend)
+    as weekend_congestion_delta from tr0 group by 1),
+ib as (select destination_center as hub_id, count(trip_uuid) as inbound_trips,
+  count(distinct source_center) as unique_sources from tr0 group by 1),
+hubs as (select coalesce(ob.hub_id, ib.hub_id) as hub_id, coalesce(outbound_trips, 0) as outbound_trips,
+  coalesce(avg_congestion_factor, 0) as avg_congestion_factor, coalesce(p75_delay_ratio, 0) as p75_delay_ratio,
+  coalesce(std_delay_ratio, 0) as std_delay_ratio, coalesce(cutoff_rate, 0) as cutoff_rate,
+  coalesce(avg_dwell_time_min, 0) as avg_dwell_time_min, coalesce(log_dwell_time, 0) as log_dwell_time,
+  coalesce(unique_destinations, 0) as unique_destinations, ftl_count,
+  coalesce(ftl_count * 1.0 / outbound_trips, 0) as ftl_ratio,
+  coalesce(weekend_congestion_delta, 0) as weekend_congestion_delta,
+  coalesce(inbound_trips, 0) as inbound_trips, coalesce(unique_sources, 0) as unique_sources
+  from ob full outer join ib on ob.hub_id = ib.hub_id)"""

@@ -148,7 +148,7 @@ def hub_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     Every vector row is mapped; ids without a matching hub simply never join.
     """
     emb = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    return (emb.select(_hub(F.col("vec_id")).alias("hub_id"),
+    return (emb.select(F.format_string("HUB%02d", F.col("vec_id")).alias("hub_id"),
                     F.transform("embedding", lambda x: x.cast("double")).alias("embedding")))
 
 
