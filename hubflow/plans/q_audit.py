@@ -277,3 +277,18 @@ def q_calibrate(spark, sf):
     v, e = graph_of(spark, sf)
     metrics = metrics_of(spark, sf)
     return r10(A.calibrate_thresholds(metrics, A.chronic_corridors(e, v)), "bc_p90", "bc_p95", "bc_max")
+
+
+@query("corridor_labels", f"""with {S.AUDIT}{CHRONIC_SQL}
+select source_id, destination_id, concat(left(source_label, 12), ' → ', left(destination_label, 12)) as corridor,
+  left(source_label, 20) as source_short, upper(source_label) like '%A%' as label_has_a
+from chronic order by breach_severity_score desc, source_id, destination_id limit 15""")
+def q_corridor_labels(spark, sf):
+    """Chart labels of the 15 most severe chronic corridors (slice, concat, upper/contains)."""
+    v, e = graph_of(spark, sf)
+    c = A.chronic_corridors(e, v).orderBy(F.desc("breach_severity_score"), "source_id", "destination_id").limit(15)
+    return c.select("source_id", "destination_id",
+                    F.concat(F.substring("source_label", 1, 12), F.lit(" → "),
+                             F.substring("destination_label", 1, 12)).alias("corridor"),
+                    F.substring("source_label", 1, 20).alias("source_short"),
+                    F.upper("source_label").contains("A").alias("label_has_a"))

@@ -154,3 +154,24 @@ union all select 'multigraph_out_degree', k, count(*) from m group by 1, 2""")
 def q_degree_hist(spark, sf):
     feat = features(spark, sf)
     return H.degree_hist(feat, C.edge_weights(feat.filter(F.col("data") == "training")))
+
+
+@query("hub_weekend_pivot", f"""with {S.FEAT}
+select source_center as hub_id, median(delay_ratio) filter (where not is_weekend) as weekday_factor,
+  median(delay_ratio) filter (where is_weekend) as weekend_factor
+from feat where data = 'training' group by 1""")
+def q_hub_weekend_pivot(spark, sf):
+    return (training(spark, sf).groupBy(F.col("source_center").alias("hub_id"))
+            .pivot("is_weekend", [False, True]).agg(F.median("delay_ratio"))
+            .withColumnRenamed("false", "weekday_factor").withColumnRenamed("true", "weekend_factor"))
+
+
+@query("hub_member_trips", f"""with {S.FEAT}{S.HUBS_TAIL}
+select count(*) as trips, count(*) filter (where source_center in (select hub_id from hubs)
+  and destination_center in (select hub_id from hubs)) as member_trips from feat""")
+def q_hub_member_trips(spark, sf):
+    from hubflow.functions.cleaning import hub_members
+    f = features(spark, sf)
+    hubs = H.hub_features(training(spark, sf))
+    return (f.agg(F.count(F.lit(1)).alias("trips"))
+            .crossJoin(hub_members(f, hubs).agg(F.count(F.lit(1)).alias("member_trips"))))

@@ -201,3 +201,35 @@ def q_importances(spark, sf):
 def q_learning_curve(spark, sf):
     model, tr, te = gbt_model(spark, sf)
     return ML.learning_curve(model, tr, te)
+
+
+@query("fold_summary", f"""with {S.MODEL},
+t as (select row_ord, row_number() over (order by trip_creation_time, row_ord) - 1 as pos, count(*) over () as n
+  from tr),
+f as (select pos, case when pos >= n - floor(n / 6) * 5 then cast(floor((pos - (n - floor(n / 6) * 5)) / floor(n / 6))
+  as integer) end as test_fold from t)
+select test_fold, count(*) as test_rows, min(pos) as test_start, min(pos) as train_rows from f
+where test_fold is not null group by 1""")
+def q_fold_summary(spark, sf):
+    tr = split_table(spark, sf).filter(F.col("split") == "train").drop("pos", "split")
+    return SP.fold_summary(SP.expanding_folds(tr, k=5))
+
+
+@query("chrono_sorted", f"with {S.MODEL} select row_ord, trip_creation_time from mp order by trip_creation_time, row_ord")
+def q_chrono_sorted(spark, sf):
+    return prepped(spark, sf).select("row_ord", "trip_creation_time").orderBy("trip_creation_time", "row_ord")
+
+
+# driver-sized search space (the operator default is the full published space)
+SMALL_SPACE = {"n_estimators": (8, 16), "learning_rate": (0.05, 0.20), "max_depth": (3, 6),
+               "subsample": (0.6, 1.0), "colsample_bytree": (0.5, 1.0), "min_child_weight": (1, 10)}
+
+
+@query("gbt_search")
+def q_gbt_search(spark, sf):
+    """Random search: 2 seeded draws scored on 2 expanding folds, best refit, test predictions."""
+    tr, te = encoded(spark, sf)
+    folds = SP.expanding_folds(tr, k=2)
+    model = ML.fit_eta_model(tr, ML.feature_columns(), draws=ML.draw_params(2, seed=42, space=SMALL_SPACE),
+                             folds=folds)
+    return M.regression_metrics(ML.predict(model, te, keep=("row_ord",)).withColumn("model", F.lit("gbt_search")))
