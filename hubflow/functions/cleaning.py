@@ -15,21 +15,29 @@ from pyspark.sql import functions as F
 from hubflow.schema import (CRITICAL_COLUMNS, LOWER_FACTOR, MIN_DIST_KM, MIN_TIME_MIN,
                             UPPER_FACTOR)
 
-__all__ = ["EDA_RULES", "MODEL_RULES", "null_audit", "drop_critical_nulls", "keep_mask",
+__all__ = ["EDA_RULES", "MODEL_RULES", "rule_predicate", "null_audit", "drop_critical_nulls", "keep_mask",
            "apply_rules", "rule_breakdown", "drop_report", "positive_times", "dedup_first",
            "clip", "clean_trips", "model_clean", "finite_only", "hub_members"]
 
 # FIXED VALUES — rule labels and bounds of the six-rule EDA mask
-EDA_RULES: list[tuple[str, Column]] = [
-    ("actual_time < 1 min", F.col("actual_time") >= MIN_TIME_MIN),
-    ("osrm_time < 1 min", F.col("osrm_time") >= MIN_TIME_MIN),
-    ("factor < 0.2 (too fast)", F.col("factor") >= LOWER_FACTOR),
-    ("factor > 10 (implausible)", F.col("factor") <= UPPER_FACTOR),
-    ("segment_factor < 0 (error)", F.col("segment_factor") >= 0),
-    ("distance <= 0.1 km", F.col("actual_distance_to_destination") >= MIN_DIST_KM),
+# (label, column, comparison that KEEPS the row, bound)
+EDA_RULES: list[tuple[str, str, str, float]] = [
+    ("actual_time < 1 min", "actual_time", ">=", MIN_TIME_MIN),
+    ("osrm_time < 1 min", "osrm_time", ">=", MIN_TIME_MIN),
+    ("factor < 0.2 (too fast)", "factor", ">=", LOWER_FACTOR),
+    ("factor > 10 (implausible)", "factor", "<=", UPPER_FACTOR),
+    ("segment_factor < 0 (error)", "segment_factor", ">=", 0.0),
+    ("distance <= 0.1 km", "actual_distance_to_destination", ">=", MIN_DIST_KM),
 ]
 # Five-rule variant of the model preprocess (no segment_factor rule).
-MODEL_RULES = [r for r in EDA_RULES if not r[0].startswith("segment_factor")]
+MODEL_RULES = [r for r in EDA_RULES if r[1] != "segment_factor"]
+
+
+def rule_predicate(rule) -> Column:
+    """Keep-predicate of one rule (NULL compares as not kept)."""
+    _, col, op, bound = rule
+    c = F.col(col)
+    return {">=": c >= bound, ">": c > bound, "<=": c <= bound, "<": c < bound}[op]
 
 
 def null_audit(df: DataFrame) -> DataFrame:
@@ -50,7 +58,7 @@ def drop_critical_nulls(df: DataFrame, cols=CRITICAL_COLUMNS) -> DataFrame:
 
 def keep_mask(rules=EDA_RULES) -> Column:
     """AND of all keep predicates; NULL compares as not kept."""
-    return reduce(lambda a, b: a & b, [p for _, p in rules])
+    return reduce(lambda a, b: a & b, [rule_predicate(r) for r in rules])
 
 
 def apply_rules(df: DataFrame, rules=EDA_RULES) -> DataFrame:
@@ -59,8 +67,8 @@ def apply_rules(df: DataFrame, rules=EDA_RULES) -> DataFrame:
 
 def rule_breakdown(df: DataFrame, rules=EDA_RULES) -> DataFrame:
     """Rows violating each rule (overlapping), single aggregate + unpivot."""
-    wide = df.agg(*[F.count_if(~p).alias(f"r{i}") for i, (_, p) in enumerate(rules)])
-    stack = ", ".join(f"'{name}', r{i}" for i, (name, _) in enumerate(rules))
+    wide = df.agg(*[F.count_if(~rule_predicate(r)).alias(f"r{i}") for i, r in enumerate(rules)])
+    stack = ", ".join(f"'{r[0]}', r{i}" for i, r in enumerate(rules))
     return wide.selectExpr(f"stack({len(rules)}, {stack}) as (rule, rows_hit)")
 
 

@@ -175,3 +175,15 @@ def q_hub_member_trips(spark, sf):
     hubs = H.hub_features(training(spark, sf))
     return (f.agg(F.count(F.lit(1)).alias("trips"))
             .crossJoin(hub_members(f, hubs).agg(F.count(F.lit(1)).alias("member_trips"))))
+
+
+@query("most_delayed_pairs", f"""with {S.FEAT}
+select source_center, destination_center, median(delay_ratio) as edge_weight, count(trip_uuid) as trip_count,
+  median(actual_distance_to_destination) as median_dist_km
+from feat where data = 'training' group by 1, 2 having count(trip_uuid) >= 20
+order by edge_weight desc, source_center, destination_center limit 10""")
+def q_most_delayed_pairs(spark, sf):
+    """Flagship: corridor (src, dst) edge weights on training trips, ten most delayed with ≥ 20 trips."""
+    e = C.edge_weights(training(spark, sf), keys=C.CORRIDOR)
+    return C.most_delayed(e, min_trips=20, top=10).select(
+        "source_center", "destination_center", "edge_weight", "trip_count", "median_dist_km")

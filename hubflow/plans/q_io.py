@@ -140,3 +140,22 @@ def q_group_clip(spark, sf):
     return w.groupBy("route_type").agg(F.round(F.max("clipped"), 10).alias("cap"),
                                        F.count_if(F.col("__capped")).alias("rows_clipped"),
                                        F.round(F.max("clipped"), 10).alias("max_after"))
+
+
+@query("stream_ingest", f"""with {S.FEAT}
+select data, count(*) as rows, sum(actual_time) as total_actual_time, count(distinct time_of_day) as buckets
+from feat group by 1""")
+def q_stream_ingest(spark, sf):
+    """Shards land as CSV; a Structured Streaming query cleans them into parquet (available-now trigger)."""
+    from hubflow.streaming import clean_trip_stream, start_parquet_sink
+    t = trips(spark, sf)
+    full = t.select(*[F.col(f.name) if f.name in t.columns else F.lit(None).cast(f.dataType).alias(f.name)
+                      for f in TRIP_SCHEMA.fields])
+    base = sinks.artifact_dir(spark, "stream")
+    for split in ("training", "test"):
+        sinks.write_csv(full.filter(F.col("data") == split), f"{base}/landing/data_part_{split}.csv")
+    q = start_parquet_sink(clean_trip_stream(spark, f"{base}/landing"), f"{base}/clean", f"{base}/_checkpoint")
+    q.awaitTermination()
+    out = spark.read.parquet(f"{base}/clean")
+    return out.groupBy("data").agg(F.count(F.lit(1)).alias("rows"), F.sum("actual_time").alias("total_actual_time"),
+                                   F.countDistinct("time_of_day").alias("buckets"))
