@@ -12,6 +12,7 @@ from hubflow.operators.corridors import corridor_edges
 from hubflow.operators.hubs import hub_labels
 from hubflow.operators.ordering import exact_quantile
 from hubflow.schema import ROUTING_COLUMNS, SLA_THRESHOLD, WINSOR_Q
+from hubflow.session import cut_lineage
 from hubflow.sources.trips import coerce_numeric
 
 
@@ -24,6 +25,8 @@ def winsorise(df: DataFrame, col: str, q: float = WINSOR_Q, by: str | None = Non
     """
     out = out or col
     if by is None:
+        # the input is read twice (quantile, then the capped rows): write it once
+        df = cut_lineage(df)
         cap = exact_quantile(df, col, q).withColumnRenamed("q", "__cap")
         j = df.crossJoin(F.broadcast(cap))
     else:

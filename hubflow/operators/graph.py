@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hubflow.schema import BETWEENNESS_EXACT_MAX, BETWEENNESS_PIVOTS, SLA_THRESHOLD
-from hubflow.session import cut_lineage
+from hubflow.session import cut_lineage, materialize_round
 
 
 def vertices_of(edges: DataFrame, src="src", dst="dst", extra: DataFrame | None = None) -> DataFrame:
@@ -162,32 +162,31 @@ def betweenness(edges: DataFrame, vertices: DataFrame | None = None, weight: str
     """Betweenness centrality of every vertex, directed, weighted, 1/((n-1)(n-2)).
 
     1. single-source distances from every pivot: frontier Bellman–Ford
-       (join frontier ⋈ edges, min per (s, v));
-    2. shortest-path DAG: edges with d(s,u) + w = d(s,v);
-    3. path counts σ(s,v) and dependencies δ(s,v) as fixed points over the DAG;
+       (frontier ⋈ corridors, min per (s, v)), one job per round;
+    2. shortest-path DAG: corridors with d(s,u) + w = d(s,v);
+    3. DAG height per (s, v) (integer fixed point) gives the number of rounds
+       for path counts σ (forward) and dependencies δ (backward);
     4. BC(v) = scale · Σ_s δ(s,v), scale × n/k when pivots are sampled.
-    State is (pivot, vertex) pairs partitioned by pivot; pivots are capped by
-    the sampling rule, not by data volume.
+    State is (pivot, vertex) pairs; the pivot count is capped by the sampling
+    rule, so the state is bounded by k · n, not by the trip volume.
     """
     v = vertices if vertices is not None else vertices_of(edges)
     e = cut_lineage(edges.filter(F.col("src") != F.col("dst"))
                     .select("src", "dst", F.coalesce(F.col(weight), F.lit(1.0)).alias("w")))
     pivots, n, kk = pick_pivots(v, k, seed=seed)
 
-    dist = cut_lineage(pivots.select("s", F.col("s").alias("v"), F.lit(0.0).alias("d")))
-    frontier = dist
-    for _ in range(max_iter):
-        cand = (frontier.join(e, F.col("v") == F.col("src"))
+    dist = cut_lineage(pivots.select("s", F.col("s").alias("v"), F.lit(0.0).alias("d"),
+                                     F.lit(True).alias("fresh")))
+    for i in range(1, max_iter + 1):
+        cand = (dist.filter("fresh").join(e, F.col("v") == F.col("src"))
                 .groupBy("s", F.col("dst").alias("v")).agg(F.min(F.col("d") + F.col("w")).alias("nd")))
-        improved = (cand.join(dist, ["s", "v"], "left")
-                    .filter(F.col("d").isNull() | (F.col("nd") < F.col("d")))
-                    .select("s", "v", F.col("nd").alias("d")))
-        improved = cut_lineage(improved)
-        if improved.limit(1).count() == 0:
+        nxt = (dist.select("s", "v", "d").join(cand, ["s", "v"], "full")
+               .select("s", "v", F.least(F.col("d"), F.col("nd")).alias("d"),
+                       (F.col("nd").isNotNull() & (F.col("d").isNull() | (F.col("nd") < F.col("d")))).alias("fresh")))
+        dist, changed = materialize_round(nxt, i, "fresh", previous=dist)
+        if changed == 0:
             break
-        dist = cut_lineage(dist.join(improved.withColumnRenamed("d", "nd"), ["s", "v"], "full")
-                           .select("s", "v", F.least(F.col("d"), F.col("nd")).alias("d")))
-        frontier = improved
+    dist = cut_lineage(dist.select("s", "v", "d"))
 
     du = dist.select("s", F.col("v").alias("u"), F.col("d").alias("du"))
     dv = dist.select(F.col("s").alias("s2"), F.col("v").alias("x"), F.col("d").alias("dx"))
@@ -197,39 +196,41 @@ def betweenness(edges: DataFrame, vertices: DataFrame | None = None, weight: str
         .filter(F.col("du") + F.col("w") == F.col("dx"))
         .select("s", "u", "x"))
 
-    # height of each vertex in its pivot's DAG (integer fixed point, exact).
-    # The longest DAG path bounds both passes below, so σ and δ then run a
-    # fixed number of rounds and no float equality test is needed.
-    def height_step(h: DataFrame) -> DataFrame:
-        up = (dag.join(h.select("s", F.col("v").alias("x"), "h"), ["s", "x"])
+    height = dist.select("s", "v", F.lit(0).alias("h"))
+    for i in range(1, max_iter + 1):
+        up = (dag.join(height.select("s", F.col("v").alias("x"), "h"), ["s", "x"])
               .groupBy("s", F.col("u").alias("v")).agg((F.max("h") + 1).alias("nh")))
-        return (dist.select("s", "v").join(up, ["s", "v"], "left")
-                .select("s", "v", F.coalesce(F.col("nh"), F.lit(0)).alias("h")))
-
-    height = _converge(height_step, cut_lineage(dist.select("s", "v", F.lit(0).alias("h"))),
-                       ["s", "v"], "h", max_iter)
+        nxt = (height.join(up, ["s", "v"], "left")
+               .select("s", "v", F.greatest(F.col("h"), F.coalesce(F.col("nh"), F.lit(0))).alias("h"),
+                       (F.coalesce(F.col("nh"), F.lit(0)) > F.col("h")).alias("grew")))
+        height, changed = materialize_round(nxt, i, "grew", previous=height if i > 1 else None)
+        height = height.drop("grew")
+        if changed == 0:
+            break
     rounds = height.agg(F.max("h")).first()[0] or 0
 
     seed_sigma = dist.select("s", "v", F.when(F.col("s") == F.col("v"), F.lit(1)).otherwise(F.lit(0))
                              .cast("bigint").alias("sigma"))
-    sigma = cut_lineage(seed_sigma)
-    for _ in range(rounds):
+    sigma = seed_sigma
+    for i in range(1, rounds + 1):
         inc = (dag.join(sigma.withColumnRenamed("v", "u"), ["s", "u"])
                .groupBy("s", F.col("x").alias("v")).agg(F.sum("sigma").alias("inc")))
-        sigma = cut_lineage(seed_sigma.join(inc, ["s", "v"], "left")
-                            .select("s", "v", (F.col("sigma") + F.coalesce(F.col("inc"), F.lit(0))).alias("sigma")))
+        nxt = (seed_sigma.join(inc, ["s", "v"], "left")
+               .select("s", "v", (F.col("sigma") + F.coalesce(F.col("inc"), F.lit(0))).alias("sigma")))
+        sigma, _ = materialize_round(nxt, i, previous=sigma if i > 1 else None)
     sig_u = sigma.select("s", F.col("v").alias("u"), F.col("sigma").alias("su"))
     sig_x = sigma.select("s", F.col("v").alias("x"), F.col("sigma").alias("sx"))
     dag_w = cut_lineage(dag.join(sig_u, ["s", "u"]).join(sig_x, ["s", "x"])
                         .select("s", "u", "x", (F.col("su") / F.col("sx")).alias("frac")))
 
-    delta = cut_lineage(dist.select("s", "v", F.lit(0.0).alias("delta")))
-    for _ in range(rounds):
+    delta = dist.select("s", "v", F.lit(0.0).alias("delta"))
+    for i in range(1, rounds + 1):
         contrib = (dag_w.join(delta.select("s", F.col("v").alias("x"), "delta"), ["s", "x"])
                    .groupBy("s", F.col("u").alias("v"))
                    .agg(F.sum(F.col("frac") * (F.lit(1.0) + F.col("delta"))).alias("nd")))
-        delta = cut_lineage(dist.select("s", "v").join(contrib, ["s", "v"], "left")
-                            .select("s", "v", F.coalesce(F.col("nd"), F.lit(0.0)).alias("delta")))
+        nxt = (dist.select("s", "v").join(contrib, ["s", "v"], "left")
+               .select("s", "v", F.coalesce(F.col("nd"), F.lit(0.0)).alias("delta")))
+        delta, _ = materialize_round(nxt, i, previous=delta if i > 1 else None)
     if normalized and n > 2:
         scale = 1.0 / ((n - 1) * (n - 2))
     else:

@@ -29,9 +29,13 @@ def global_position(df: DataFrame, order_cols, pos_col: str = "pos",
     # a shuffle is not deterministic, so the partitioned + indexed rows are
     # written once to the reliable checkpoint folder and both the per-partition
     # counts and the final rows read that same copy.
-    ranged = cut_lineage(df.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
+    # The input is read twice by the range shuffle (bound sampling, then the
+    # exchange); it is cached for that one step so its plan runs once.
+    src = df.persist()
+    ranged = cut_lineage(src.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
                          .withColumn("__pid", F.spark_partition_id())
                          .withColumn("__idx", F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW33))))
+    src.unpersist()
     counts = ranged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__cnt"))
     offsets = counts.select(
         "__pid",
@@ -51,7 +55,7 @@ def exact_quantile(df: DataFrame, col: str, q: float, tie_cols=()) -> DataFrame:
     """
     vals = df.select(F.col(col).alias("__v"), *tie_cols).filter(F.col("__v").isNotNull())
     positioned = global_position(vals, ["__v", *tie_cols], "__pos")
-    n = vals.agg(F.count(F.lit(1)).alias("__n"))
+    n = positioned.agg(F.count(F.lit(1)).alias("__n"))  # reads the materialised positions
     target = n.select("__n", (F.lit(q) * (F.col("__n") - 1)).alias("__t"))
     picked = (positioned.crossJoin(F.broadcast(target))
               .filter((F.col("__pos") == F.floor("__t")) | (F.col("__pos") == F.ceil("__t"))))

@@ -1,26 +1,23 @@
 """Second-order biased random walks and walk embeddings.
 
-Walks advance one step per round for all walkers at once: the active walker
-table (walk id, previous hub, current hub) joins the corridor table on the
-current hub, each candidate gets weight × {1/p back, 1 if prev→next exists,
-1/q otherwise} (the published node2vec rule), and one candidate per walker is
-picked by a seeded hash uniform against the cumulative weight.  Walkers at a
-sink stop.  Each round's (walk, step, hub) rows are checkpointed; the full
-paths are assembled at the end by a per-walk ``collect_list`` (≤ walk_length
-elements each).  The corridor table is the only broadcast candidate and AQE
-decides from its measured size.
+Walks advance one step per round for all walkers at once: the walker table
+(walk id, previous hub, current hub, path so far) joins the corridor table on
+the current hub, each candidate gets weight × {1/p back, 1 if prev→next
+exists, 1/q otherwise} (the published node2vec rule), and one candidate per
+walker is drawn with a seeded exponential race (probability ∝ weight) — a
+``min_by`` aggregate per walker.  Walkers at a sink are marked done and keep
+their path.  The path array is at most walk_length long.  The corridor table
+is the only broadcast candidate and AQE decides from its measured size.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.ml.feature import Word2Vec
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hubflow.session import cut_lineage
+from hubflow.session import cut_lineage, materialize_round
 
 _M52 = (1 << 52) - 1
 
@@ -30,39 +27,51 @@ def _uniform(seed: int, *cols) -> F.Column:
 
 
 def random_walks(edges: DataFrame, vertices: DataFrame, num_walks: int = 200, walk_length: int = 30,
-                 p: float = 1.0, q: float = 0.5, seed: int = 42, weight: str = "weight") -> DataFrame:
-    """(walk_id, start, walk array<string>) — num_walks walks per vertex, up to walk_length hubs."""
+                 p: float = 1.0, q: float = 0.5, seed: int = 42, weight: str = "weight",
+                 every: int = 5) -> DataFrame:
+    """(walk_id, start, walk array<string>) — num_walks walks per vertex, up to walk_length hubs.
+
+    The weighted choice among a walker's candidates is exponential-race
+    sampling: candidate j gets key E_j / α_j with E_j = -ln U_j (U_j a seeded
+    hash uniform of walk, step and candidate) and the smallest key wins, which
+    selects j with probability α_j / Σα.  That is a plain ``min_by``
+    aggregate per walker (partial aggregation, no sort, no window).
+    """
     e = cut_lineage(edges.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"),
                                  F.coalesce(F.col(weight), F.lit(1.0)).alias("w")))
     exists = e.select(F.col("src").alias("prev"), F.col("dst").alias("nxt"), F.lit(True).alias("__back_edge"))
     walkers = (vertices.select(F.col("v").cast("string").alias("start"))
                .withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(num_walks - 1))))
                .select(F.concat_ws(":", F.col("start"), F.col("i").cast("string")).alias("walk_id"), "start",
-                       F.lit(None).cast("string").alias("prev"), F.col("start").alias("cur")))
-    active = cut_lineage(walkers)
-    steps = [active.select("walk_id", "start", F.lit(0).alias("step"), F.col("cur").alias("hub"))]
+                       F.lit(None).cast("string").alias("back"), F.col("start").alias("cur"),
+                       F.array(F.col("start")).alias("walk"), F.lit(False).alias("done")))
+    state = cut_lineage(walkers.repartition("walk_id"))
+    prev = None
     for step in range(1, walk_length):
-        a = active.withColumnRenamed("prev", "back")
-        cand = (a.join(e, F.col("cur") == F.col("src"))
+        live = state.filter(~F.col("done"))
+        cand = (live.join(e, F.col("cur") == F.col("src"))
                 .join(exists, (F.col("back") == F.col("prev")) & (F.col("dst") == F.col("nxt")), "left")
-                .select("walk_id", "start", "cur", F.col("dst").alias("nxt"),
+                .select("walk_id", F.col("dst").alias("nxt"),
                         (F.col("w") * F.when(F.col("back").isNull(), F.lit(1.0))
                          .when(F.col("dst") == F.col("back"), F.lit(1.0 / p))
                          .when(F.col("__back_edge"), F.lit(1.0))
                          .otherwise(F.lit(1.0 / q))).alias("alpha")))
-        w = Window.partitionBy("walk_id").orderBy("nxt")
-        cand = (cand.withColumn("__cum", F.sum("alpha").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-                .withColumn("__before", F.coalesce(
-                    F.sum("alpha").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-                .withColumn("__tot", F.sum("alpha").over(Window.partitionBy("walk_id")))
-                .withColumn("__u", _uniform(seed, F.col("walk_id"), F.lit(step)) * F.col("__tot")))
-        chosen = cand.filter((F.col("__before") <= F.col("__u")) & (F.col("__u") < F.col("__cum")))
-        active = cut_lineage(chosen.select("walk_id", "start", F.col("cur").alias("prev"), F.col("nxt").alias("cur")))
-        steps.append(active.select("walk_id", "start", F.lit(step).alias("step"), F.col("cur").alias("hub")))
-    allsteps = reduce(lambda a, b: a.unionByName(b), steps)
-    return (allsteps.groupBy("walk_id", "start")
-            .agg(F.sort_array(F.collect_list(F.struct("step", "hub"))).alias("__s"))
-            .select("walk_id", "start", F.transform("__s", lambda x: x["hub"]).alias("walk")))
+        u = _uniform(seed, F.col("walk_id"), F.lit(step), F.col("nxt"))
+        race = -F.log(F.greatest(u, F.lit(1e-300))) / F.col("alpha")
+        chosen = (cand.filter(F.col("alpha") > 0).groupBy("walk_id")
+                  .agg(F.min_by("nxt", F.struct(race, F.col("nxt"))).alias("nxt")))
+        moved = F.col("nxt").isNotNull()
+        state = (state.join(chosen, "walk_id", "left").select(
+            "walk_id", "start",
+            F.when(moved, F.col("cur")).otherwise(F.col("back")).alias("back"),
+            F.when(moved, F.col("nxt")).otherwise(F.col("cur")).alias("cur"),
+            F.when(moved, F.concat(F.col("walk"), F.array(F.col("nxt")))).otherwise(F.col("walk")).alias("walk"),
+            (F.col("done") | ~moved).alias("done")))
+        # a sink ends a walk (done, path kept).  One job per step: the state is
+        # persisted, and every ``every`` steps written to the checkpoint folder.
+        state, _ = materialize_round(state, step, every=every, previous=prev)
+        prev = state
+    return state.select("walk_id", "start", "walk")
 
 
 def walk_embeddings(walks: DataFrame, dim: int = 64, window: int = 10, min_count: int = 1, epochs: int = 5,

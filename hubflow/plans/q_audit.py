@@ -13,7 +13,10 @@ from hubflow.plans.registry import query
 
 
 def audited(spark, sf):
-    return A.audit_clean(trips(spark, sf))
+    """Audit-cleaned segments, written once per session (they feed the hub
+    labels, the corridor table and every audit summary)."""
+    from hubflow.plans.common import memo
+    return memo(spark, sf, "audited", lambda: A.audit_clean(trips(spark, sf)))
 
 
 def graph_of(spark, sf):

@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Settings that matter at scale.  AQE coalesces tiny shuffles on local runs and
 # splits skewed partitions on a cluster; the broadcast threshold stays at the
@@ -57,6 +58,37 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` into the reliable checkpoint folder (survives executor loss)."""
+    """Materialise ``df`` into the reliable checkpoint folder (survives executor loss).
+
+    The frame is persisted first: a reliable checkpoint writes its files in a
+    second job after the first one computed the rows, and without the cache
+    that second job would recompute the whole plan.
+    """
+    from pyspark import StorageLevel
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = cached.checkpoint(eager=True)
+    cached.unpersist()
+    return out
+
+
+def materialize_round(df: DataFrame, round_no: int, flag: str | None = None, every: int = 4,
+                      previous: DataFrame | None = None) -> tuple[DataFrame, int]:
+    """Materialise the state of one loop round with a single job.
+
+    Every ``every``-th round the state goes to the reliable checkpoint folder
+    (short lineage, survives executor loss); in between it is persisted
+    (memory and disk) and a lost block is recomputed from the last checkpoint.
+    Returns the state and the number of rows with ``flag`` set (0 if no flag).
+    """
+    from pyspark import StorageLevel
+    if round_no % every == 0:
+        df = cut_lineage(df)
+        n = df.filter(flag).count() if flag else 0
+    else:
+        df = df.persist(StorageLevel.MEMORY_AND_DISK)
+        n = df.agg(F.count_if(F.col(flag)) if flag else F.count(F.lit(1))).first()[0]
+        n = n if flag else 0
+    if previous is not None and previous.is_cached:
+        previous.unpersist()
+    return df, int(n or 0)
