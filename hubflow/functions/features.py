@@ -27,19 +27,28 @@ def add_temporal(df: DataFrame, ts: str = "trip_creation_time", month: bool = Tr
     return df
 
 
+def _bin_of_hour(h: int) -> int:
+    return max(i for i, edge in enumerate(TOD_EDGES[:-1]) if h >= edge)
+
+
+# per-hour lookup derived from the left-closed bin edges (hour h -> bin index)
+_HOUR_TO_BIN = [_bin_of_hour(h) for h in range(24)]
+
+
 def tod_label(hour: Column) -> Column:
-    """Left-closed time-of-day bins [0,6) [6,10) [10,16) [16,20) [20,24)."""
-    expr = F.when(hour < TOD_EDGES[1], TOD_LABELS[0])
-    for edge, label in zip(TOD_EDGES[2:], TOD_LABELS[1:]):
-        expr = expr.when(hour < edge, label)
-    return F.when(hour.isNull() | (hour < 0) | (hour >= 24), F.lit(None).cast("string")).otherwise(expr)
+    """Left-closed time-of-day bins [0,6) [6,10) [10,16) [16,20) [20,24).
+
+    A 24-entry array lookup: the hour expression is evaluated once (a CASE
+    chain would re-evaluate it in every branch).
+    """
+    labels = F.array(*[F.lit(TOD_LABELS[b]) for b in _HOUR_TO_BIN])
+    return F.try_element_at(labels, (hour + 1).cast("int"))
 
 
 def tod_code(label: Column) -> Column:
-    expr = F.lit(None).cast("int")
-    for i, name in reversed(list(enumerate(TOD_LABELS))):
-        expr = F.when(label == name, F.lit(i)).otherwise(expr)
-    return expr
+    """Label -> 0..4 (NULL for anything else)."""
+    pos = F.array_position(F.array(*[F.lit(x) for x in TOD_LABELS]), label)
+    return F.when(pos > 0, (pos - 1).cast("int"))
 
 
 def add_time_of_day(df: DataFrame, hour: str = "hour_of_day", code: bool = False) -> DataFrame:

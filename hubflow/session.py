@@ -17,6 +17,10 @@ RECOMMENDED_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Generated methods above ~8 KB of bytecode are never JIT-compiled by the
+    # JVM; wide derived-column plans are split into smaller operators instead
+    # of running one huge method in the interpreter.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }

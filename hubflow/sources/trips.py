@@ -43,7 +43,12 @@ def trips_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     q = F.col("l_quantity")
     osrm = F.lit(10.0) + F.lit(2.0) * q
-    price_bucket = F.round(F.col("l_extendedprice") * 100).cast("bigint") % 100
+    # round half away from zero on the double itself (no per-row BigDecimal):
+    # the price bucket feeds the ratio, which filters and projections reuse
+    cents = F.abs(F.col("l_extendedprice") * 100)
+    rounded = F.signum(F.col("l_extendedprice")) * F.when(cents - F.floor(cents) >= 0.5, F.ceil(cents)) \
+        .otherwise(F.floor(cents))
+    price_bucket = rounded.cast("bigint") % 100
     lane = (F.col("s_nationkey") * 7 + F.col("c_nationkey") * 13) % 11
     ratio = (F.when(F.col("l_partkey") % 211 == 0, F.lit(12.0))
              .otherwise((F.lit(10) + price_bucket) * (F.lit(3) + lane) / F.lit(256.0)))
@@ -55,7 +60,7 @@ def trips_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select(
         F.when(F.col("o_orderdate") < F.lit("2000-01-01 00:00:00").cast("timestamp_ntz"), "training")
          .otherwise("test").alias("data"),
-        F.timestamp_add("HOUR", hours, F.col("o_orderdate")).alias("trip_creation_time"),
+        (F.col("o_orderdate") + F.make_dt_interval(hours=hours.cast("int"))).alias("trip_creation_time"),
         F.when(F.col("l_linenumber") % 3 == 0, "Carting").otherwise("FTL").alias("route_type"),
         F.concat(F.lit("trip-"), F.col("l_orderkey").cast("string")).alias("trip_uuid"),
         F.when(F.col("l_partkey") % 401 == 0, F.lit(None).cast("string"))
