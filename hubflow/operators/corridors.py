@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hubflow.operators.ordering import grouped_quantiles_sorted
 from hubflow.schema import LOW_SUPPORT_TRIPS, SLA_THRESHOLD
 
 STRATA = ["source_center", "destination_center", "route_type", "time_of_day"]
@@ -31,21 +32,64 @@ def not_null_keys(df: DataFrame, keys) -> DataFrame:
     return df.filter(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]))
 
 
+HOT_GROUP_ROWS = 5_000_000
+
+
+def skew_safe_quantiles(df: DataFrame, keys, specs, hot_rows: int = HOT_GROUP_ROWS,
+                        approx: bool = False) -> DataFrame:
+    """Per-group exact quantiles that never load a hot group into one task.
+
+    ``specs`` = [(out_name, column, q)].  Group sizes come from a partial
+    aggregate; groups above ``hot_rows`` (there are at most rows/hot_rows of
+    them — the proven bound that allows broadcasting their keys) take the
+    sort-based path (``grouped_quantiles_sorted``), all other groups the
+    hash aggregate ``percentile``.  The split needs no shuffle of the rows.
+    """
+    keys = list(keys)
+    if approx:
+        return df.groupBy(*keys).agg(*[pct(c, q, True).alias(o) for o, c, q in specs])
+    hot = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > hot_rows)
+           .select(*keys))
+    cold = df.groupBy(*keys).agg(*[pct(c, q).alias(o) for o, c, q in specs])
+    if hot.limit(1).count() == 0:
+        return cold
+    hot_keys = F.broadcast(hot)
+    cold = df.join(hot_keys, keys, "left_anti").groupBy(*keys).agg(*[pct(c, q).alias(o) for o, c, q in specs])
+    hot_rows_df = df.join(hot_keys, keys, "left_semi")
+    parts = []
+    for col in dict.fromkeys(c for _, c, _ in specs):
+        mine = [(o, q) for o, c, q in specs if c == col]
+        g = grouped_quantiles_sorted(hot_rows_df, keys, col, [q for _, q in mine])
+        parts.append(g.select(*keys, *[F.col(f"q{i}").alias(o) for i, (o, _) in enumerate(mine)]))
+    hot_q = reduce(lambda a, b: a.join(b, keys), parts)
+    return cold.unionByName(hot_q.select(*cold.columns))
+
+
 def edge_weights(train: DataFrame, keys=STRATA, tail_q: float = 0.95,
-                 min_support: int = LOW_SUPPORT_TRIPS, approx: bool = False) -> DataFrame:
-    """Stratified edge table: median delay ratio per (src, dst, route, time of day)."""
-    out = (not_null_keys(train, keys).groupBy(*keys).agg(
-        pct("delay_ratio", 0.5, approx).alias("edge_weight"),
+                 min_support: int = LOW_SUPPORT_TRIPS, approx: bool = False,
+                 hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
+    """Stratified edge table: median delay ratio per (src, dst, route, time of day).
+
+    Means, deviations, counts and rates are one partial aggregate over all
+    rows; the exact medians / tail quantile come from ``skew_safe_quantiles``
+    (one row per stratum), joined on the strata keys.
+    """
+    keys = list(keys)
+    t = not_null_keys(train, keys)
+    tail = f"p{int(round(tail_q * 100))}_delay_ratio"
+    base = t.groupBy(*keys).agg(
         F.avg("delay_ratio").alias("mean_delay_ratio"),
         F.stddev_samp("delay_ratio").alias("std_delay_ratio"),
         F.count("trip_uuid").alias("trip_count"),
-        pct("actual_time", 0.5, approx).alias("median_actual_time"),
-        pct("osrm_time", 0.5, approx).alias("median_osrm_time"),
-        pct("actual_distance_to_destination", 0.5, approx).alias("median_dist_km"),
-        F.avg(F.col("is_cutoff").cast("double")).alias("cutoff_rate"),
-        pct("delay_ratio", tail_q, approx).alias(f"p{int(round(tail_q * 100))}_delay_ratio"),
-    ).filter(F.col("edge_weight").isNotNull()))
-    return out.withColumn("low_support", F.col("trip_count") < min_support)
+        F.avg(F.col("is_cutoff").cast("double")).alias("cutoff_rate"))
+    q = skew_safe_quantiles(t, keys, [("edge_weight", "delay_ratio", 0.5), ("median_actual_time", "actual_time", 0.5),
+                                      ("median_osrm_time", "osrm_time", 0.5),
+                                      ("median_dist_km", "actual_distance_to_destination", 0.5),
+                                      (tail, "delay_ratio", tail_q)], hot_rows, approx)
+    out = base.join(q, keys).filter(F.col("edge_weight").isNotNull())
+    return out.select(*keys, "edge_weight", "mean_delay_ratio", "std_delay_ratio", "trip_count",
+                      "median_actual_time", "median_osrm_time", "median_dist_km", "cutoff_rate", tail) \
+        .withColumn("low_support", F.col("trip_count") < min_support)
 
 
 def corridor_preview(clean: DataFrame) -> DataFrame:
@@ -62,15 +106,16 @@ def corridor_preview(clean: DataFrame) -> DataFrame:
 
 def corridor_edges(df: DataFrame, ratio: str = "computed_delay_ratio", actual="segment_actual_time",
                    osrm="segment_osrm_time", distance="segment_osrm_distance",
-                   sla: float = SLA_THRESHOLD) -> DataFrame:
+                   sla: float = SLA_THRESHOLD, hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
     """Simple-digraph edge table (one row per src, dst) with the chronic flag."""
-    return (not_null_keys(df, CORRIDOR).groupBy(*CORRIDOR).agg(
-        F.median(ratio).alias("weight"),
-        F.median(actual).alias("median_actual_time"),
-        F.median(osrm).alias("median_osrm_time"),
-        F.median(distance).alias("median_distance_km"),
-        F.count("trip_uuid").alias("trip_count"),
-    ).withColumn("is_chronic_delay", F.col("weight") > sla))
+    t = not_null_keys(df, CORRIDOR)
+    q = skew_safe_quantiles(t, CORRIDOR, [("weight", ratio, 0.5), ("median_actual_time", actual, 0.5),
+                                          ("median_osrm_time", osrm, 0.5), ("median_distance_km", distance, 0.5)],
+                            hot_rows)
+    n = t.groupBy(*CORRIDOR).agg(F.count("trip_uuid").alias("trip_count"))
+    return (q.join(n, CORRIDOR).select(*CORRIDOR, "weight", "median_actual_time", "median_osrm_time",
+                                       "median_distance_km", "trip_count")
+            .withColumn("is_chronic_delay", F.col("weight") > sla))
 
 
 def edge_summary(edges: DataFrame) -> DataFrame:

@@ -123,10 +123,10 @@ def component_sizes(components: DataFrame) -> DataFrame:
 def component_summary(components: DataFrame, top: int = 5) -> DataFrame:
     """count, is_connected, sizes of the largest ``top`` components (descending)."""
     sizes = component_sizes(components)
-    return sizes.agg(
-        F.count(F.lit(1)).alias("components"),
-        (F.count(F.lit(1)) == 1).alias("is_connected"),
-        F.slice(F.sort_array(F.collect_list("size"), asc=False), 1, top).alias("largest_sizes"))
+    largest = (sizes.orderBy(F.desc("size"), "component").limit(top)  # top-k, then a ≤ top-element list
+               .agg(F.sort_array(F.collect_list("size"), asc=False).alias("largest_sizes")))
+    return (sizes.agg(F.count(F.lit(1)).alias("components"), (F.count(F.lit(1)) == 1).alias("is_connected"))
+            .crossJoin(largest))
 
 
 # ---------------------------------------------------------------------------

@@ -62,3 +62,28 @@ def exact_quantile(df: DataFrame, col: str, q: float, tie_cols=()) -> DataFrame:
     return picked.agg(
         (F.min("__v") + (F.max("__v") - F.min("__v")) * (F.first("__t") - F.floor(F.first("__t"))))
         .alias("q"))
+
+
+def grouped_quantiles_sorted(df: DataFrame, keys, col: str, qs) -> DataFrame:
+    """Exact per-group linear-interpolation quantiles by sorting, not by hashing.
+
+    Rows are range-partitioned on (keys, value), so a group holding a third of
+    all rows is spread over many tasks; each group's start position and size
+    come from partial aggregates, and only the (at most two) rows at each
+    target rank are picked out.  Returns keys + one column ``q{i}`` per entry
+    of ``qs``.
+    """
+    keys = list(keys)
+    vals = df.select(*keys, F.col(col).alias("__v")).filter(F.col("__v").isNotNull())
+    pos = global_position(vals, [*keys, "__v"], "__pos")
+    groups = pos.groupBy(*keys).agg(F.min("__pos").alias("__start"), F.count(F.lit(1)).alias("__n"))
+    targets = groups.select(*keys, "__start", "__n", F.posexplode(F.array(*[
+        (F.lit(float(q)) * (F.col("__n") - 1)) for q in qs])).alias("__qi", "__t"))
+    want = targets.select(*keys, "__qi", "__t", (F.col("__start") + F.floor("__t")).alias("__lo"),
+                          (F.col("__start") + F.ceil("__t")).alias("__hi"))
+    lo = want.join(pos.select(*keys, F.col("__pos").alias("__lo"), F.col("__v").alias("__vlo")), [*keys, "__lo"])
+    both = lo.join(pos.select(*keys, F.col("__pos").alias("__hi"), F.col("__v").alias("__vhi")), [*keys, "__hi"])
+    interp = F.col("__vlo") + (F.col("__vhi") - F.col("__vlo")) * (F.col("__t") - F.floor("__t"))
+    res = both.select(*keys, "__qi", interp.alias("__q"))
+    return res.groupBy(*keys).pivot("__qi", list(range(len(qs)))).agg(F.first("__q")).select(
+        *keys, *[F.col(str(i)).alias(f"q{i}") for i in range(len(qs))])

@@ -104,3 +104,19 @@ def test_zero_denominators_do_not_raise(spark):
                                "segment_actual_time double, osrm_distance double, start_scan_to_end_scan double, x double")
     r = FE.add_ratios(df).first()
     assert r["delay_ratio"] is None and r["segment_delay_ratio"] is None and r["speed_kmph"] is None
+
+
+def test_hot_group_sort_path_equals_hash_path(spark):
+    """Groups above the hot threshold take the sort-based exact path; results are identical."""
+    import random
+    rng = random.Random(5)
+    rows = [("A", "B", "FTL", "Night_0_6", rng.choice([0.5, 1.0, 1.25, 2.0, 3.5]), f"t{i}", 10.0 * (i % 7 + 1),
+             10.0, float(i % 5), i % 2 == 0) for i in range(300)]
+    rows += [("C", "D", "Carting", "Night_20_24", 1.0 + i / 8, f"u{i}", 20.0, 10.0, 2.0, False) for i in range(9)]
+    t = _trips(spark, rows)
+    a = {tuple(r[:4]): r.asDict() for r in C.edge_weights(t).collect()}
+    b = {tuple(r[:4]): r.asDict() for r in C.edge_weights(t, hot_rows=50).collect()}
+    assert a.keys() == b.keys()
+    for k in a:
+        for col, v in a[k].items():
+            assert b[k][col] == (pytest.approx(v) if isinstance(v, float) else v), (k, col)
