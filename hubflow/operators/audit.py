@@ -30,7 +30,8 @@ def winsorise(df: DataFrame, col: str, q: float = WINSOR_Q, by: str | None = Non
         cap = exact_quantile(df, col, q).withColumnRenamed("q", "__cap")
         j = df.crossJoin(F.broadcast(cap))
     else:
-        cap = df.groupBy(by).agg(F.percentile(col, q).alias("__cap"))
+        from hubflow.operators.corridors import skew_safe_quantiles
+        cap = skew_safe_quantiles(df, [by], [("__cap", col, q)])
         j = df.join(cap, by)
     return j.withColumn("__capped", F.col(col) > F.col("__cap")).withColumn(
         out, F.least(F.col(col), F.col("__cap"))).drop("__cap")

@@ -39,30 +39,53 @@ def skew_safe_quantiles(df: DataFrame, keys, specs, hot_rows: int = HOT_GROUP_RO
                         approx: bool = False) -> DataFrame:
     """Per-group exact quantiles that never load a hot group into one task.
 
-    ``specs`` = [(out_name, column, q)].  Group sizes come from a partial
-    aggregate; groups above ``hot_rows`` (there are at most rows/hot_rows of
-    them — the proven bound that allows broadcasting their keys) take the
-    sort-based path (``grouped_quantiles_sorted``), all other groups the
-    hash aggregate ``percentile``.  The split needs no shuffle of the rows.
+    ``specs`` = [(out_name, column, q)]; ``keys`` may be empty (one global
+    group).  Group sizes come from a partial aggregate; groups above
+    ``hot_rows`` (at most rows/hot_rows of them — the proven bound that allows
+    broadcasting their keys) take the sort-based path
+    (``grouped_quantiles_sorted``), all other groups the hash aggregate
+    ``percentile``.  The split needs no shuffle of the rows.
     """
     keys = list(keys)
     if approx:
         return df.groupBy(*keys).agg(*[pct(c, q, True).alias(o) for o, c, q in specs])
-    hot = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > hot_rows)
-           .select(*keys))
-    cold = df.groupBy(*keys).agg(*[pct(c, q).alias(o) for o, c, q in specs])
+
+    def hashed(frame):
+        return frame.groupBy(*keys).agg(*[pct(c, q).alias(o) for o, c, q in specs])
+
+    def sorted_path(frame):
+        parts = []
+        for col in dict.fromkeys(c for _, c, _ in specs):
+            mine = [(o, q) for o, c, q in specs if c == col]
+            g = grouped_quantiles_sorted(frame, keys, col, [q for _, q in mine])
+            parts.append(g.select(*keys, *[F.col(f"q{i}").alias(o) for i, (o, _) in enumerate(mine)]))
+        return reduce(lambda a, b: a.join(b, keys) if keys else a.crossJoin(b), parts)
+
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    hot = sizes.filter(F.col("__n") > hot_rows).select(*keys)
     if hot.limit(1).count() == 0:
-        return cold
+        return hashed(df)
+    if not keys:
+        return sorted_path(df)
     hot_keys = F.broadcast(hot)
-    cold = df.join(hot_keys, keys, "left_anti").groupBy(*keys).agg(*[pct(c, q).alias(o) for o, c, q in specs])
-    hot_rows_df = df.join(hot_keys, keys, "left_semi")
-    parts = []
-    for col in dict.fromkeys(c for _, c, _ in specs):
-        mine = [(o, q) for o, c, q in specs if c == col]
-        g = grouped_quantiles_sorted(hot_rows_df, keys, col, [q for _, q in mine])
-        parts.append(g.select(*keys, *[F.col(f"q{i}").alias(o) for i, (o, _) in enumerate(mine)]))
-    hot_q = reduce(lambda a, b: a.join(b, keys), parts)
-    return cold.unionByName(hot_q.select(*cold.columns))
+    cold = hashed(df.join(hot_keys, keys, "left_anti"))
+    return cold.unionByName(sorted_path(df.join(hot_keys, keys, "left_semi")).select(*cold.columns))
+
+
+def with_quantiles(df: DataFrame, keys, aggs, specs, hot_rows: int = HOT_GROUP_ROWS,
+                   approx: bool = False) -> DataFrame:
+    """``groupBy(keys).agg(*aggs)`` plus exact quantile columns from
+    ``skew_safe_quantiles``, joined null-safely on the keys (one row per group)."""
+    keys = list(keys)
+    q = skew_safe_quantiles(df, keys, specs, hot_rows, approx)
+    if not aggs:
+        return q
+    base = df.groupBy(*keys).agg(*aggs)
+    if not keys:
+        return base.crossJoin(q)  # one row each
+    qr = q.select(*[F.col(k).alias(f"__k_{k}") for k in keys], *[o for o, _, _ in specs])
+    cond = reduce(lambda a, b: a & b, [base[k].eqNullSafe(qr[f"__k_{k}"]) for k in keys])
+    return base.join(qr, cond).drop(*[f"__k_{k}" for k in keys])
 
 
 def edge_weights(train: DataFrame, keys=STRATA, tail_q: float = 0.95,
@@ -95,13 +118,11 @@ def edge_weights(train: DataFrame, keys=STRATA, tail_q: float = 0.95,
 def corridor_preview(clean: DataFrame) -> DataFrame:
     """Per (src, dst, route): distinct trips, factor median/mean/std, median distance."""
     keys = ["source_center", "destination_center", "route_type"]
-    return not_null_keys(clean, keys).groupBy(*keys).agg(
-        F.countDistinct("trip_uuid").alias("trips"),
-        F.median("factor").alias("median_factor"),
-        F.avg("factor").alias("mean_factor"),
-        F.stddev_samp("factor").alias("std_factor"),
-        F.median("actual_distance_to_destination").alias("median_dist_km"),
-    )
+    return with_quantiles(
+        not_null_keys(clean, keys), keys,
+        [F.countDistinct("trip_uuid").alias("trips"), F.avg("factor").alias("mean_factor"),
+         F.stddev_samp("factor").alias("std_factor")],
+        [("median_factor", "factor", 0.5), ("median_dist_km", "actual_distance_to_destination", 0.5)])
 
 
 def corridor_edges(df: DataFrame, ratio: str = "computed_delay_ratio", actual="segment_actual_time",
@@ -142,11 +163,11 @@ def offender_corridors(clean: DataFrame, min_trips: int = 50, breach: float = SL
     """
     flagged = clean.withColumn("is_sla_breach", F.col("factor") > breach)
     total = flagged.agg(F.count_if(F.col("is_sla_breach")).alias("total_breaches"))
-    per = (not_null_keys(flagged, ["source_name", "destination_name"])
-           .groupBy("source_name", "destination_name").agg(
-               F.count("trip_uuid").alias("total_trips"),
-               F.count_if(F.col("is_sla_breach")).alias("breach_count"),
-               F.median("factor").alias("median_delay_ratio"))
+    per = (with_quantiles(not_null_keys(flagged, ["source_name", "destination_name"]),
+                          ["source_name", "destination_name"],
+                          [F.count("trip_uuid").alias("total_trips"),
+                           F.count_if(F.col("is_sla_breach")).alias("breach_count")],
+                          [("median_delay_ratio", "factor", 0.5)])
            .filter(F.col("total_trips") >= min_trips))
     out = (per.crossJoin(F.broadcast(total))
            .withColumn("pct_of_network_breaches",

@@ -45,8 +45,9 @@ def apply_target_encoding(df: DataFrame, params: DataFrame, col: str, out: str |
 
 
 def fit_medians(train: DataFrame, cols) -> DataFrame:
-    """Exact training medians (one row)."""
-    return train.agg(*[F.median(c).alias(c) for c in cols])
+    """Exact training medians (one row; sort-based when the table is large)."""
+    from hubflow.operators.corridors import skew_safe_quantiles
+    return skew_safe_quantiles(train, [], [(c, c, 0.5) for c in cols]).select(*cols)
 
 
 def apply_medians(df: DataFrame, medians: DataFrame, cols) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hubflow.operators.corridors import HOT_GROUP_ROWS, not_null_keys, skew_safe_quantiles
+from hubflow.operators.corridors import HOT_GROUP_ROWS, not_null_keys, skew_safe_quantiles, with_quantiles
 from hubflow.operators.ordering import global_position
 
 HUB_FILL = ["outbound_trips", "inbound_trips", "avg_congestion_factor", "cutoff_rate",
@@ -58,9 +58,9 @@ def hub_features(train: DataFrame, hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
 
 def hub_congestion(clean: DataFrame, min_trips: int = 20, top: int = 10) -> DataFrame:
     """Source hubs ranked by median factor (support ≥ min_trips)."""
-    return (not_null_keys(clean, ["source_center"]).groupBy("source_center").agg(
-        F.count(F.lit(1)).alias("trips"), F.median("factor").alias("median_factor"),
-        F.avg("factor").alias("mean_factor"))
+    return (with_quantiles(not_null_keys(clean, ["source_center"]), ["source_center"],
+                           [F.count(F.lit(1)).alias("trips"), F.avg("factor").alias("mean_factor")],
+                           [("median_factor", "factor", 0.5)])
         .filter(F.col("trips") >= min_trips)
         .orderBy(F.desc("median_factor"), "source_center").limit(top))
 

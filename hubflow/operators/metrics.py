@@ -66,6 +66,6 @@ def leaderboard(metrics: DataFrame, baseline: str, by: str = "model") -> DataFra
 
 def error_percentiles(pred: DataFrame, qs=(0.10, 0.25, 0.50, 0.75, 0.90, 0.95), by: str = "model",
                       actual: str = "actual_eta", predicted: str = "predicted_eta") -> DataFrame:
-    e = F.abs(F.col(predicted) - F.col(actual))
-    out = pred.groupBy(by).agg(F.percentile(e, F.array(*[F.lit(q) for q in qs])).alias("__p"))
-    return out.select(by, *[F.col("__p")[i].alias(f"p{int(round(q * 100)):02d}") for i, q in enumerate(qs)])
+    from hubflow.operators.corridors import skew_safe_quantiles
+    e = pred.select(by, F.abs(F.col(predicted) - F.col(actual)).alias("__e"))
+    return skew_safe_quantiles(e, [by], [(f"p{int(round(q * 100)):02d}", "__e", q) for q in qs])

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hubflow.functions.features import signed_pct_error
+from hubflow.operators.corridors import skew_safe_quantiles, with_quantiles
 from hubflow.operators.hubs import hub_inventory
 from hubflow.operators.ordering import global_position
 
@@ -24,26 +25,26 @@ def _maybe_round(df: DataFrame, digits, cols) -> DataFrame:
 
 def tod_summary(clean: DataFrame, value: str = "factor", digits: int | None = None) -> DataFrame:
     """count / mean / median / std of ``value`` per time-of-day bucket."""
-    out = clean.filter(F.col("time_of_day").isNotNull()).groupBy("time_of_day").agg(
-        F.count(value).alias("count"), F.avg(value).alias("mean"),
-        F.median(value).alias("median"), F.stddev_samp(value).alias("std"))
+    out = with_quantiles(clean.filter(F.col("time_of_day").isNotNull()), ["time_of_day"],
+                         [F.count(value).alias("count"), F.avg(value).alias("mean"),
+                          F.stddev_samp(value).alias("std")], [("median", value, 0.5)])
     return _maybe_round(out, digits, ["mean", "median", "std"])
 
 
 def hourly_band(clean: DataFrame, value: str = "factor") -> DataFrame:
     """Per hour: mean, median, std and the mean ± std band."""
-    return (clean.groupBy("hour_of_day").agg(
-        F.avg(value).alias("mean"), F.median(value).alias("median"), F.stddev_samp(value).alias("std"))
+    return (with_quantiles(clean, ["hour_of_day"], [F.avg(value).alias("mean"), F.stddev_samp(value).alias("std")],
+                           [("median", value, 0.5)])
         .withColumn("band_lo", F.col("mean") - F.col("std"))
         .withColumn("band_hi", F.col("mean") + F.col("std")))
 
 
 def dow_median(clean: DataFrame, value: str = "factor") -> DataFrame:
-    return clean.groupBy("day_of_week").agg(F.median(value).alias("median_factor"))
+    return skew_safe_quantiles(clean, ["day_of_week"], [("median_factor", value, 0.5)])
 
 
 def route_hour_median(clean: DataFrame, value: str = "factor") -> DataFrame:
-    return clean.groupBy("route_type", "hour_of_day").agg(F.median(value).alias("median_factor"))
+    return skew_safe_quantiles(clean, ["route_type", "hour_of_day"], [("median_factor", value, 0.5)])
 
 
 def cutoff_by_hour(clean: DataFrame) -> DataFrame:
@@ -58,13 +59,14 @@ def cutoff_by_hour(clean: DataFrame) -> DataFrame:
 def describe(df: DataFrame, cols, qs=(0.05, 0.25, 0.5, 0.75, 0.95, 0.99), by: str | None = None,
              approx: bool = False) -> DataFrame:
     """count, mean, std, min, percentiles, max for each column (long format, one pass)."""
-    aggs = []
+    aggs, specs = [], []
     for i, c in enumerate(cols):
-        p = (F.percentile_approx(c, list(qs), 10000) if approx else F.percentile(c, F.array(*[F.lit(q) for q in qs])))
         aggs += [F.count(c).alias(f"c{i}"), F.avg(c).alias(f"m{i}"), F.stddev_samp(c).alias(f"s{i}"),
-                 F.min(c).alias(f"lo{i}"), F.max(c).alias(f"hi{i}"), p.alias(f"p{i}")]
-    g = df.groupBy(by) if by else df
-    wide = g.agg(*aggs)
+                 F.min(c).alias(f"lo{i}"), F.max(c).alias(f"hi{i}")]
+        specs += [(f"p{i}_{j}", c, q) for j, q in enumerate(qs)]
+    wide = with_quantiles(df, [by] if by else [], aggs, specs, approx=approx)
+    wide = wide.select("*", *[F.array(*[F.col(f"p{i}_{j}") for j in range(len(qs))]).alias(f"p{i}")
+                              for i in range(len(cols))])
     qnames = [f"p{int(round(q * 100)):02d}" for q in qs]
     structs = []
     for i, c in enumerate(cols):
@@ -80,10 +82,12 @@ def describe(df: DataFrame, cols, qs=(0.05, 0.25, 0.5, 0.75, 0.95, 0.99), by: st
 def baseline_deviation(clean: DataFrame, tol: float = 15.0) -> DataFrame:
     """Router MAE, mean/median factor and % of rows within ±tol % of the router estimate."""
     err = signed_pct_error(F.col("actual_time"), F.col("osrm_time"))
-    return clean.agg(
+    out = with_quantiles(clean, [], [
         F.avg(F.abs(F.col("actual_time") - F.col("osrm_time"))).alias("osrm_mae_min"),
-        F.avg("factor").alias("mean_factor"), F.median("factor").alias("median_factor"),
-        (F.avg((F.abs(err) <= tol).cast("double")) * 100).alias("pct_within_15"))
+        F.avg("factor").alias("mean_factor"),
+        (F.avg((F.abs(err) <= tol).cast("double")) * 100).alias("pct_within_15")],
+        [("median_factor", "factor", 0.5)])
+    return out.select("osrm_mae_min", "mean_factor", "median_factor", "pct_within_15")
 
 
 def table_profile(trips: DataFrame, clean: DataFrame) -> DataFrame:
@@ -173,10 +177,9 @@ def kde(df: DataFrame, col: str, points: int = 200, by: str | None = None, cutof
 
 def box_stats(df: DataFrame, value: str, by: str) -> DataFrame:
     """Quartiles, 1.5·IQR whiskers (most extreme data inside the fences) and outlier count."""
-    q = (df.filter(F.col(value).isNotNull()).groupBy(by).agg(
-        F.percentile(value, 0.25).alias("q1"), F.median(value).alias("median"),
-        F.percentile(value, 0.75).alias("q3"), F.count(F.lit(1)).alias("n"))
-        .withColumn("iqr", F.col("q3") - F.col("q1")))
+    q = (with_quantiles(df.filter(F.col(value).isNotNull()), [by], [F.count(F.lit(1)).alias("n")],
+                        [("q1", value, 0.25), ("median", value, 0.5), ("q3", value, 0.75)])
+         .withColumn("iqr", F.col("q3") - F.col("q1")))
     j = df.select(by, value).join(q, by)
     lo_f = F.col("q1") - 1.5 * F.col("iqr")
     hi_f = F.col("q3") + 1.5 * F.col("iqr")

@@ -97,8 +97,10 @@ def closed_form_predictions(spark, sf):
         tr = sp.filter(F.col("split") == "train")
         te = sp.filter(F.col("split") == "test")
         ratio = F.col("actual_eta") / F.col("osrm_predicted_eta")
-        g = tr.agg(F.median(ratio).alias("g"))
-        cm = tr.groupBy("source_hub_id", "dest_hub_id").agg(F.median(ratio).alias("r"))
+        from hubflow.operators.corridors import skew_safe_quantiles
+        trr = tr.withColumn("__ratio", ratio)
+        g = skew_safe_quantiles(trr, [], [("g", "__ratio", 0.5)])
+        cm = skew_safe_quantiles(trr, ["source_hub_id", "dest_hub_id"], [("r", "__ratio", 0.5)])
         base = te.select("row_ord", "source_hub_id", "dest_hub_id", "actual_eta", "osrm_predicted_eta")
         router = base.select(F.lit("router").alias("model"), "row_ord", "actual_eta",
                              F.col("osrm_predicted_eta").alias("predicted_eta"), "osrm_predicted_eta")

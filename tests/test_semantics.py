@@ -120,3 +120,19 @@ def test_hot_group_sort_path_equals_hash_path(spark):
     for k in a:
         for col, v in a[k].items():
             assert b[k][col] == (pytest.approx(v) if isinstance(v, float) else v), (k, col)
+
+
+def test_sorted_quantile_path_global_and_grouped(spark):
+    """Forcing every group onto the sort-based path gives the hash-path answers."""
+    import random
+    rng = random.Random(11)
+    df = spark.createDataFrame([(rng.choice(["x", "y", "z"]), rng.random() * 10) for _ in range(400)],
+                               "g string, v double")
+    specs = [("med", "v", 0.5), ("p95", "v", 0.95), ("p10", "v", 0.1)]
+    for keys in ([], ["g"]):
+        a = {tuple(r[k] for k in keys): r for r in C.skew_safe_quantiles(df, keys, specs).collect()}
+        b = {tuple(r[k] for k in keys): r for r in C.skew_safe_quantiles(df, keys, specs, hot_rows=10).collect()}
+        assert a.keys() == b.keys()
+        for k in a:
+            for o, _, _ in specs:
+                assert b[k][o] == pytest.approx(a[k][o])
