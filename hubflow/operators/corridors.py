@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hubflow.operators.ordering import grouped_quantiles_sorted
+from hubflow.session import cut_lineage
 from hubflow.schema import LOW_SUPPORT_TRIPS, SLA_THRESHOLD
 
 STRATA = ["source_center", "destination_center", "route_type", "time_of_day"]
@@ -36,7 +37,7 @@ HOT_GROUP_ROWS = 5_000_000
 
 
 def skew_safe_quantiles(df: DataFrame, keys, specs, hot_rows: int = HOT_GROUP_ROWS,
-                        approx: bool = False) -> DataFrame:
+                        approx: bool = False, sizes: DataFrame | None = None) -> DataFrame:
     """Per-group exact quantiles that never load a hot group into one task.
 
     ``specs`` = [(out_name, column, q)]; ``keys`` may be empty (one global
@@ -61,7 +62,8 @@ def skew_safe_quantiles(df: DataFrame, keys, specs, hot_rows: int = HOT_GROUP_RO
             parts.append(g.select(*keys, *[F.col(f"q{i}").alias(o) for i, (o, _) in enumerate(mine)]))
         return reduce(lambda a, b: a.join(b, keys) if keys else a.crossJoin(b), parts)
 
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    if sizes is None:
+        sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     hot = sizes.filter(F.col("__n") > hot_rows).select(*keys)
     if hot.limit(1).count() == 0:
         return hashed(df)
@@ -77,10 +79,13 @@ def with_quantiles(df: DataFrame, keys, aggs, specs, hot_rows: int = HOT_GROUP_R
     """``groupBy(keys).agg(*aggs)`` plus exact quantile columns from
     ``skew_safe_quantiles``, joined null-safely on the keys (one row per group)."""
     keys = list(keys)
-    q = skew_safe_quantiles(df, keys, specs, hot_rows, approx)
     if not aggs:
-        return q
-    base = df.groupBy(*keys).agg(*aggs)
+        return skew_safe_quantiles(df, keys, specs, hot_rows, approx)
+    # the per-group aggregate (one row per group) is written once; its row
+    # counts decide which groups are hot, so the input is not scanned again
+    base = cut_lineage(df.groupBy(*keys).agg(*aggs, F.count(F.lit(1)).alias("__n")))
+    q = skew_safe_quantiles(df, keys, specs, hot_rows, approx, sizes=base.select(*keys, "__n"))
+    base = base.drop("__n")
     if not keys:
         return base.crossJoin(q)  # one row each
     qr = q.select(*[F.col(k).alias(f"__k_{k}") for k in keys], *[o for o, _, _ in specs])
@@ -100,16 +105,14 @@ def edge_weights(train: DataFrame, keys=STRATA, tail_q: float = 0.95,
     keys = list(keys)
     t = not_null_keys(train, keys)
     tail = f"p{int(round(tail_q * 100))}_delay_ratio"
-    base = t.groupBy(*keys).agg(
+    out = with_quantiles(t, keys, [
         F.avg("delay_ratio").alias("mean_delay_ratio"),
         F.stddev_samp("delay_ratio").alias("std_delay_ratio"),
         F.count("trip_uuid").alias("trip_count"),
-        F.avg(F.col("is_cutoff").cast("double")).alias("cutoff_rate"))
-    q = skew_safe_quantiles(t, keys, [("edge_weight", "delay_ratio", 0.5), ("median_actual_time", "actual_time", 0.5),
-                                      ("median_osrm_time", "osrm_time", 0.5),
-                                      ("median_dist_km", "actual_distance_to_destination", 0.5),
-                                      (tail, "delay_ratio", tail_q)], hot_rows, approx)
-    out = base.join(q, keys).filter(F.col("edge_weight").isNotNull())
+        F.avg(F.col("is_cutoff").cast("double")).alias("cutoff_rate")],
+        [("edge_weight", "delay_ratio", 0.5), ("median_actual_time", "actual_time", 0.5),
+         ("median_osrm_time", "osrm_time", 0.5), ("median_dist_km", "actual_distance_to_destination", 0.5),
+         (tail, "delay_ratio", tail_q)], hot_rows, approx).filter(F.col("edge_weight").isNotNull())
     return out.select(*keys, "edge_weight", "mean_delay_ratio", "std_delay_ratio", "trip_count",
                       "median_actual_time", "median_osrm_time", "median_dist_km", "cutoff_rate", tail) \
         .withColumn("low_support", F.col("trip_count") < min_support)
@@ -130,11 +133,10 @@ def corridor_edges(df: DataFrame, ratio: str = "computed_delay_ratio", actual="s
                    sla: float = SLA_THRESHOLD, hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
     """Simple-digraph edge table (one row per src, dst) with the chronic flag."""
     t = not_null_keys(df, CORRIDOR)
-    q = skew_safe_quantiles(t, CORRIDOR, [("weight", ratio, 0.5), ("median_actual_time", actual, 0.5),
-                                          ("median_osrm_time", osrm, 0.5), ("median_distance_km", distance, 0.5)],
-                            hot_rows)
-    n = t.groupBy(*CORRIDOR).agg(F.count("trip_uuid").alias("trip_count"))
-    return (q.join(n, CORRIDOR).select(*CORRIDOR, "weight", "median_actual_time", "median_osrm_time",
+    q = with_quantiles(t, CORRIDOR, [F.count("trip_uuid").alias("trip_count")],
+                       [("weight", ratio, 0.5), ("median_actual_time", actual, 0.5),
+                        ("median_osrm_time", osrm, 0.5), ("median_distance_km", distance, 0.5)], hot_rows)
+    return (q.select(*CORRIDOR, "weight", "median_actual_time", "median_osrm_time",
                                        "median_distance_km", "trip_count")
             .withColumn("is_chronic_delay", F.col("weight") > sla))
 
