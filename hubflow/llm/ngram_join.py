@@ -111,16 +111,20 @@ def _crowd_links(docs: DataFrame, classes: DataFrame, n: int, pct: int) -> DataF
                .groupBy("s").count().where(F.col("count") >= CROWD))
     crowd = stage(counted.select("s"), "crowd")
     sketch = membership_sketch(crowd, F.col("s"))
-    inside = stage(_shingles(classes, sketch, True, pct).select("k", "s").join(crowd, "s"), "inside")
+    inside = _shingles(classes, sketch, True, pct).select("k", "s").join(crowd, "s")
+    own = inside.groupBy("k").agg(F.count("*").alias("x")).join(classes.select("k", "n"), "k").select(F.col("k").alias("ok"), F.expr(f"n - ({pct} * n + 99) div 100 + 1 - x").alias("own"))
+    inside = stage(inside.join(own, F.col("k") == F.col("ok")).drop("ok"), "inside")
     links = None
     for r in range(ROUNDS):
         members = inside
         if links is not None:
             tied = min_labels(links)
-            members = inside.join(tied, F.col("k") == F.col("v"), "left").select("s", "k", F.coalesce("c", "k").alias("c"))
+            members = inside.join(tied, F.col("k") == F.col("v"), "left").select("s", "k", "own", F.coalesce("c", "k").alias("c"))
         else:
             members = members.withColumn("c", F.col("k"))
-        chosen = members.groupBy("s").agg(*[F.min(F.struct(F.xxhash64("k", F.lit(PIVOTS * r + i)), "k", "c")).alias(f"p{i}") for i in range(PIVOTS)])
+        # first the members with the least of their own, which are in the middle of their group; later any
+        middle = F.lit(0) if r else F.col("own")
+        chosen = members.groupBy("s").agg(*[F.min(F.struct(middle.alias("o"), F.xxhash64("k", F.lit(PIVOTS * r + i)).alias("x"), "k", "c")).alias(f"p{i}") for i in range(PIVOTS)])
         pivots = chosen.select("s", F.explode(F.array_distinct(F.array(*[F.struct(F.col(f"p{i}.k").alias("a"), F.col(f"p{i}.c").alias("ac")) for i in range(PIVOTS)]))).alias("p")).select("s", "p.*")
         # a true partner of a pivot shares most of the prefix: the others are left to the full search
         pairs = (members.join(pivots, "s").where("c <> ac").groupBy("a", F.col("k").alias("b")).agg(F.count("*").alias("shared"))
@@ -153,7 +157,7 @@ def _candidates(docs: DataFrame, classes: DataFrame, tied: DataFrame, n: int, pc
     else:
         index = index.join(freq2.select("s"), "s", "left_semi").select("k", "n", "c", "l", "r", "s")
     pairs = stage(_matches(stage(index, "index"), pct), "pairs")
-    return stage(pairs.union(_matches(saturated, pct)).distinct(), "pairs") if some else pairs
+    return stage(pairs.union(_hot_matches(saturated, pct)).distinct(), "pairs") if some else pairs
 
 
 def _matches(index: DataFrame, pct: int) -> DataFrame:
@@ -201,7 +205,7 @@ WHOLE = 1 << 30
 
 
 def _whole_prefixes(docs, classes, chosen, longer, freq, n, pct) -> tuple[DataFrame, DataFrame]:
-    """Index rows of all documents where some need more than their head, and the heads of those that are hot nearly throughout."""
+    """Index rows of all documents where some need more than their head, and the first hot shingles of those that are hot nearly throughout."""
     whole = stage(_sets(docs, classes, longer.select("k"), n), "whole")
     toks = whole.select("k", F.posexplode("s").alias("pos", "s"))
     own = stage(toks.select("s").distinct(), "own")
@@ -215,20 +219,31 @@ def _whole_prefixes(docs, classes, chosen, longer, freq, n, pct) -> tuple[DataFr
             size = len(s)
             l, r = best_prefix(size, pct, df, size)
             l, r, end = (l, r, size - _least(size, pct) + l) if l else (WHOLE, 1, size)
-            yield k, size, c, l, r, [s[i] for i in np.flatnonzero(df[:end] < HOT)]
+            rare = np.flatnonzero(df[:end] < HOT)
+            # the 1-prefix of the order in which hot shingles come last
+            hot = np.flatnonzero(df >= HOT)[:max(0, size - _least(size, pct) + 1 - rare.size)] if l == WHOLE else ()
+            yield k, size, c, l, r, [s[i] for i in rare], [s[i] for i in hot]
 
     got = longer.select("k", "c").join(whole, "k").join(freqs, "k", "left")
-    extra = stage(map_rows(got, rows, "k binary, n long, c binary, l int, r int, toks array<long>"), "longer")
+    extra = stage(map_rows(got, rows, "k binary, n long, c binary, l int, r int, toks array<long>, hot array<long>"), "longer")
     useful = freq.select("s").union(own).distinct()
-    rest = chosen.where("not more").union(extra.withColumn("more", F.lit(True))).select("k", "n", "c", "l", "r", F.explode("toks").alias("s"))
+    rest = chosen.where("not more").drop("more").union(extra.drop("hot")).select("k", "n", "c", "l", "r", F.explode("toks").alias("s"))
     index = rest.join(useful, "s", "left_semi").select("k", "n", "c", "l", "r", "s")
-    # two such documents share as many shingles of their heads as the shorter head has beyond the 0-prefix
-    beyond = F.expr(f"int(size(head) - (n - ({pct} * n + 99) div 100))")
-    heads = classes.join(extra.where(F.col("l") == WHOLE).select("k", "c"), "k")
-    saturated = heads.select("k", "n", "c", beyond.alias("l"), beyond.alias("r"), F.explode("head").alias("s"))
+    saturated = extra.where(F.col("l") == WHOLE).select("k", "n", "c", F.size("toks").alias("u"), F.explode("hot").alias("s"))
     return index, stage(saturated, "saturated")
 
 
+def _hot_matches(index: DataFrame, pct: int) -> DataFrame:
+    """Pairs of documents that are hot nearly throughout (u shingles aren't) and share one of the first hot ones.
+
+    Pairs that share a rare shingle are matched by that; the others lose all u on either side.
+    """
+    b = index.select(*[F.col(x).alias(f"{x}2") for x in index.columns])
+    return (index.join(b, (F.col("s") == F.col("s2")) & (F.col("k") < F.col("k2")) & (F.col("c") != F.col("c2"))
+                       & F.expr(f"{100 + pct} * least(n - u, n2 - u2) >= {pct} * (n + n2)"))
+            .select(F.col("k").alias("a"), F.col("k2").alias("b")).distinct())
+
+
 def _sets(docs: DataFrame, classes: DataFrame, keys: DataFrame, n: int) -> DataFrame:
     """(k, s): the whole sets of the classes in ``keys``."""
     ids = stage(keys.join(classes.select("k", "doc_id"), "k").where("doc_id is not null").select("k", "doc_id"), "ids")

@@ -50,3 +50,29 @@ def op6(spark, sf_dir):
 def op8(spark, sf_dir):
     from hubflow.llm.quality_rules import quality_rules
     return quality_rules(table(spark, sf_dir, "documents"))
+
+
+@query("op4_best_fit_packing")
+def op4(spark, sf_dir):
+    import public_tokenizers
+    from hubflow.llm.packing import pack
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), 2048)
+
+
+@query("op5_toxicity")
+def op5(spark, sf_dir):
+    from hubflow.llm.toxicity import toxicity
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op7_url_filter")
+def op7(spark, sf_dir):
+    from hubflow.llm.url_filter import url_verdicts
+    return url_verdicts(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op10_suffix_dedup")
+def op10(spark, sf_dir):
+    from hubflow.llm.suffix_dedup import repeat_report
+    return repeat_report(table(spark, sf_dir, "documents"), 100).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
