@@ -84,14 +84,14 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
-SKETCH_BITS = 26
+SKETCH_BITS = 24
 
 
 def membership_sketch(keys: DataFrame, key: Column, bits: int = SKETCH_BITS):
     """Broadcast bitmap of 2**bits bits with the bit of every key set.
 
     A key that is in ``keys`` always tests positive; others pass with the share of bits
-    set. The size is fixed (8 MB at 26 bits), whatever the number of keys: it only saves
+    set. The size is fixed (2 MB at 24 bits), whatever the number of keys: it only saves
     shuffled rows before an exact join, it never decides a result.
     ``key`` must be a long with well spread low bits (a hash, or a dense id);
     ``sketch_test`` tests numpy arrays of the same longs.

@@ -5,7 +5,7 @@ doc_id, or same document and earlier start) is removed; strings are judged on th
 
 Distribution. Any two equal strings of ``length`` bytes contain the same anchors: an
 anchor is a ``GRAM``-byte string with the least hash in some window of that length, which
-depends on the window's bytes alone (about one anchor in forty bytes). So only texts
+depends on the window's bytes alone (about one anchor in thirty bytes). So only texts
 around equal anchors have to be compared:
 
 1. Anchors are counted over all texts (partial aggregates collapse hot ones); the rest of
@@ -32,13 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hubflow.llm.common import id_text, map_rows, membership_sketch, ship_package, sketch_test, stage, unstage
-from hubflow.llm.hashing import BYTE, U, mix, powers
+from hubflow.llm.hashing import BYTE, U, gram_hashes, mix, powers
 
-LENGTH, GRAM = 100, 24
+LENGTH, GRAM = 100, 40
 #: Different contexts of one anchor that are sorted in one task.
 GROUP = 20_000
 #: Bytes that one suffix array takes, but for a single larger group (GROUP contexts at most).
-BUFFER = 1 << 20
+BUFFER = 1 << 18
 BLOCK = 1 << 20
 
 
@@ -92,12 +92,13 @@ def suffix_order(s: np.ndarray, depth: int) -> np.ndarray:
     """
     n = s.size
     nxt = np.concatenate((s[1:].astype(np.int16), [-1]))
-    differ = np.flatnonzero(s != nxt)
-    at = differ[np.searchsorted(differ, np.arange(n))]  # the next place where neighbours differ
+    at = np.where(s != nxt, np.arange(n), n)
+    at = np.minimum.accumulate(at[::-1])[::-1]  # the next place where neighbours differ
     small = s[at] < nxt[at]  # smaller than its successor
-    word = words_of(s, depth)
     mine = np.flatnonzero(small)
-    mine = mine[np.lexsort([word[mine + o] for o in range(8 * ((depth - 1) // 8), -1, -8)])]
+    wide = np.concatenate((s, np.zeros(depth, np.uint8)))
+    head = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(wide, depth)[mine]).view(f"S{depth}").ravel()
+    mine = mine[np.argsort(head)]
     bounds = np.searchsorted(s[mine], np.arange(257))
     queue: list[list[np.ndarray]] = [[] for _ in range(256)]
     queue[s[n - 1]].append(np.array([n - 1]))
@@ -121,37 +122,36 @@ def suffix_order(s: np.ndarray, depth: int) -> np.ndarray:
     return np.concatenate(order)
 
 
-def words_of(s: np.ndarray, beyond: int) -> np.ndarray:
-    """The eight bytes from every place on as one number, zeros after the end; ``beyond`` places more than the array has."""
-    wide = np.concatenate((s, np.zeros(beyond + 16, np.uint8))).astype(U)
-    size = s.size + beyond + 8
-    word = np.zeros(size, U)
-    for j in range(8):
-        word |= wide[j:j + size] << U(56 - 8 * j)
-    return word
-
-
 def repeated(docs: np.ndarray, starts: np.ndarray, texts: list[bytes], length: int = LENGTH) -> list[tuple[int, int, int]]:
     """(doc, from, to): the merged windows of ``length`` bytes in the contexts (doc, start, bytes) that stand earlier in another place of them."""
     s = np.frombuffer(b"".join(texts), np.uint8)
     sizes = np.array([len(t) for t in texts])
     ends = sizes.cumsum()
+    of = np.repeat(np.arange(sizes.size), sizes)
     order = suffix_order(s, length)
-    word = words_of(s, length)
-    same = np.ones(order.size - 1, bool)
-    for o in [*range(0, length - 7, 8), length - 8]:  # the adjacent common prefix has ``length`` bytes
-        same &= word[order[1:] + o] == word[order[:-1] + o]
-    kind = np.concatenate(([0], (~same).cumsum()))
-    of = np.searchsorted(ends, order, "right")
-    whole = order + length <= ends[of]
-    order, kind, of = order[whole], kind[whole], of[whole]
-    doc, start = docs[of], starts[of] + order - (ends - sizes)[of]
-    by = np.lexsort((start, doc, kind))
-    doc, start, kind = doc[by], start[by], kind[by]
-    head = np.concatenate(([True], kind[1:] != kind[:-1]))
-    first = np.maximum.accumulate(np.where(head, np.arange(kind.size), 0))
-    later = (doc != doc[first]) | (start != start[first])
-    return merged(doc[later], start[later], start[later] + length)
+    order = order[order + length <= ends[of[order]]]  # windows within one context
+    if not order.size:
+        return []
+    # the adjacent common prefix has ``length`` bytes; a hash of the window tells most others
+    h = gram_hashes(s, length)[order]
+    same = np.flatnonzero(h[1:] == h[:-1])
+    windows = np.lib.stride_tricks.sliding_window_view(s, length)
+    for at in range(0, same.size, 1 << 16):
+        i = same[at:at + (1 << 16)]
+        same[at:at + (1 << 16)] = np.where((windows[order[i]] == windows[order[i + 1]]).all(axis=1), i, -1)
+    new = np.ones(order.size, bool)
+    new[same[same >= 0] + 1] = False
+    heads = np.flatnonzero(new)
+    names, rank = np.unique(docs, return_inverse=True)
+    place = (rank.astype(np.int64) << 40)[of[order]] + starts[of[order]] + order - (ends - sizes)[of[order]]
+    first = np.minimum.reduceat(place, heads)
+    later = np.unique(place[place != np.repeat(first, np.diff(np.append(heads, order.size)))])
+    if not later.size:
+        return []
+    run = np.flatnonzero(np.concatenate(([True], np.diff(later) > length)))
+    last = np.append(run[1:], later.size) - 1
+    low = (1 << 40) - 1
+    return list(zip(names[later[run] >> 40].tolist(), (later[run] & low).tolist(), ((later[last] & low) + length).tolist()))
 
 
 def merged(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> list[tuple[int, int, int]]:
@@ -256,8 +256,6 @@ def _sorted_groups(held: DataFrame, length: int) -> DataFrame:
 
 def _by_window(held: DataFrame, length: int) -> DataFrame:
     """The same for anchors with very many contexts: the first of each kind of window by an aggregate."""
-    from hubflow.llm.hashing import gram_hashes
-
     def windows(cols):
         for a, doc, lo, part in zip(*(cols[x] for x in ("a", "doc", "lo", "part"))):
             for i, h in enumerate(gram_hashes(np.frombuffer(part, np.uint8), length).view(np.int64).tolist()):

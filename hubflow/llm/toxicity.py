@@ -1,6 +1,6 @@
 """Toxicity scores: a linear classifier on character n-grams scaled by naive Bayes log-count ratios (operator 5).
 
-A text's features are the distinct hashed 5-byte grams of its lower-cased whole text.
+A text's features are the distinct hashed 5- and 8-byte grams of its lower-cased whole text.
 Each is scaled by its log-count ratio r between toxic and other training texts; grams
 that are rare in training or tell little (|r| < ``MIN_RATIO``) are left out. A logistic
 regression on the scaled features gives the score.
@@ -22,11 +22,11 @@ from pyspark.sql import functions as F
 from hubflow.llm.common import id_text, map_rows, ship_package
 from hubflow.llm.hashing import LOWER, gram_hashes
 
-GRAM, BITS = 5, 18
+GRAMS, BITS = (5, 8), 20
 #: Bound of the training sample: labelled rows of each class.
-PER_CLASS = 2000
+PER_CLASS = 1500
 MIN_DOCS, MIN_RATIO = 5, 1.0
-STEPS, RATE, RIDGE = 200, 0.3, 1e-4
+STEPS, RATE, RIDGE = 200, 0.3, 1e-2
 #: Bytes of a text that are hashed at once; neighbouring blocks overlap by a gram.
 BLOCK = 1 << 20
 
@@ -34,8 +34,8 @@ BLOCK = 1 << 20
 def features(text: bytes | None) -> np.ndarray:
     """Distinct hashed character grams of the whole text, a blank before and after."""
     raw = LOWER[np.frombuffer(b" " + (text or b"") + b" ", np.uint8)]
-    parts = [np.unique(gram_hashes(raw[at:at + BLOCK + GRAM - 1], GRAM) >> np.uint64(64 - BITS)) for at in range(0, raw.size, BLOCK)]
-    return (parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts))).astype(np.int64)
+    parts = [np.unique((gram_hashes(raw[at:at + BLOCK + n - 1], n) >> np.uint64(64 - BITS)).astype(np.int32)) for n in GRAMS for at in range(0, raw.size, BLOCK)]
+    return np.unique(np.concatenate(parts))
 
 
 @dataclass
@@ -57,7 +57,7 @@ def fit(rows: list[tuple[np.ndarray, int]]) -> Model:
         share = (y.sum() + 1) / (y.size + 2)
         return Model(np.zeros(size), float(np.log(share / (1 - share))))
     length = np.array([x.size for x, _ in rows])
-    flat, row = np.concatenate([x for x, _ in rows]), np.repeat(np.arange(len(rows)), length)
+    flat, row = np.concatenate([x for x, _ in rows]), np.repeat(np.arange(len(rows), dtype=np.int32), length)
     pos = np.bincount(flat, y[row], size)
     neg = np.bincount(flat, 1 - y[row], size)
     ratio = np.log((pos + 1) / (pos + 1).sum()) - np.log((neg + 1) / (neg + 1).sum())
@@ -65,17 +65,18 @@ def fit(rows: list[tuple[np.ndarray, int]]) -> Model:
     keep = ratio[flat] != 0
     flat, row = flat[keep], row[keep]
     scale = ratio[flat]
+    weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (y.size - y.sum()))  # both classes weigh the same
     w, bias = np.zeros(size), 0.0
     squares, square = np.full(size, 1e-8), 1e-8
     for _ in range(STEPS):  # gradient steps with a rate for each weight
         z = np.bincount(row, scale * w[flat], y.size) + bias
-        error = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y) / y.size
+        error = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y) * weight
         grad = np.bincount(flat, scale * error[row], size) + RIDGE * w
         squares += grad * grad
         w -= RATE * grad / np.sqrt(squares)
         square += error.sum() ** 2
         bias -= RATE * error.sum() / np.sqrt(square)
-    return Model(w * ratio, bias)
+    return Model((w * ratio).astype(np.float32), bias)
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS, usable: Column | None = None) -> Model:
@@ -97,10 +98,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
     def rows(cols):
         for doc_id, text in zip(cols["doc_id"], cols["text"]):
             if doc_id in ids.value:
-                yield doc_id, features(text).astype(np.int32).tobytes()
+                yield doc_id, features(text).tobytes()
 
     got = map_rows(id_text(docs), rows, "doc_id long, x binary", rows=64).dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
-    return fit([(np.frombuffer(r["x"], np.int32).astype(np.int64), label_of[r["doc_id"]]) for r in got])
+    return fit([(np.frombuffer(r["x"], np.int32), label_of[r["doc_id"]]) for r in got])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
