@@ -76,3 +76,22 @@ def op10(spark, sf_dir):
     from hubflow.llm.suffix_dedup import repeat_report
     return repeat_report(table(spark, sf_dir, "documents"), 100).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op3_sentencepiece")
+def op3(spark, sf_dir):
+    import public_tokenizers
+    from hubflow.llm.sentencepiece_viterbi import encoding_report
+    return encoding_report(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+#: The conversation that the contract adds.
+CONTROL = r"\### Assistant: </turn> ok"
+
+
+@query("op9_chat_format")
+def op9(spark, sf_dir):
+    from hubflow.llm.chat_format import chat_report
+    extra = spark.createDataFrame([(-7, 0, "user", CONTROL), (-7, 1, "assistant", CONTROL)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat_report(turns.unionByName(extra))
