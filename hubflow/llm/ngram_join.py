@@ -39,6 +39,8 @@ HOT = 64
 CROWD = 16
 #: Comparing two sets costs about as much as listing this many candidate rows.
 VERIFY = 8
+#: Rounds in which documents may turn out to need their whole set before the frequencies are final.
+LONGER = 4
 #: Members of a crowd that all others are compared with, and rounds of that.
 PIVOTS, ROUNDS = 3, 3
 
@@ -146,18 +148,36 @@ def _candidates(docs: DataFrame, classes: DataFrame, tied: DataFrame, n: int, pc
     crowd = _shingles(classes, membership_sketch(crowded, F.col("s"))).select("k", "s").join(crowded, "s").join(tied, F.col("k") == F.col("v"), "left")
     groups = crowd.select("s", F.coalesce("c", "k").alias("c")).distinct().groupBy("s").agg(F.count("*").alias("df"))
     freq2 = stage(freq.join(groups, "s", "left").select("s", F.coalesce("df", "m").alias("df")), "freq")
-    sketch = membership_sketch(freq2, F.col("s"))
-    shared = _shingles(classes, sketch).join(freq2, "s").groupBy(F.col("k").alias("fk")).agg(F.collect_list(F.struct("pos", "df")).alias("freq"))
-    chosen = stage(_choose(group.join(shared, F.col("k") == F.col("fk"), "left").drop("fk"), pct), "prefixes")
+    freq, whole = freq2, None
+    for left in reversed(range(LONGER)):
+        sketch = membership_sketch(freq, F.col("s"))
+        shared = _shingles(classes, sketch).join(freq, "s").groupBy(F.col("k").alias("fk")).agg(F.collect_list(F.struct("pos", "df")).alias("freq"))
+        chosen = stage(_choose(group.join(shared, F.col("k") == F.col("fk"), "left").drop("fk"), pct), "prefixes")
+        longer = chosen.where("more").select("k", "c")
+        if whole is not None:
+            longer = longer.join(whole.select("k"), "k", "left_anti")
+        longer = stage(longer, "longer")
+        if not longer.limit(1).count():
+            break
+        more = _sets(docs, classes, longer.select("k"), n).join(longer, "k")
+        whole = stage(more if whole is None else whole.unionByName(more), "whole")
+        toks = whole.select("c", F.explode("s").alias("s")).distinct()
+        if left:  # whole sets hold shingles that no head has shown: count the groups of theirs anew
+            own = stage(toks.select("s").distinct(), "own")
+            heads = _shingles(classes, membership_sketch(own, F.col("s"))).select("k", "s").join(own, "s").join(tied, F.col("k") == F.col("v"), "left")
+            again = toks.select("s", "c").union(heads.select("s", F.coalesce("c", "k"))).distinct().groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
+            freq = stage(freq.join(own, "s", "left_anti").union(again), "freq")
+        else:
+            own = toks.select("s")
+    useful = freq.select("s") if whole is None or left else freq.select("s").union(own).distinct()
     index = chosen.where("not more").select("k", "n", "c", "l", "r", F.explode("toks").alias("s"))
-    longer = chosen.where("more").select("k", "n", "c")
-    some = longer.limit(1).count()
-    if some:
-        index, saturated = _whole_prefixes(docs, classes, chosen, longer, freq2, n, pct)
-    else:
-        index = index.join(freq2.select("s"), "s", "left_semi").select("k", "n", "c", "l", "r", "s")
-    pairs = stage(_matches(stage(index, "index"), pct), "pairs")
-    return stage(pairs.union(_hot_matches(saturated, pct)).distinct(), "pairs") if some else pairs
+    if whole is None:
+        return stage(_matches(stage(index.join(useful, "s", "left_semi").select("k", "n", "c", "l", "r", "s"), "index"), pct), "pairs")
+    long = stage(_whole_prefixes(whole, freq, pct), "long")
+    index = index.union(long.select("k", "n", "c", "l", "r", F.explode("toks").alias("s"))).join(useful, "s", "left_semi").select("k", "n", "c", "l", "r", "s")
+    saturated = long.where(F.col("l") == WHOLE).select("k", "n", "c", F.size("toks").alias("u"), F.explode("hot").alias("s"))
+    pairs = _matches(stage(index, "index"), pct).union(_hot_matches(stage(saturated, "saturated"), pct))
+    return stage(pairs.distinct(), "pairs")
 
 
 def _matches(index: DataFrame, pct: int) -> DataFrame:
@@ -204,13 +224,8 @@ def _choose(classes: DataFrame, pct: int) -> DataFrame:
 WHOLE = 1 << 30
 
 
-def _whole_prefixes(docs, classes, chosen, longer, freq, n, pct) -> tuple[DataFrame, DataFrame]:
-    """Index rows of all documents where some need more than their head, and the first hot shingles of those that are hot nearly throughout."""
-    whole = stage(_sets(docs, classes, longer.select("k"), n), "whole")
-    toks = whole.select("k", F.posexplode("s").alias("pos", "s"))
-    own = stage(toks.select("s").distinct(), "own")
-    freqs = toks.join(freq, "s").groupBy("k").agg(F.collect_list(F.struct("pos", "df")).alias("freq"))
-
+def _whole_prefixes(whole: DataFrame, freq: DataFrame, pct: int) -> DataFrame:
+    """Prefixes out of whole sets; l is WHOLE, and ``hot`` the first hot shingles, where a set is hot nearly throughout."""
     def rows(cols):
         for k, c, s, freq_ in zip(*(cols[x] for x in ("k", "c", "s", "freq"))):
             df = np.ones(len(s))
@@ -224,13 +239,8 @@ def _whole_prefixes(docs, classes, chosen, longer, freq, n, pct) -> tuple[DataFr
             hot = np.flatnonzero(df >= HOT)[:max(0, size - _least(size, pct) + 1 - rare.size)] if l == WHOLE else ()
             yield k, size, c, l, r, [s[i] for i in rare], [s[i] for i in hot]
 
-    got = longer.select("k", "c").join(whole, "k").join(freqs, "k", "left")
-    extra = stage(map_rows(got, rows, "k binary, n long, c binary, l int, r int, toks array<long>, hot array<long>"), "longer")
-    useful = freq.select("s").union(own).distinct()
-    rest = chosen.where("not more").drop("more").union(extra.drop("hot")).select("k", "n", "c", "l", "r", F.explode("toks").alias("s"))
-    index = rest.join(useful, "s", "left_semi").select("k", "n", "c", "l", "r", "s")
-    saturated = extra.where(F.col("l") == WHOLE).select("k", "n", "c", F.size("toks").alias("u"), F.explode("hot").alias("s"))
-    return index, stage(saturated, "saturated")
+    freqs = whole.select("k", F.posexplode("s").alias("pos", "s")).join(freq, "s").groupBy("k").agg(F.collect_list(F.struct("pos", "df")).alias("freq"))
+    return map_rows(whole.join(freqs, "k", "left").select("k", "c", "s", "freq"), rows, "k binary, n long, c binary, l int, r int, toks array<long>, hot array<long>")
 
 
 def _hot_matches(index: DataFrame, pct: int) -> DataFrame:

@@ -270,7 +270,7 @@ def _by_window(held: DataFrame, length: int) -> DataFrame:
 def cut(text: bytes, spans) -> bytes:
     """The bytes outside the spans, joined."""
     out, at = [], 0
-    for s in spans or ():
+    for s in () if spans is None else spans:
         out.append(text[at:s["lo"]])
         at = s["hi"]
     return b"".join(out) + text[at:]
