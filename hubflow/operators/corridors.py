@@ -51,27 +51,40 @@ def skew_safe_quantiles(df: DataFrame, keys, specs, hot_rows: int = HOT_GROUP_RO
     if approx:
         return df.groupBy(*keys).agg(*[pct(c, q, True).alias(o) for o, c, q in specs])
 
-    def hashed(frame):
-        return frame.groupBy(*keys).agg(*[pct(c, q).alias(o) for o, c, q in specs])
+    columns = list(dict.fromkeys(c for _, c, _ in specs))
+    wanted = {c: [(o, q) for o, c2, q in specs if c2 == c] for c in columns}
 
-    def sorted_path(frame):
-        parts = []
-        for col in dict.fromkeys(c for _, c, _ in specs):
-            mine = [(o, q) for o, c, q in specs if c == col]
-            g = grouped_quantiles_sorted(frame, keys, col, [q for _, q in mine])
-            parts.append(g.select(*keys, *[F.col(f"q{i}").alias(o) for i, (o, _) in enumerate(mine)]))
-        return reduce(lambda a, b: a.join(b, keys) if keys else a.crossJoin(b), parts)
+    def hashed(frame):
+        # one value map per column, whatever the number of its quantiles
+        g = frame.groupBy(*keys).agg(*[F.percentile(c, [float(q) for _, q in wanted[c]]).alias(f"__p{i}") for i, c in enumerate(columns)])
+        return g.select(*keys, *[F.get(F.col(f"__p{columns.index(c)}"), j).alias(o) for c in columns for j, (o, _) in enumerate(wanted[c])])
+
+    def sorted_path(frame, groups):
+        # from the list of groups, so that one without any value stays, with NULLs
+        out = groups
+        for c in columns:
+            g = grouped_quantiles_sorted(frame, keys, c, [q for _, q in wanted[c]])
+            g = g.select(*[F.col(k).alias(f"__k_{k}") for k in keys], *[F.col(f"q{j}").alias(o) for j, (o, _) in enumerate(wanted[c])])
+            out = out.join(g, null_safe(out, g, keys), "left").drop(*[f"__k_{k}" for k in keys])
+        return out
 
     if sizes is None:
         sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    hot = sizes.filter(F.col("__n") > hot_rows).select(*keys)
+    hot = sizes.filter(F.col("__n") > hot_rows).select(*keys, F.lit(True).alias("__hot"))
     if hot.limit(1).count() == 0:
-        return hashed(df)
+        return hashed(df).select(*keys, *[o for o, _, _ in specs])
     if not keys:
-        return sorted_path(df)
-    hot_keys = F.broadcast(hot)
-    cold = hashed(df.join(hot_keys, keys, "left_anti"))
-    return cold.unionByName(sorted_path(df.join(hot_keys, keys, "left_semi")).select(*cold.columns))
+        return sorted_path(df, hot).select(*[o for o, _, _ in specs])
+    mark = F.broadcast(hot.select(*[F.col(k).alias(f"__k_{k}") for k in keys]))
+    cold = hashed(df.join(mark, null_safe(df, mark, keys), "left_anti"))
+    warm = sorted_path(df.join(mark, null_safe(df, mark, keys), "left_semi"), hot.select(*keys))
+    out = [*keys, *[o for o, _, _ in specs]]
+    return cold.select(*out).unionByName(warm.select(*out))
+
+
+def null_safe(left: DataFrame, right: DataFrame, keys) -> Column:
+    """Join condition ``left.key <=> right.__k_key``; true without keys."""
+    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[f"__k_{k}"]) for k in keys], F.lit(True))
 
 
 def with_quantiles(df: DataFrame, keys, aggs, specs, hot_rows: int = HOT_GROUP_ROWS,
@@ -89,8 +102,7 @@ def with_quantiles(df: DataFrame, keys, aggs, specs, hot_rows: int = HOT_GROUP_R
     if not keys:
         return base.crossJoin(q)  # one row each
     qr = q.select(*[F.col(k).alias(f"__k_{k}") for k in keys], *[o for o, _, _ in specs])
-    cond = reduce(lambda a, b: a & b, [base[k].eqNullSafe(qr[f"__k_{k}"]) for k in keys])
-    return base.join(qr, cond).drop(*[f"__k_{k}" for k in keys])
+    return base.join(qr, null_safe(base, qr, keys), "left").drop(*[f"__k_{k}" for k in keys])
 
 
 def edge_weights(train: DataFrame, keys=STRATA, tail_q: float = 0.95,
@@ -143,17 +155,20 @@ def corridor_edges(df: DataFrame, ratio: str = "computed_delay_ratio", actual="s
 
 def edge_summary(edges: DataFrame) -> DataFrame:
     """Edge-table profile: counts per route, low-support share, weight min/median/mean/max."""
-    return edges.agg(
+    median = skew_safe_quantiles(edges, [], [("weight_median", "edge_weight", 0.5)])
+    out = edges.agg(
         F.count(F.lit(1)).alias("edges"),
         F.count_if(F.col("route_type") == "FTL").alias("ftl_edges"),
         F.count_if(F.col("route_type") == "Carting").alias("carting_edges"),
         F.count_if(F.col("low_support")).alias("low_support_edges"),
-        (F.count_if(F.col("low_support")) * 100.0 / F.count(F.lit(1))).alias("low_support_pct"),
+        F.try_divide(F.count_if(F.col("low_support")) * 100.0, F.count(F.lit(1))).alias("low_support_pct"),
         F.min("edge_weight").alias("weight_min"),
-        F.median("edge_weight").alias("weight_median"),
         F.avg("edge_weight").alias("weight_mean"),
         F.max("edge_weight").alias("weight_max"),
     )
+    return out.crossJoin(median).select(  # one row each
+        "edges", "ftl_edges", "carting_edges", "low_support_edges", "low_support_pct", "weight_min", "weight_median",
+        "weight_mean", "weight_max")
 
 
 def offender_corridors(clean: DataFrame, min_trips: int = 50, breach: float = SLA_THRESHOLD,
@@ -191,16 +206,23 @@ def weighted_load(edges: DataFrame, top: int | None = 15) -> DataFrame:
 
 def tod_route_pivot(edges: DataFrame) -> DataFrame:
     """Median edge weight, time of day × route type (FTL, Carting columns)."""
-    return (edges.groupBy("time_of_day").pivot("route_type", ["FTL", "Carting"])
-            .agg(F.median("edge_weight")))
+    per = skew_safe_quantiles(edges, ["time_of_day", "route_type"], [("m", "edge_weight", 0.5)])
+    return per.groupBy("time_of_day").agg(*[F.max(F.when(F.col("route_type") == r, F.col("m"))).alias(r) for r in ("FTL", "Carting")])
 
 
 def tod_edge_median(edges: DataFrame) -> DataFrame:
     """Median edge weight by time of day plus the overall median on every row."""
-    overall = edges.agg(F.median("edge_weight").alias("overall_median_weight"))
-    return (edges.groupBy("time_of_day").agg(F.median("edge_weight").alias("median_weight"),
-                                             F.count(F.lit(1)).alias("edges"))
-            .crossJoin(F.broadcast(overall)))
+    overall = skew_safe_quantiles(edges, [], [("overall_median_weight", "edge_weight", 0.5)])
+    return (with_quantiles(edges, ["time_of_day"], [F.count(F.lit(1)).alias("edges")], [("median_weight", "edge_weight", 0.5)])
+            .select("time_of_day", "median_weight", "edges").crossJoin(F.broadcast(overall)))
+
+
+def hub_weekend_pivot(trips: DataFrame) -> DataFrame:
+    """Median delay ratio of each source hub on weekdays and at weekends."""
+    split = trips.select(F.col("source_center").alias("hub_id"),
+                         F.when(~F.col("is_weekend"), F.col("delay_ratio")).alias("weekday"),
+                         F.when(F.col("is_weekend"), F.col("delay_ratio")).alias("weekend"))
+    return skew_safe_quantiles(split, ["hub_id"], [("weekday_factor", "weekday", 0.5), ("weekend_factor", "weekend", 0.5)])
 
 
 def most_delayed(edges: DataFrame, min_trips: int = 20, top: int = 10,

@@ -58,10 +58,6 @@ def score_modes(df: DataFrame, params: dict = CEI_DEFAULTS) -> DataFrame:
     sla = ratio > p["sla_delay_threshold"]
     ftl_base = F.lit(p["fixed_ftl"]) + F.lit(p["var_ftl_per_km"]) * km
     cart_base = F.lit(p["fixed_carting"]) + F.lit(p["var_carting_per_km"]) * km
-    ftl_mult = (F.when(is_peak, F.lit(p["ftl_peak_multiplier"])).otherwise(F.lit(1.0))
-                * F.when(regime == "critical", F.lit(p["ftl_critical_bc_multiplier"]))
-                .when(regime == "high", F.lit(p["ftl_high_bc_multiplier"])).otherwise(F.lit(1.0))
-                * F.when(sla, F.lit(p["ftl_sla_multiplier"])).otherwise(F.lit(1.0)))
     cart_mult = F.when(is_peak, F.lit(p["carting_peak_multiplier"])).otherwise(F.lit(1.0))
     # multipliers are applied in the fixed order peak -> bottleneck -> SLA
     ftl_mult_seq = F.lit(1.0)
@@ -69,7 +65,6 @@ def score_modes(df: DataFrame, params: dict = CEI_DEFAULTS) -> DataFrame:
     ftl_mult_seq = (F.when(regime == "critical", ftl_mult_seq * p["ftl_critical_bc_multiplier"])
                     .when(regime == "high", ftl_mult_seq * p["ftl_high_bc_multiplier"]).otherwise(ftl_mult_seq))
     ftl_mult_seq = F.when(sla, ftl_mult_seq * p["ftl_sla_multiplier"]).otherwise(ftl_mult_seq)
-    del ftl_mult
     ftl_pen = F.array_compact(F.array(
         F.when(is_peak, F.lit(f"Peak hour (×{_mult(p['ftl_peak_multiplier'])})")),
         F.when(regime == "critical", F.concat(F.lit("Critical bottleneck at destination (BC="), _fmt(bc, 5),
@@ -227,7 +222,7 @@ def misroute_impact(recs: DataFrame) -> DataFrame:
     mis = F.col("is_misrouted")
     return m.agg(
         F.count(F.lit(1)).alias("evaluated"), F.count_if(mis).alias("misrouted"),
-        (F.count_if(mis) * 100.0 / F.count(F.lit(1))).alias("pct_misrouted"),
+        F.try_divide(F.count_if(mis) * 100.0, F.count(F.lit(1))).alias("pct_misrouted"),
         F.sum(F.when(mis, F.col("trip_count"))).alias("trips_affected"),
         F.avg(F.when(mis, F.col("cost_saving"))).alias("avg_saving"),
         F.sum("weighted_saving").alias("total_weighted_saving"),
@@ -255,7 +250,7 @@ def recommendation_summary(recs: DataFrame) -> DataFrame:
     return recs.agg(
         F.count(F.lit(1)).alias("rows"), F.count_if(F.col("recommendation") == "FTL").alias("ftl"),
         F.count_if(F.col("recommendation") == "Carting").alias("carting"),
-        (F.count_if(F.col("recommendation") == "FTL") * 100.0 / F.count(F.lit(1))).alias("ftl_pct"),
+        F.try_divide(F.count_if(F.col("recommendation") == "FTL") * 100.0, F.count(F.lit(1))).alias("ftl_pct"),
         F.count_if(F.col("override_applied")).alias("overrides"),
         F.count_if(F.col("confidence") == "HIGH").alias("high_conf"),
         F.count_if(F.col("confidence") == "MEDIUM").alias("medium_conf"),

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hubflow.schema import BETWEENNESS_EXACT_MAX, BETWEENNESS_PIVOTS, SLA_THRESHOLD
+from hubflow.schema import SLA_THRESHOLD
 from hubflow.session import cut_lineage, materialize_round
 
 
@@ -91,7 +91,10 @@ def successors(edges: DataFrame, hub: str) -> DataFrame:
 # Weakly connected components: min-label propagation with pointer jumping.
 # ---------------------------------------------------------------------------
 def weak_components(edges: DataFrame, vertices: DataFrame | None = None, max_iter: int = 100) -> DataFrame:
-    """(v, component) with component = smallest vertex id in the component."""
+    """(v, component) with component = smallest vertex id in the component.
+
+    Raises if the labels still change after ``max_iter`` rounds.
+    """
     v = vertices if vertices is not None else vertices_of(edges)
     und = (edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
            .union(edges.select(F.col("dst").alias("a"), F.col("src").alias("b")))
@@ -112,8 +115,8 @@ def weak_components(edges: DataFrame, vertices: DataFrame | None = None, max_ite
                    .filter(F.col("c") != F.col("old")).limit(1).count())
         labels = jumped
         if changed == 0:
-            break
-    return labels.withColumnRenamed("c", "component")
+            return labels.withColumnRenamed("c", "component")
+    raise RuntimeError(f"components have not converged after {max_iter} rounds")
 
 
 def component_sizes(components: DataFrame) -> DataFrame:
@@ -132,30 +135,16 @@ def component_summary(components: DataFrame, top: int = 5) -> DataFrame:
 # ---------------------------------------------------------------------------
 # Weighted directed betweenness (Brandes semantics) as DataFrame iterations.
 # ---------------------------------------------------------------------------
-def pick_pivots(vertices: DataFrame, k: int | None = None, exact_max: int = BETWEENNESS_EXACT_MAX,
-                auto_k: int = BETWEENNESS_PIVOTS, seed: int = 42) -> tuple[DataFrame, int, int]:
-    """Sources for betweenness: all vertices if n <= exact_max, else k = min(n, auto_k)
-    chosen by a seeded hash order (deterministic sampling is the feature here)."""
+def pick_pivots(vertices: DataFrame, k: int | None = None, seed: int = 42) -> tuple[DataFrame, int, int]:
+    """(sources, number of vertices, number of sources): all vertices, or with ``k`` the first k by a
+    seeded hash (sampling is only done when asked for)."""
     n = vertices.count()
-    if k is None and n > exact_max:
-        k = min(n, auto_k)
     if k is None or k >= n:
         return vertices.select(F.col("v").alias("s")), n, n
     ordered = vertices.orderBy(F.xxhash64(F.col("v"), F.lit(seed)), "v").limit(k)
     return ordered.select(F.col("v").alias("s")), n, k
 
 
-def _converge(step, state: DataFrame, key_cols, val: str, max_iter: int) -> DataFrame:
-    for _ in range(max_iter):
-        nxt = cut_lineage(step(state))
-        diff = (nxt.join(state.withColumnRenamed(val, "__old"), key_cols, "full")
-                .filter(~F.col(val).eqNullSafe(F.col("__old"))).limit(1).count())
-        state = nxt
-        if diff == 0:
-            return state
-    return state
-
-
 def betweenness(edges: DataFrame, vertices: DataFrame | None = None, weight: str = "weight",
                 k: int | None = None, seed: int = 42, max_iter: int = 1000,
                 normalized: bool = True) -> DataFrame:
@@ -167,12 +156,17 @@ def betweenness(edges: DataFrame, vertices: DataFrame | None = None, weight: str
     3. DAG height per (s, v) (integer fixed point) gives the number of rounds
        for path counts σ (forward) and dependencies δ (backward);
     4. BC(v) = scale · Σ_s δ(s,v), scale × n/k when pivots are sampled.
-    State is (pivot, vertex) pairs; the pivot count is capped by the sampling
-    rule, so the state is bounded by k · n, not by the trip volume.
+    Exact unless ``k`` asks for that many seeded pivots (``BETWEENNESS_PIVOTS``
+    is the published choice for large networks); ``pivots`` in the output says
+    how many were used.  State is (pivot, vertex) pairs, k · n rows, not the
+    trip volume.  Weights must be positive; raises if a loop has not converged
+    after ``max_iter`` rounds.
     """
     v = vertices if vertices is not None else vertices_of(edges)
     e = cut_lineage(edges.filter(F.col("src") != F.col("dst"))
                     .select("src", "dst", F.coalesce(F.col(weight), F.lit(1.0)).alias("w")))
+    if e.filter(~(F.col("w") > 0)).limit(1).count():
+        raise ValueError("betweenness needs positive weights")
     pivots, n, kk = pick_pivots(v, k, seed=seed)
 
     dist = cut_lineage(pivots.select("s", F.col("s").alias("v"), F.lit(0.0).alias("d"),
@@ -186,6 +180,8 @@ def betweenness(edges: DataFrame, vertices: DataFrame | None = None, weight: str
         dist, changed = materialize_round(nxt, i, "fresh", previous=dist)
         if changed == 0:
             break
+    else:
+        raise RuntimeError(f"distances have not converged after {max_iter} rounds")
     dist = cut_lineage(dist.select("s", "v", "d"))
 
     du = dist.select("s", F.col("v").alias("u"), F.col("d").alias("du"))
@@ -207,6 +203,8 @@ def betweenness(edges: DataFrame, vertices: DataFrame | None = None, weight: str
         height = height.drop("grew")
         if changed == 0:
             break
+    else:
+        raise RuntimeError(f"path heights have not converged after {max_iter} rounds")
     rounds = height.agg(F.max("h")).first()[0] or 0
 
     seed_sigma = dist.select("s", "v", F.when(F.col("s") == F.col("v"), F.lit(1)).otherwise(F.lit(0))
@@ -238,4 +236,5 @@ def betweenness(edges: DataFrame, vertices: DataFrame | None = None, weight: str
     scale = scale * n / kk
     total = (delta.filter(F.col("s") != F.col("v")).groupBy("v").agg(F.sum("delta").alias("b")))
     return (v.select("v").join(total, "v", "left")
-            .select("v", (F.coalesce(F.col("b"), F.lit(0.0)) * scale).alias("betweenness_centrality")))
+            .select("v", (F.coalesce(F.col("b"), F.lit(0.0)) * scale).alias("betweenness_centrality"),
+                    F.lit(kk).cast("long").alias("pivots")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hubflow.operators.corridors import HOT_GROUP_ROWS, not_null_keys, skew_safe_quantiles, with_quantiles
+from hubflow.operators.corridors import HOT_GROUP_ROWS, not_null_keys, with_quantiles
 from hubflow.operators.ordering import global_position
 
 HUB_FILL = ["outbound_trips", "inbound_trips", "avg_congestion_factor", "cutoff_rate",
@@ -17,32 +17,29 @@ def hub_features(train: DataFrame, hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
     """13 hub features from training trips.
 
     Outbound counts, rates and the FTL share are one partial aggregate;
-    exact medians / P75 and the weekend-vs-weekday median delta come from
-    ``skew_safe_quantiles`` (a hub holding a third of all trips is sorted
+    exact medians / P75 and the weekend-vs-weekday median delta are one second
+    pass through ``with_quantiles`` (a hub holding a third of all trips is sorted
     across many tasks, never hashed into one); all are one row per hub and
     join on the hub id.  Inbound is a second aggregate; a full outer join
     merges both
     (hubs seen only as source or only as destination survive).  ``ftl_count``
     stays NULL for destination-only hubs.
     """
-    src = not_null_keys(train, ["source_center"]).withColumnRenamed("source_center", "hub_id")
-    counts = src.groupBy("hub_id").agg(
+    src = not_null_keys(train, ["source_center"]).withColumnRenamed("source_center", "hub_id").withColumns({
+        "__weekend": F.when(F.col("is_weekend"), F.col("delay_ratio")),
+        "__weekday": F.when(~F.col("is_weekend"), F.col("delay_ratio"))})
+    # pass one: counts and sizes; pass two: every quantile, hot hubs on the sort-based path
+    ob = with_quantiles(src, ["hub_id"], [
         F.count("trip_uuid").alias("outbound_trips"),
         F.stddev_samp("delay_ratio").alias("std_delay_ratio"),
         F.avg(F.col("is_cutoff").cast("double")).alias("cutoff_rate"),
         F.countDistinct("destination_center").alias("unique_destinations"),
-        F.count_if(F.col("route_type") == "FTL").cast("double").alias("ftl_count"))
-    # exact per-hub quantiles, hot hubs on the sort-based path
-    q = skew_safe_quantiles(src, ["hub_id"], [("avg_congestion_factor", "delay_ratio", 0.5),
-                                              ("p75_delay_ratio", "delay_ratio", 0.75),
-                                              ("avg_dwell_time_min", "start_scan_to_end_scan", 0.5),
-                                              ("log_dwell_time", "log_dwell_time", 0.5)], hot_rows)
-    wk = (skew_safe_quantiles(src.filter(F.col("is_weekend").isNotNull()), ["hub_id", "is_weekend"],
-                              [("m", "delay_ratio", 0.5)], hot_rows)
-          .groupBy("hub_id").agg((F.max(F.when(F.col("is_weekend"), F.col("m")))
-                                  - F.max(F.when(~F.col("is_weekend"), F.col("m")))).alias("weekend_congestion_delta")))
-    ob = (counts.join(q, "hub_id").join(wk, "hub_id", "left")
-          .withColumn("ftl_ratio", F.col("ftl_count") / F.col("outbound_trips")))
+        F.count_if(F.col("route_type") == "FTL").cast("double").alias("ftl_count")],
+        [("avg_congestion_factor", "delay_ratio", 0.5), ("p75_delay_ratio", "delay_ratio", 0.75),
+         ("avg_dwell_time_min", "start_scan_to_end_scan", 0.5), ("log_dwell_time", "log_dwell_time", 0.5),
+         ("__we", "__weekend", 0.5), ("__wd", "__weekday", 0.5)], hot_rows)
+    ob = (ob.withColumn("weekend_congestion_delta", F.col("__we") - F.col("__wd")).drop("__we", "__wd")
+          .withColumn("ftl_ratio", F.try_divide(F.col("ftl_count"), F.col("outbound_trips"))))
     ib = not_null_keys(train, ["destination_center"]).groupBy(
         F.col("destination_center").alias("hub_id")).agg(
         F.count("trip_uuid").alias("inbound_trips"),

@@ -12,14 +12,17 @@ def prediction_table(df: DataFrame, actual: str = "actual_eta", predicted: str =
     err = F.col(predicted) - F.col(actual)
     den = F.greatest(F.abs(F.col(actual)), F.lit(guard)) if guard is not None else F.abs(F.col(actual))
     return (df.withColumn("abs_error", F.abs(err))
-            .withColumn("pct_error", F.abs(err) / den * 100.0)
+            .withColumn("pct_error", F.try_divide(F.abs(err), den) * 100.0)
             .withColumn("within_15pct", F.abs(err) <= F.lit(tol) * den))
 
 
 def regression_metrics(pred: DataFrame, by: str | None = "model", actual: str = "actual_eta",
                        predicted: str = "predicted_eta", router: str | None = "osrm_predicted_eta",
                        denominator: str = "actual", tol: float = 0.15) -> DataFrame:
-    """n, MAE, RMSE, MAPE, SLA adherence (%), plus the router on the same rows."""
+    """n, MAE, RMSE, MAPE, SLA adherence (%), plus the router on the same rows.
+
+    Rows with a zero denominator have no percentage error and don't count in the MAPE.
+    """
     y, p = F.col(actual), F.col(predicted)
     if denominator == "actual":
         den = F.abs(y)
@@ -31,7 +34,7 @@ def regression_metrics(pred: DataFrame, by: str | None = "model", actual: str =
         raise ValueError(denominator)
     aggs = [F.count(F.lit(1)).alias("n_samples"), F.avg(F.abs(p - y)).alias("mae"),
             F.sqrt(F.avg((p - y) * (p - y))).alias("rmse"),
-            (F.avg(F.abs(p - y) / den) * 100).alias("mape"),
+            (F.avg(F.try_divide(F.abs(p - y), den)) * 100).alias("mape"),
             (F.avg((F.abs(p - y) <= F.lit(tol) * den).cast("double")) * 100).alias("sla_adherence")]
     if router is not None:
         r = F.col(router)
@@ -40,7 +43,7 @@ def regression_metrics(pred: DataFrame, by: str | None = "model", actual: str =
     g = pred.groupBy(by) if by else pred
     out = g.agg(*aggs)
     if router is not None:
-        out = (out.withColumn("mae_reduction_pct", (F.col("router_mae") - F.col("mae")) / F.col("router_mae") * 100)
+        out = (out.withColumn("mae_reduction_pct", F.try_divide(F.col("router_mae") - F.col("mae"), F.col("router_mae")) * 100)
                .withColumn("sla_gain_pp", F.col("sla_adherence") - F.col("router_sla_adherence")))
     return out
 

@@ -31,11 +31,14 @@ def global_position(df: DataFrame, order_cols, pos_col: str = "pos",
     # counts and the final rows read that same copy.
     # The input is read twice by the range shuffle (bound sampling, then the
     # exchange); it is cached for that one step so its plan runs once.
-    src = df.persist()
+    level = df.storageLevel
+    owned = not (level.useMemory or level.useDisk)  # a cache the caller holds stays his
+    src = df.persist() if owned else df
     ranged = cut_lineage(src.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
                          .withColumn("__pid", F.spark_partition_id())
                          .withColumn("__idx", F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW33))))
-    src.unpersist()
+    if owned:
+        src.unpersist()
     counts = ranged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__cnt"))
     offsets = counts.select(
         "__pid",
@@ -51,10 +54,13 @@ def exact_quantile(df: DataFrame, col: str, q: float, tie_cols=()) -> DataFrame:
     """Exact linear-interpolation quantile of one column as a one-row frame.
 
     Sort-based: no single task holds a map of all distinct values, so the
-    global P99 of a 100 TB column stays distributed.
+    global P99 of a 100 TB column stays distributed.  Equal values are told
+    apart by ``tie_cols`` (default: a hash of the row), so a value that a third
+    of the rows share is spread over several partitions.
     """
-    vals = df.select(F.col(col).alias("__v"), *tie_cols).filter(F.col("__v").isNotNull())
-    positioned = global_position(vals, ["__v", *tie_cols], "__pos")
+    tie = F.xxhash64(*(tie_cols or df.columns)).alias("__tie")
+    vals = df.select(F.col(col).alias("__v"), tie).filter(F.col("__v").isNotNull())
+    positioned = global_position(vals, ["__v", "__tie"], "__pos")
     n = positioned.agg(F.count(F.lit(1)).alias("__n"))  # reads the materialised positions
     target = n.select("__n", (F.lit(q) * (F.col("__n") - 1)).alias("__t"))
     picked = (positioned.crossJoin(F.broadcast(target))
@@ -67,22 +73,24 @@ def exact_quantile(df: DataFrame, col: str, q: float, tie_cols=()) -> DataFrame:
 def grouped_quantiles_sorted(df: DataFrame, keys, col: str, qs) -> DataFrame:
     """Exact per-group linear-interpolation quantiles by sorting, not by hashing.
 
-    Rows are range-partitioned on (keys, value), so a group holding a third of
-    all rows is spread over many tasks; each group's start position and size
-    come from partial aggregates, and only the (at most two) rows at each
-    target rank are picked out.  Returns keys + one column ``q{i}`` per entry
-    of ``qs``.
+    Rows are range-partitioned on (keys, value, hash of the row), so neither a
+    group nor a value holding a third of all rows lands in one task; each
+    group's start position and size come from partial aggregates, and only the
+    (at most two) rows at each target rank are picked out.  Returns keys + one
+    column ``q{i}`` per entry of ``qs``; groups without a value have no row and
+    a NULL key is a group of its own.
     """
     keys = list(keys)
-    vals = df.select(*keys, F.col(col).alias("__v")).filter(F.col("__v").isNotNull())
-    pos = global_position(vals, [*keys, "__v"], "__pos")
+    vals = df.select(*keys, F.col(col).alias("__v"), F.xxhash64(*df.columns).alias("__tie")).filter(F.col("__v").isNotNull())
+    pos = global_position(vals, [*keys, "__v", "__tie"], "__pos").drop("__tie")
     groups = pos.groupBy(*keys).agg(F.min("__pos").alias("__start"), F.count(F.lit(1)).alias("__n"))
     targets = groups.select(*keys, "__start", "__n", F.posexplode(F.array(*[
         (F.lit(float(q)) * (F.col("__n") - 1)) for q in qs])).alias("__qi", "__t"))
     want = targets.select(*keys, "__qi", "__t", (F.col("__start") + F.floor("__t")).alias("__lo"),
                           (F.col("__start") + F.ceil("__t")).alias("__hi"))
-    lo = want.join(pos.select(*keys, F.col("__pos").alias("__lo"), F.col("__v").alias("__vlo")), [*keys, "__lo"])
-    both = lo.join(pos.select(*keys, F.col("__pos").alias("__hi"), F.col("__v").alias("__vhi")), [*keys, "__hi"])
+    # a position is unique over all groups, so it alone is the join key (keys may be NULL)
+    lo = want.join(pos.select(F.col("__pos").alias("__lo"), F.col("__v").alias("__vlo")), "__lo")
+    both = lo.join(pos.select(F.col("__pos").alias("__hi"), F.col("__v").alias("__vhi")), "__hi")
     interp = F.col("__vlo") + (F.col("__vhi") - F.col("__vlo")) * (F.col("__t") - F.floor("__t"))
     res = both.select(*keys, "__qi", interp.alias("__q"))
     return res.groupBy(*keys).pivot("__qi", list(range(len(qs)))).agg(F.first("__q")).select(

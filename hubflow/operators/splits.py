@@ -50,7 +50,8 @@ def expanding_folds(df: DataFrame, ts: str = "trip_creation_time", tie: str = "r
     p = _with_n(global_position(df, [ts, tie], "pos"))
     size = F.floor(F.col("__n") / (k + 1))
     first_test = F.col("__n") - size * k
-    fold = F.when(F.col("pos") >= first_test, F.floor((F.col("pos") - first_test) / size)).cast("int")
+    # fewer than k + 1 rows make folds of size 0: no row is tested
+    fold = F.when(F.col("pos") >= first_test, F.floor(F.try_divide(F.col("pos") - first_test, size))).cast("int")
     return p.withColumn("test_fold", fold).withColumn("fold_size", size.cast("bigint")).drop("__n")
 
 

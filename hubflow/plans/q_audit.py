@@ -174,7 +174,7 @@ def q_component_summary(spark, sf):
 
 
 @query("betweenness", f"""with recursive {S.AUDIT}{BC_SQL}
-select v, round(bc, 10) as betweenness_centrality from bc""")
+select v, round(bc, 10) as betweenness_centrality, (select count(*) from bc) as pivots from bc""")
 def q_betweenness(spark, sf):
     v, e = graph_of(spark, sf)
     return r10(G.betweenness(e, v.select("v")), "betweenness_centrality")

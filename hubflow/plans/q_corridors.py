@@ -161,9 +161,7 @@ select source_center as hub_id, median(delay_ratio) filter (where not is_weekend
   median(delay_ratio) filter (where is_weekend) as weekend_factor
 from feat where data = 'training' group by 1""")
 def q_hub_weekend_pivot(spark, sf):
-    return (training(spark, sf).groupBy(F.col("source_center").alias("hub_id"))
-            .pivot("is_weekend", [False, True]).agg(F.median("delay_ratio"))
-            .withColumnRenamed("false", "weekday_factor").withColumnRenamed("true", "weekend_factor"))
+    return C.hub_weekend_pivot(training(spark, sf))
 
 
 @query("hub_member_trips", f"""with {S.FEAT}{S.HUBS_TAIL}

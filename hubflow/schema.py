@@ -85,7 +85,6 @@ ROUTING_COLUMNS = ["source_center", "destination_center", "source_name", "destin
 # ---------------------------------------------------------------------------
 SLA_THRESHOLD = 1.20
 WINSOR_Q = 0.99
-BETWEENNESS_EXACT_MAX = 500
 BETWEENNESS_PIVOTS = 300
 LOW_SUPPORT_TRIPS = 5
 

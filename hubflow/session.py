@@ -53,7 +53,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
         return sc.getCheckpointDir()
-    if not sc.master.startswith("local"):
+    if not (sc.master == "local" or sc.master.startswith("local[")):
         raise RuntimeError("set spark.checkpoint.dir to a shared folder before running "
                            "iterative graph operators on a cluster")
     path = tempfile.mkdtemp(prefix="hubflow-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hubflow.schema import MODEL_RENAME, TIMESTAMP_COLUMNS, TRIP_SCHEMA
 
@@ -88,27 +89,47 @@ def trips_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def read_trips_csv(spark: SparkSession, path: str, pattern: str = "data_part_*.csv",
-                   timestamp_format: str | None = None) -> DataFrame:
-    """Typed scan of all CSV shards under ``path`` in one job.
-
-    Shards are discovered by glob inside Spark (no driver listing loop);
-    ``shard`` carries the file name, ``row_ord`` a deterministic order key
-    (file name, then byte position is not exposed — monotonically increasing
-    id within a file split is stable for a given input).
+                   timestamp_format: str | None = None, fallback: str | None = None) -> DataFrame:
+    """Typed scan of all CSV shards under ``path`` (or, without any there, ``fallback``) in one job.
+
+    Shards are found by glob inside Spark.  ``row_ord`` is the file order:
+    (shard name, start of the block in the shard, number within the block), so
+    it follows sorted shard names and lines however Spark packs files into
+    tasks.  ``corrupt_record`` holds the raw line where a cell doesn't parse
+    (its bad cells are NULL) and is NULL elsewhere, judged by the cells that
+    a query reads; ``corrupt_rows`` reads and judges all of them.
     """
-    reader = (spark.read.schema(TRIP_SCHEMA).option("header", True)
-              .option("mode", "PERMISSIVE"))
+    reader = (spark.read.schema(T.StructType([*TRIP_SCHEMA.fields, T.StructField("corrupt_record", T.StringType())]))
+              .option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "corrupt_record"))
     if timestamp_format:
-        reader = reader.option("timestampFormat", timestamp_format)
+        reader = reader.option("timestampFormat", timestamp_format).option("timestampNTZFormat", timestamp_format)
     target = path if path.endswith(".csv") else f"{path.rstrip('/')}/{pattern}"
-    df = reader.csv(target)
-    return (df.withColumn("shard", F.col("_metadata.file_name"))
-              .withColumn("row_ord", F.monotonically_increasing_id()))
+    if fallback and not path_exists(spark, target):
+        target = f"{fallback.rstrip('/')}/{pattern}"
+    meta = F.col("_metadata")
+    line = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    # a shard written by Spark is a folder: the path tells its parts apart
+    shard = F.regexp_replace(meta["file_path"], "^.*/(?=data_part_)", "") if not path.endswith(".csv") else meta["file_path"]
+    return (reader.csv(target).withColumn("shard", meta["file_name"])
+            .withColumn("row_ord", F.struct(shard.alias("shard"), meta["file_block_start"].alias("block"), line.alias("line"))))
+
+
+def corrupt_rows(df: DataFrame) -> DataFrame:
+    """rows and corrupt_rows of a CSV scan (one row)."""
+    bad = F.when(F.col("corrupt_record").isNotNull(), F.struct(*TRIP_SCHEMA.fieldNames()))  # cells are parsed where they are read
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.count(bad).alias("corrupt_rows"))
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether the path or glob matches anything."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p)  # noqa: SLF001
+    return found is not None and len(found) > 0
 
 
-def read_trips(spark: SparkSession, path: str) -> DataFrame:
-    """Parquet or CSV trip source, picked by suffix."""
-    if path.endswith(".parquet") or "parquet" in path:
+def read_trips(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
+    """Parquet or CSV trip source; ``fmt`` ("parquet" or "csv"), else by the path's suffix."""
+    if (fmt or ("parquet" if path.rstrip("/").endswith(".parquet") else "csv")) == "parquet":
         return spark.read.parquet(path)
     return read_trips_csv(spark, path)
 
@@ -117,9 +138,7 @@ def read_parquet_or_clean(spark: SparkSession, clean_path: str, raw_path: str,
                           rules=None) -> DataFrame:
     """Cleaned parquet if present, else the raw shards cleaned inline."""
     from hubflow.functions.cleaning import EDA_RULES, apply_rules, drop_critical_nulls
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(clean_path)  # noqa: SLF001
-    fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())  # noqa: SLF001
-    if fs.exists(jvm_path):
+    if path_exists(spark, clean_path):
         return spark.read.parquet(clean_path)
     raw = read_trips(spark, raw_path)
     return apply_rules(drop_critical_nulls(raw), rules or EDA_RULES)

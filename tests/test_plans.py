@@ -21,10 +21,18 @@ def test_parquet_scan_prunes_columns(spark):
     assert scan and "l_discount" not in scan[0] and "l_shipdate" not in scan[0]
 
 
-def test_filters_reach_the_scan(spark):
-    from pyspark.sql import functions as F
-    df = spark.read.parquet(f"{SF}/lineitem.parquet").filter(F.col("l_quantity") > 10).select("l_orderkey")
-    assert "PushedFilters: [IsNotNull(l_quantity), GreaterThan(l_quantity,10.0)]" in _plan(df)
+def test_training_trips_read_three_columns_of_orders(spark):
+    from hubflow.plans.common import training
+    scan = [l for l in _plan(training(spark, SF).select("delay_ratio")).splitlines() if "orders.parquet" in l]
+    assert scan and "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint,o_orderdate:timestamp_ntz>" in scan[0]
+
+
+def test_hub_features_read_the_trips_at_most_three_times(spark):
+    from hubflow.operators.hubs import hub_features
+    from hubflow.plans.common import training
+    plan = _plan(hub_features(training(spark, SF)))
+    assert plan.count("lineitem.parquet") <= 2  # the first pass is written before the plan starts
+    assert plan.count(" percentile(delay_ratio") <= 2  # one value map, partial and final
 
 
 def test_decision_rules_have_no_python_udf(spark):
