@@ -83,9 +83,11 @@ def anchors(text: bytes, length: int = LENGTH, k: int = GRAM) -> tuple[np.ndarra
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def suffix_order(s: np.ndarray, depth: int) -> np.ndarray:
+def suffix_order(s: np.ndarray, depth: int, wanted: np.ndarray | None = None) -> np.ndarray:
     """Suffix starts of the byte array in the order of their first ``depth`` bytes at least.
 
+    With ``wanted`` (a flag for each place) only those and the ones they are induced from.
+
     Suffixes smaller than their successors are sorted directly; the others are induced
     bucket by bucket: when a bucket is complete, every suffix in it hands its
     predecessor, if that is larger, to the end of that one's bucket.
@@ -95,31 +97,43 @@ def suffix_order(s: np.ndarray, depth: int) -> np.ndarray:
     at = np.where(s != nxt, np.arange(n), n)
     at = np.minimum.accumulate(at[::-1])[::-1]  # the next place where neighbours differ
     small = s[at] < nxt[at]  # smaller than its successor
-    mine = np.flatnonzero(small)
+    if wanted is None:
+        needed = np.ones(n, bool)
+    else:  # up to the next suffix that is sorted directly
+        following = np.where(small, np.arange(n), n - 1)
+        following = np.minimum.accumulate(following[::-1])[::-1]
+        mark = np.zeros(n + 1, np.int64)
+        places = np.flatnonzero(wanted)
+        np.add.at(mark, places, 1)
+        np.add.at(mark, following[places] + 1, -1)
+        needed = mark.cumsum()[:n] > 0
+    mine = np.flatnonzero(small & needed)
     wide = np.concatenate((s, np.zeros(depth, np.uint8)))
     head = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(wide, depth)[mine]).view(f"S{depth}").ravel()
     mine = mine[np.argsort(head)]
     bounds = np.searchsorted(s[mine], np.arange(257))
     queue: list[list[np.ndarray]] = [[] for _ in range(256)]
-    queue[s[n - 1]].append(np.array([n - 1]))
+    if needed[n - 1]:
+        queue[s[n - 1]].append(np.array([n - 1]))
+    induced = ~small & needed
     order = []
     for c in range(256):
         large = [np.concatenate(queue[c])] if queue[c] else []
         while large and large[-1].size:  # predecessors within a run of one byte
             p = large[-1][large[-1] > 0] - 1
-            large.append(p[(s[p] == c) & ~small[p]])
+            large.append(p[(s[p] == c) & induced[p]])
         bucket = np.concatenate([*large, mine[bounds[c]:bounds[c + 1]]])
         if not bucket.size:
             continue
         order.append(bucket)
         p = bucket[bucket > 0] - 1
-        p = p[~small[p] & (s[p] > c)]
+        p = p[induced[p] & (s[p] > c)]
         p = p[np.argsort(s[p], kind="stable")]
         cut = np.flatnonzero(np.diff(s[p])) + 1
         for part in np.split(p, cut):
             if part.size:
                 queue[s[part[0]]].append(part)
-    return np.concatenate(order)
+    return np.concatenate(order) if order else np.empty(0, np.int64)
 
 
 def repeated(docs: np.ndarray, starts: np.ndarray, texts: list[bytes], length: int = LENGTH) -> list[tuple[int, int, int]]:
@@ -128,8 +142,9 @@ def repeated(docs: np.ndarray, starts: np.ndarray, texts: list[bytes], length: i
     sizes = np.array([len(t) for t in texts])
     ends = sizes.cumsum()
     of = np.repeat(np.arange(sizes.size), sizes)
-    order = suffix_order(s, length)
-    order = order[order + length <= ends[of[order]]]  # windows within one context
+    inside = np.arange(s.size) + length <= ends[of]  # windows within one context
+    order = suffix_order(s, length, inside)
+    order = order[inside[order]]
     if not order.size:
         return []
     # the adjacent common prefix has ``length`` bytes; a hash of the window tells most others
@@ -145,7 +160,7 @@ def repeated(docs: np.ndarray, starts: np.ndarray, texts: list[bytes], length: i
     names, rank = np.unique(docs, return_inverse=True)
     place = (rank.astype(np.int64) << 40)[of[order]] + starts[of[order]] + order - (ends - sizes)[of[order]]
     first = np.minimum.reduceat(place, heads)
-    later = np.unique(place[place != np.repeat(first, np.diff(np.append(heads, order.size)))])
+    later = np.sort(place[place != np.repeat(first, np.diff(np.append(heads, order.size)))])
     if not later.size:
         return []
     run = np.flatnonzero(np.concatenate(([True], np.diff(later) > length)))
@@ -207,11 +222,13 @@ def removed_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     covered = (found.where("not again").join(firsts.select("a", "c", "first"), ["a", "c"]).where("doc <> first").select("doc", "lo", "hi")
                .union(found.where("again").select("doc", "lo", "hi")))
 
-    wanted = firsts.join(several, "a", "left_semi").select((F.col("a").bitwiseXOR(F.col("c")).bitwiseXOR(F.col("first"))).alias("key"))
-    keys = membership_sketch(wanted, F.col("key"))
+    wanted = stage(firsts.join(several, "a", "left_semi").select((F.col("a").bitwiseXOR(F.col("c")).bitwiseXOR(F.col("first"))).alias("key"), "first"), "wanted")
+    keys, holders = membership_sketch(wanted, F.col("key")), membership_sketch(wanted, F.col("first"))
 
     def contexts(cols):
-        for doc_id, text in zip(cols["doc_id"], cols["text"]):
+        hold = sketch_test(holders.value, np.array(cols["doc_id"], np.int64))
+        for at in np.flatnonzero(hold).tolist():
+            doc_id, text = cols["doc_id"][at], cols["text"][at]
             pos, a, c, lo, hi = anchors(text, length)
             for i in np.flatnonzero(sketch_test(keys.value, a ^ c ^ np.int64(doc_id))).tolist():
                 yield int(a[i]), doc_id, int(lo[i]), text[lo[i]:hi[i]]
