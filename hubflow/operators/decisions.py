@@ -47,9 +47,27 @@ def quarantine(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return v.filter(F.col("error").isNull()).drop("error"), v.filter(F.col("error").isNotNull())
 
 
+def validate_params(params: dict) -> dict:
+    """The scorer's parameters, or a ValueError that lists every rule they break."""
+    p = CEI_DEFAULTS | params
+    unknown = sorted(set(params) - set(CEI_DEFAULTS))
+    broken = [f"unknown parameter {k}" for k in unknown]
+    broken += [f"{k} must be positive" for k in ("fixed_ftl", "var_ftl_per_km", "fixed_carting", "var_carting_per_km",
+                                                  "long_distance_threshold_km") if not p[k] > 0]
+    broken += [f"{k} must be at least 1" for k in CEI_DEFAULTS if k.endswith("_multiplier") and not p[k] >= 1]
+    rules = {"0 < bc_high_threshold < bc_critical_threshold": 0 < p["bc_high_threshold"] < p["bc_critical_threshold"],
+             "sla_delay_threshold must be in [1, 10]": 1 <= p["sla_delay_threshold"] <= 10,
+             "var_carting_per_km must exceed var_ftl_per_km": p["var_carting_per_km"] > p["var_ftl_per_km"],
+             "peak_hours must be hours from 0 to 23": all(h in range(24) for h in p["peak_hours"])}
+    broken += [rule for rule, holds in rules.items() if not holds]
+    if broken:
+        raise ValueError("; ".join(broken))
+    return p
+
+
 def score_modes(df: DataFrame, params: dict = CEI_DEFAULTS) -> DataFrame:
     """CEI for FTL and Carting: base = fixed + var·km, multiplicative penalties."""
-    p = params
+    p = validate_params(params)
     km, hour = F.col("distance_km"), F.col("hour_of_day")
     bc, ratio = F.col("destination_bc"), F.col("historical_delay_ratio")
     is_peak = hour.isin(*p["peak_hours"])

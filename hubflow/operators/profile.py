@@ -199,8 +199,5 @@ def error_curve(df: DataFrame, actual: str = "actual_time", estimate: str = "osr
 
 
 def sample_rows(df: DataFrame, n: int, seed: int = 42, key: str = "row_ord") -> DataFrame:
-    """Deterministic sample of about ``n`` rows (seeded Bernoulli on a stable key hash)."""
-    total = df.agg(F.count(F.lit(1)).alias("__n"))
-    u = (F.xxhash64(F.col(key), F.lit(seed)).bitwiseAND(F.lit((1 << 52) - 1)).cast("double") / float(1 << 52))
-    return (df.crossJoin(F.broadcast(total)).filter(u < F.least(F.lit(1.0), F.lit(float(n)) / F.col("__n")))
-            .drop("__n"))
+    """Seeded sample of exactly min(n, rows) rows: the first n by a hash of a stable key (each task keeps n at most)."""
+    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)).limit(n)

@@ -262,3 +262,13 @@ def q_neighbour_eta(spark, sf):
     te = e.filter(F.col("split") == "test")
     model = ML.fit_eta_model(tr, NB.EDGE_FEAT_COLS, draws=[_FAST], vector_cols=("src_vec", "dst_vec"))
     return M.prediction_table(ML.predict(model, te, keep=("row_ord",), positive=True))
+
+
+@query("order_components", """select 'c' || o_custkey as component, 1 + count(*) as size from orders
+where o_custkey is not null group by o_custkey""")
+def q_order_components(spark, sf):
+    """Weak components of the customer-order graph over the whole table: one for each customer with orders."""
+    o = spark.read.parquet(f"{sf}/orders.parquet").filter(F.col("o_custkey").isNotNull())
+    edges = o.select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("src"),
+                     F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("dst"))
+    return G.component_sizes(G.weak_components(edges))

@@ -116,3 +116,18 @@ def test_csv_rows_keep_file_order_and_bad_cells_are_reported(spark, tmp_path):
     assert tuple(corrupt_rows(df).first()) == (406, 1)
     missing = read_trips_csv(spark, os.path.join(tmp_path, "nowhere"), fallback=str(tmp_path))
     assert missing.count() == 406
+
+
+@pytest.mark.parametrize("bad", [{"fixed_ftl": 0}, {"var_carting_per_km": -1}, {"long_distance_threshold_km": 0}, {"bc_high_threshold": 1.0},
+                                 {"sla_delay_threshold": 11}, {"ftl_sla_multiplier": 0.9}, {"var_ftl_per_km": 20.0}, {"peak_hours": (25,)}, {"typo": 1}])
+def test_scorer_parameters_are_checked(bad):
+    with pytest.raises(ValueError):
+        D.validate_params(bad)
+    assert D.validate_params({"fixed_ftl": 400.0})["fixed_ftl"] == 400.0
+
+
+def test_sample_has_the_exact_size(spark):
+    df = spark.range(1000).select(F.col("id").alias("row_ord"))
+    a = sorted(r[0] for r in P.sample_rows(df, 150).collect())
+    assert len(set(a)) == 150 and a == sorted(r[0] for r in P.sample_rows(df.repartition(7), 150).collect())
+    assert P.sample_rows(df, 5000).count() == 1000
