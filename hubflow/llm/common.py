@@ -84,29 +84,45 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
-SKETCH_BITS = 24
+SKETCH_BITS = 26
+_PARTS = 64
 
 
 def membership_sketch(keys: DataFrame, key: Column, bits: int = SKETCH_BITS):
     """Broadcast bitmap of 2**bits bits with the bit of every key set.
 
     A key that is in ``keys`` always tests positive; others pass with the share of bits
-    set. The size is fixed (2 MB at 24 bits), whatever the number of keys: it only saves
+    set. The size is fixed (8 MB at 26 bits), whatever the number of keys: it only saves
     shuffled rows before an exact join, it never decides a result.
     ``key`` must be a long with well spread low bits (a hash, or a dense id);
-    ``sketch_test`` tests numpy arrays of the same longs.
+    ``sketch_test`` tests numpy arrays of the same longs. The bitmap is built in
+    ``_PARTS`` parts by as many tasks; the driver only puts the parts together.
     """
-    low = keys.select(key.bitwiseAND(F.lit((1 << bits) - 1).cast("long")).alias("x"))
-    words = (low.select(F.shiftright("x", 6).alias("w"), F.expr("shiftleft(1L, int(x % 64))").alias("b"))
-             .groupBy("w").agg(F.bit_or("b").alias("b")).toPandas())
-    table = np.zeros(1 << (bits - 6), np.uint64)
-    table[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64).view(np.uint64)
+    low = keys.select(key.bitwiseAND(F.lit((1 << bits) - 1).cast("long")).alias("x")).distinct()
+    words = (1 << (bits - 6)) // _PARTS
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, np.ndarray] = {}
+        for batch in batches:
+            x = batch.column(0).to_numpy(zero_copy_only=False)
+            for part in np.unique(x % _PARTS).tolist():
+                at = x[x % _PARTS == part] // _PARTS
+                table = parts.setdefault(part, np.zeros(words, np.uint64))
+                np.bitwise_or.at(table, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
+        if parts:
+            yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int64()), pa.array([t.tobytes() for t in parts.values()], pa.binary())], ["part", "bits"])
+
+    ship_package(keys.sparkSession)
+    table = np.zeros((_PARTS, words), np.uint64)
+    for row in low.where("x is not null").repartition(_PARTS // 4, F.col("x") % _PARTS).mapInArrow(build, "part long, bits binary").collect():
+        table[row["part"]] |= np.frombuffer(row["bits"], np.uint64)
     return keys.sparkSession.sparkContext.broadcast(table)
 
 
 def sketch_test(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     low = keys.view(np.uint64) & np.uint64(table.size * 64 - 1)
-    return ((table[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1)).astype(bool)
+    at = low // np.uint64(_PARTS)
+    return ((table[(low % np.uint64(_PARTS)).astype(np.int64), (at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool)
 
 
 def min_labels(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

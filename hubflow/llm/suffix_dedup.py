@@ -233,10 +233,13 @@ def removed_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             for i in np.flatnonzero(sketch_test(keys.value, a ^ c ^ np.int64(doc_id))).tolist():
                 yield int(a[i]), doc_id, int(lo[i]), text[lo[i]:hi[i]]
 
-    held = stage(map_rows(texts, contexts, "a long, doc long, lo long, part binary", rows=2_000).join(several, "a"), "contexts")
-    spans = covered.union(_sorted_groups(held.where(F.col("contexts") <= GROUP), length))
-    if several.where(F.col("contexts") > GROUP).limit(1).count():
-        spans = spans.union(_by_window(held.where(F.col("contexts") > GROUP), length))
+    held = map_rows(texts, contexts, "a long, doc long, lo long, part binary", rows=2_000)
+    huge = several.where(F.col("contexts") > GROUP).select("a")
+    if huge.limit(1).count():
+        held = stage(held, "contexts")
+        spans = covered.union(_sorted_groups(held.join(huge, "a", "left_anti"), length)).union(_by_window(held.join(huge, "a", "left_semi"), length))
+    else:
+        spans = covered.union(_sorted_groups(held, length))
 
     def join_up(cols):
         for doc_id, runs in zip(cols["doc"], cols["runs"]):

@@ -81,5 +81,5 @@ def test_odd_rows(docs):
 def test_texts_stay_whole_characters(docs):
     text = "é日本" + "".join(chr(0x4E00 + 7 * i) for i in range(60))
     out = {r["doc_id"]: r for r in S.remove_repeats(docs([(1, text), (2, text + " end"), (3, None)])).collect()}
-    assert out[1]["text"].startswith("é日本é") and out[2]["text"].endswith(" end") and out[3]["text"] is None
+    assert out[1]["text"] == text and out[2]["text"].endswith(" end") and len(out[2]["text"]) < 40 and out[3]["text"] is None
     assert set(out[1].asDict()) == set(docs([(1, "")]).columns)
