@@ -22,6 +22,8 @@ ads-track.example/click best-casino.example/slots online-pharmacy.example/viagra
 poker-bonus.example/join hot-singles.example/chat payday-loan.example/apply free-iphone.example/win torrent-warez.example/crack
 click-ads.example/track?aff=1 seo-links.example/farm replica-watches.example/sale win-lottery.example/claim porn-videos.example/free
 betting-tips.example/bets track-pixel.example/ad diet-pills.example/discount casino.example/free-spins adult-cams.example/live
+spam-farm.example.com/en/6 m.spam-farm.example.net/fr/81 cheap-pills.example.com/es/7 casino-win.example.net/en/44
+free-bets.example.org/de/2 adult-x.example.net/en/30 ads-track.example.com/en/91 www.spam-links.example.com/en/8
 www.cheap-meds.example/pills spam-blog.example/farm www.slots-win.example/casino m.ads-server.example/tracking warez-downloads.example/keygen
 """.split()] + [(u, 0) for u in """
 www.library.example/en/catalog blog.gardening.example/2019/tomatoes docs.python-tools.example/reference/io news.city.example/local/council
@@ -30,6 +32,8 @@ en.encyclopedia.example/wiki/River forum.cycling.example/thread/42 shop.books.ex
 government.example/forms/tax travel.example/en/rome blog.astronomy.example/post/saturn hospital.example/contact
 school.example/students/calendar music.example/artists/bach www.theatre.example/program theother.example/en/285 nation.example/fr/612
 therapy.example/en/about mathematics.example/algebra.html translation.example/de/19 thing.example/es/77 station.example/en/9.html
+river.example.com/en/14 m.garden.example.net/fr/7 blog.water.example.com/en/301 nation.example.net/es/9
+mother.example.com/en/88 www.others.example.org/de/5 harbour.example.net/en/2 m.then.example.com/fr/64
 www.station.example/en/425 blog.nature.example/en/birds river.example/fr/36 winter.example/de/schnee
 """.split()]
 
