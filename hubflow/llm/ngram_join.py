@@ -114,23 +114,24 @@ def _crowd_links(docs: DataFrame, classes: DataFrame, n: int, pct: int) -> DataF
     crowd = stage(counted.select("s"), "crowd")
     sketch = membership_sketch(crowd, F.col("s"))
     inside = _shingles(classes, sketch, True, pct).select("k", "s").join(crowd, "s")
-    own = inside.groupBy("k").agg(F.count("*").alias("x")).join(classes.select("k", "n"), "k").select(F.col("k").alias("ok"), F.expr(f"n - ({pct} * n + 99) div 100 + 1 - x").alias("own"))
+    own = inside.groupBy("k").agg(F.count("*").alias("x")).join(classes.select("k", "n"), "k").select(
+        F.col("k").alias("ok"), F.expr(f"n - ({pct} * n + 99) div 100 + 1 - x").alias("own"), F.expr(f"n - ({pct} * n + 99) div 100 + 1").alias("p"))
     inside = stage(inside.join(own, F.col("k") == F.col("ok")).drop("ok"), "inside")
     links = None
     for r in range(ROUNDS):
         members = inside
         if links is not None:
             tied = min_labels(links)
-            members = inside.join(tied, F.col("k") == F.col("v"), "left").select("s", "k", "own", F.coalesce("c", "k").alias("c"))
+            members = inside.join(tied, F.col("k") == F.col("v"), "left").select("s", "k", "own", "p", F.coalesce("c", "k").alias("c"))
         else:
             members = members.withColumn("c", F.col("k"))
         # first the members with the least of their own, which are in the middle of their group; later any
         middle = F.lit(0) if r else F.col("own")
-        chosen = members.groupBy("s").agg(*[F.min(F.struct(middle.alias("o"), F.xxhash64("k", F.lit(PIVOTS * r + i)).alias("x"), "k", "c")).alias(f"p{i}") for i in range(PIVOTS)])
-        pivots = chosen.select("s", F.explode(F.array_distinct(F.array(*[F.struct(F.col(f"p{i}.k").alias("a"), F.col(f"p{i}.c").alias("ac")) for i in range(PIVOTS)]))).alias("p")).select("s", "p.*")
-        # a true partner of a pivot shares most of the prefix: the others are left to the full search
-        pairs = (members.join(pivots, "s").where("c <> ac").groupBy("a", F.col("k").alias("b")).agg(F.count("*").alias("shared"))
-                 .where("shared >= 2"))
+        chosen = members.groupBy("s").agg(*[F.min(F.struct(middle.alias("o"), F.xxhash64("k", F.lit(PIVOTS * r + i)).alias("x"), "k", "c", "p")).alias(f"p{i}") for i in range(PIVOTS)])
+        pivots = chosen.select("s", F.explode(F.array_distinct(F.array(*[F.struct(F.col(f"p{i}.k").alias("a"), F.col(f"p{i}.c").alias("ac"), F.col(f"p{i}.p").alias("ap")) for i in range(PIVOTS)]))).alias("x")).select("s", "x.*")
+        # a near copy of a pivot shares most of the prefix: the others are left to the full search
+        pairs = (members.join(pivots, "s").where("c <> ac").groupBy("a", F.col("k").alias("b")).agg(F.count("*").alias("shared"), F.min(F.least("p", "ap")).alias("least"))
+                 .where("shared >= 2 and 2 * shared >= least").select("a", "b"))
         found = _verified(docs, classes, stage(pairs, "pairs"), n, pct)
         links = found if links is None else stage(links.union(found), "links")
         if not found.limit(1).count():
