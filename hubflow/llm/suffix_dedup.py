@@ -83,6 +83,14 @@ def anchors(text: bytes, length: int = LENGTH, k: int = GRAM) -> tuple[np.ndarra
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
+def stands_again(a: np.ndarray, c: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    """Flags of one document's places (anchor, context, start): the same context of the anchor stands earlier in it."""
+    by = np.lexsort((lo, c, a))
+    again = np.zeros(by.size, bool)
+    again[by[1:]] = (a[by[1:]] == a[by[:-1]]) & (c[by[1:]] == c[by[:-1]])
+    return again
+
+
 def suffix_order(s: np.ndarray, depth: int, wanted: np.ndarray | None = None) -> np.ndarray:
     """Suffix starts of the byte array in the order of their first ``depth`` bytes at least.
 
@@ -210,10 +218,7 @@ def removed_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             keep = np.flatnonzero(sketch_test(seen.value, a))
             if keep.size:
                 a, c, lo, hi = a[keep], c[keep], lo[keep], hi[keep]
-                by = np.lexsort((lo, c, a))
-                again = np.zeros(by.size, bool)  # the same context stands earlier in this document
-                again[by[1:]] = (a[by[1:]] == a[by[:-1]]) & (c[by[1:]] == c[by[:-1]])
-                for row in zip(a.tolist(), c.tolist(), lo.tolist(), hi.tolist(), again.tolist()):
+                for row in zip(a.tolist(), c.tolist(), lo.tolist(), hi.tolist(), stands_again(a, c, lo).tolist()):
                     yield doc_id, *row
 
     found = stage(map_rows(texts, places, "doc long, a long, c long, lo long, hi long, again boolean", rows=50_000), "anchors")
@@ -230,7 +235,9 @@ def removed_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         for at in np.flatnonzero(hold).tolist():
             doc_id, text = cols["doc_id"][at], cols["text"][at]
             pos, a, c, lo, hi = anchors(text, length)
-            for i in np.flatnonzero(sketch_test(keys.value, a ^ c ^ np.int64(doc_id))).tolist():
+            keep = np.flatnonzero(sketch_test(keys.value, a ^ c ^ np.int64(doc_id)))
+            keep = keep[~stands_again(a[keep], c[keep], lo[keep])]  # the others are covered whole already
+            for i in keep.tolist():
                 yield int(a[i]), doc_id, int(lo[i]), text[lo[i]:hi[i]]
 
     held = map_rows(texts, contexts, "a long, doc long, lo long, part binary", rows=2_000)

@@ -83,3 +83,13 @@ def test_texts_stay_whole_characters(docs):
     out = {r["doc_id"]: r for r in S.remove_repeats(docs([(1, text), (2, text + " end"), (3, None)])).collect()}
     assert out[1]["text"] == text and out[2]["text"].endswith(" end") and len(out[2]["text"]) < 40 and out[3]["text"] is None
     assert set(out[1].asDict()) == set(docs([(1, "")]).columns)
+
+
+def test_periodic_text_sends_each_context_once(docs, monkeypatch):
+    sent, whole = [], S._sorted_groups
+    monkeypatch.setattr(S, "_sorted_groups", lambda held, length: sent.append(held.count()) or whole(held, length))
+    line = "One line that is repeated again and again.\n"
+    text = "head " + line * (2_000_000 // len(line)) + "tail"
+    rows = [(1, text), (2, "other " + line * 40 + "end")]
+    assert report(S.repeat_report(docs(rows))) == brute(rows)
+    assert 0 < sent[0] < 100
