@@ -44,9 +44,10 @@ def features(text: bytes | None) -> np.ndarray:
 
 @dataclass
 class Model:
-    """weights: one per hashed gram, already scaled by the log-count ratios."""
+    """weights: one per hashed gram, already scaled by the log-count ratios. decides: both labels were seen in training."""
     weights: np.ndarray
     bias: float
+    decides: bool = True
 
     def score(self, text: bytes | None) -> float:
         known = np.concatenate([g[self.weights[g] != 0] for g in grams(text)])  # few: cheaper to tell apart than all
@@ -60,7 +61,7 @@ def fit(rows: list[tuple[np.ndarray, int]]) -> Model:
     y = np.array([label for _, label in rows], float)
     if not rows or y.min() == y.max():
         share = (y.sum() + 1) / (y.size + 2)
-        return Model(np.zeros(size), float(np.log(share / (1 - share))))
+        return Model(np.zeros(size), float(np.log(share / (1 - share))), decides=False)
     length = np.array([x.size for x, _ in rows])
     flat, row = np.concatenate([x for x, _ in rows]), np.repeat(np.arange(len(rows), dtype=np.int32), length)
     pos = np.bincount(flat, y[row], size)
@@ -136,9 +137,15 @@ def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) ->
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
-    """The rows of ``docs``, all columns, that the classifier doesn't reject (score under 0.5)."""
+    """The rows of ``docs``, all columns, that the classifier doesn't reject (score under 0.5).
+
+    Without usable labels of both classes there is nothing to tell texts apart by: all rows stay.
+    """
+    fitted = train(docs, labels, per_class=per_class, usable=~held_out())
+    if not fitted.decides:
+        return docs
     ship_package(docs.sparkSession)
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, per_class=per_class, usable=~held_out()))
+    model = docs.sparkSession.sparkContext.broadcast(fitted)
 
     @F.pandas_udf("boolean")
     def clean(text):

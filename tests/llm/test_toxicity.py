@@ -60,3 +60,9 @@ def test_blocks_of_a_long_text(monkeypatch):
     whole = T.features(text)
     monkeypatch.setattr(T, "BLOCK", 1000)
     assert np.array_equal(whole, T.features(text))
+
+
+def test_stage_keeps_all_rows_without_both_labels(spark, docs):
+    rows, labels = corpus(spark, 60)
+    for some in (labels.limit(0), labels.where("toxic = 1"), labels.where("toxic = 0"), labels.selectExpr("doc_id + 1000 as doc_id", "quality", "toxic")):
+        assert sorted(r["doc_id"] for r in T.drop_toxic(docs(rows), some).collect()) == list(range(60))
