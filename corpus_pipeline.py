@@ -38,7 +38,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Texts become sequences of at most 2048 ids."""
     import public_tokenizers
     from hubflow.llm.packing import pack
-    return pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), 2048)
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), 2048)
 
 
 def _without(docs: DataFrame, decided: DataFrame) -> DataFrame:

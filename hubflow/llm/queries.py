@@ -56,7 +56,7 @@ def op8(spark, sf_dir):
 def op4(spark, sf_dir):
     import public_tokenizers
     from hubflow.llm.packing import pack
-    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), 2048)
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2048)
 
 
 @query("op5_toxicity")

@@ -73,3 +73,21 @@ def test_pieces_and_places(docs, monkeypatch):
             at += length
         assert at <= 64
     assert P.pack(docs([(1, "a")]).limit(0), tokenizers.path("byte_bpe_50k.tiktoken")).collect() == []
+
+
+def test_ids_of_the_plain_contract_call(spark, docs, monkeypatch):
+    from hubflow.llm import queries
+    from tokenizers import Tokenizer
+    tok = Tokenizer.from_file(tokenizers.path("byte_bpe_50k.json"))
+    texts = [t for _, t in ODD if len(t or "") < 60_000] + ["x <|endoftext|> y", "<|endoftext|>", "a<|endoftext|><|endoftext|>\n", "<|endoftext|", "é <|endoftext|>" * 900]
+    rows = list(enumerate(texts))
+    monkeypatch.setattr(queries, "table", lambda *_: docs(rows))
+    want = []
+    for i, t in rows:
+        ids = np.array(tok.encode(t or "", add_special_tokens=False).ids + [0], "<u4")
+        start = 0
+        for p, end in enumerate(range(len(ids) % 2048 or 2048, len(ids) + 1, 2048)):
+            want.append((i, p, start, end - start, zlib.crc32(ids[start:end].tobytes())))
+            start = end
+    out = queries.QUERIES["op4_best_fit_packing"](spark, "").collect()
+    assert sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in out) == want
