@@ -35,6 +35,10 @@ SEARCH_SPACE = {
     "min_child_weight": (1, 10),      # integer, high exclusive
 }
 
+# the embedding-augmented model samples fewer of its many columns
+HYBRID_SPACE = SEARCH_SPACE | {"colsample_bytree": (0.3, 0.8)}
+DRAWS, FOLDS = 20, 5
+
 
 def encode_features(train: DataFrame, test: DataFrame, numeric=NUMERIC_FEATURES, high_card=HIGH_CARD,
                     target: str = TARGET, smoothing: float = 1.0, min_leaf: int = 20):
@@ -103,6 +107,14 @@ def fit_eta_model(train: DataFrame, features, label: str = TARGET, draws: list[d
     return gbt_pipeline(features, label, best, seed, vector_cols).fit(train)
 
 
+def search_eta_model(train: DataFrame, features, draws: int = DRAWS, folds: int = FOLDS, space: dict = SEARCH_SPACE,
+                     seed: int = 42, vector_cols=()):
+    """The published random search: ``draws`` settings of ``space`` on ``folds`` expanding folds, the best refit on all of ``train``."""
+    from hubflow.operators.splits import expanding_folds
+    tagged = expanding_folds(train, k=folds)
+    return fit_eta_model(train, features, draws=draw_params(draws, seed, space), folds=tagged, seed=seed, vector_cols=vector_cols)
+
+
 def predict(model, df: DataFrame, keep=("trip_id",), label: str = TARGET, positive: bool = False) -> DataFrame:
     out = model.transform(df)
     pred = F.greatest(F.col("predicted_eta"), F.lit(0.0)) if positive else F.col("predicted_eta")

@@ -227,9 +227,6 @@ def q_edge_representation(spark, sf):
 # ---------------------------------------------------------------------------
 # Feature-augmented regressors (rows-only)
 # ---------------------------------------------------------------------------
-_FAST = {"maxIter": 40, "stepSize": 0.1, "maxDepth": 5, "subsamplingRate": 0.8, "minInstancesPerNode": 1}
-
-
 @query("hybrid_eta")
 def q_hybrid_eta(spark, sf):
     """Boosted trees on the base features plus source/destination walk embeddings."""
@@ -244,7 +241,7 @@ def q_hybrid_eta(spark, sf):
         out = df.join(s, "source_hub_id", "left").join(d, "dest_hub_id", "left")
         return out.withColumns({c: F.coalesce(F.col(c), array_to_vector(zero)) for c in ("src_emb", "dst_emb")})
     tr, te = aug(tr), aug(te)
-    model = ML.fit_eta_model(tr, ML.feature_columns(), draws=[_FAST], vector_cols=("src_emb", "dst_emb"))
+    model = ML.search_eta_model(tr, ML.feature_columns(), space=ML.HYBRID_SPACE, vector_cols=("src_emb", "dst_emb"))
     return M.prediction_table(ML.predict(model, te, keep=("trip_id", "row_ord")))
 
 
@@ -260,7 +257,7 @@ def q_neighbour_eta(spark, sf):
          .withColumnRenamed("actual_time", "actual_eta"))
     tr = e.filter(F.col("split") == "train")
     te = e.filter(F.col("split") == "test")
-    model = ML.fit_eta_model(tr, NB.EDGE_FEAT_COLS, draws=[_FAST], vector_cols=("src_vec", "dst_vec"))
+    model = ML.search_eta_model(tr, NB.EDGE_FEAT_COLS, vector_cols=("src_vec", "dst_vec"))
     return M.prediction_table(ML.predict(model, te, keep=("row_ord",), positive=True))
 
 

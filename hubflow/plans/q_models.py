@@ -167,14 +167,11 @@ def encoded(spark, sf):
     return ML.encode_features(sp.filter(F.col("split") == "train"), sp.filter(F.col("split") == "test"))
 
 
-GBT_FAST = {"maxIter": 40, "stepSize": 0.1, "maxDepth": 5, "subsamplingRate": 0.8, "minInstancesPerNode": 1}
-
-
 def gbt_model(spark, sf):
     key = (spark.sparkContext.applicationId, sf, "gbt_model")
     if key not in _MODELS:
         tr, te = encoded(spark, sf)
-        _MODELS[key] = (ML.fit_eta_model(tr, ML.feature_columns(), draws=[GBT_FAST]), tr, te)
+        _MODELS[key] = (ML.search_eta_model(tr, ML.feature_columns()), tr, te)
     return _MODELS[key]
 
 
@@ -205,7 +202,7 @@ def q_learning_curve(spark, sf):
     sp = split_table(spark, sf).withColumn("is_train", F.col("split") == "train").drop("split", "pos")
     tagged = SP.val_tail(sp, frac=0.1)
     tr, va = ML.encode_features(tagged.filter(F.col("split") == "train"), tagged.filter(F.col("split") == "val"))
-    return ML.learning_curve(ML.fit_eta_model(tr, ML.feature_columns(), draws=[GBT_FAST]), tr, va)
+    return ML.learning_curve(ML.search_eta_model(tr, ML.feature_columns()), tr, va)
 
 
 @query("fold_summary", f"""with {S.MODEL},
@@ -225,16 +222,8 @@ def q_chrono_sorted(spark, sf):
     return prepped(spark, sf).select("row_ord", "trip_creation_time").orderBy("trip_creation_time", "row_ord")
 
 
-# driver-sized search space (the operator default is the full published space)
-SMALL_SPACE = {"n_estimators": (8, 16), "learning_rate": (0.05, 0.20), "max_depth": (3, 6),
-               "subsample": (0.6, 1.0), "colsample_bytree": (0.5, 1.0), "min_child_weight": (1, 10)}
-
-
 @query("gbt_search")
 def q_gbt_search(spark, sf):
-    """Random search: 2 seeded draws scored on 2 expanding folds, best refit, test predictions."""
-    tr, te = encoded(spark, sf)
-    folds = SP.expanding_folds(tr, k=2)
-    model = ML.fit_eta_model(tr, ML.feature_columns(), draws=ML.draw_params(2, seed=42, space=SMALL_SPACE),
-                             folds=folds)
+    """Random search: 20 seeded draws scored on 5 expanding folds, best refit, test predictions."""
+    model, _, te = gbt_model(spark, sf)
     return M.regression_metrics(ML.predict(model, te, keep=("row_ord",)).withColumn("model", F.lit("gbt_search")))
