@@ -256,17 +256,22 @@ def _hot_matches(index: DataFrame, pct: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, classes: DataFrame, keys: DataFrame, n: int) -> DataFrame:
-    """(k, s): the whole sets of the classes in ``keys``."""
-    ids = stage(keys.join(classes.select("k", "doc_id"), "k").where("doc_id is not null").select("k", "doc_id"), "ids")
-    sketch = membership_sketch(ids, F.col("doc_id"))
+    """(k, s): the whole sets of the classes in ``keys``; classes whose rows all lack an id are found by their key."""
+    ids = stage(keys.join(classes.select("k", "doc_id"), "k").select("k", "doc_id"), "ids")
+    sketch = membership_sketch(ids.where("doc_id is not null"), F.col("doc_id"))
+    nameless = ids.where("doc_id is null")
+    # the first 7 bytes of the key, as ``int.from_bytes`` reads them
+    other = membership_sketch(nameless, F.conv(F.hex(F.substring("k", 1, 7)), 16, 10).cast("long")) if nameless.limit(1).count() else None
 
     def rows(cols):
         ids_ = cols["doc_id"]
         known = np.array([i is not None for i in ids_], bool)
         hit = sketch_test(sketch.value, np.array([i or 0 for i in ids_], np.int64)) & known
-        for i in np.flatnonzero(hit).tolist():
+        for i in np.flatnonzero(hit if other is None else hit | ~known).tolist():
             s = shingle_set(cols["text"][i], n)
-            yield hashlib.blake2b(s.tobytes(), digest_size=16).digest(), s.view(np.int64).tolist()
+            k = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+            if known[i] or sketch_test(other.value, np.array([int.from_bytes(k[:7], "big")], np.int64))[0]:
+                yield k, s.view(np.int64).tolist()
 
     found = map_rows(id_text(docs), rows, "k binary, s array<long>", rows=64)
     return found.join(ids.select("k"), "k", "left_semi").dropDuplicates(["k"])

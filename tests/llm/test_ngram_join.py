@@ -78,3 +78,13 @@ def test_prefix_grows_past_hot_shingles():
     l, r = J.best_prefix(40, 90, np.array([100.0, 100, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1]), 12)
     assert l >= 3 and r >= 1
     assert J.best_prefix(40, 90, np.full(12, 100.0), 12) == (0, 0)
+
+
+def test_row_without_id_links_its_neighbours(docs):
+    words = [f"w{i}" for i in range(60)]
+    text = lambda w: " ".join(w)
+    ends = words + ["a", "b", "c", "d", "e", "f"], ["p", "q", "r", "s", "t", "u"] + words
+    rows = [(5, text(ends[0])), (9, text(ends[1])), (None, text(words)), (11, "something else entirely in this one")]
+    assert by_id(J.ngram_jaccard_join(docs([rows[0], rows[1]]), 3, 90))[9]["component_id"] == 9
+    got = by_id(J.ngram_jaccard_join(docs(rows), 3, 90))
+    assert {i: got[i]["component_id"] for i in (5, 9, None, 11)} == {5: 5, 9: 5, None: 5, 11: 11}
