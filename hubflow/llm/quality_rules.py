@@ -69,7 +69,7 @@ def boilerplate_lines(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: floa
 
 def quality_rules(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, source): n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    base_failed, n_boilerplate (words in lines taken out), kept.
+    base_failed, n_boilerplate (words in lines taken out), kept, remaining (the text without its boilerplate lines, in line order).
 
     Null and empty texts have no words, so they fail the base rule; a null source is a
     host of its own. Equal rows get equal results and repeated rows stay repeated.
@@ -80,17 +80,21 @@ def quality_rules(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float =
     docs = docs.select("doc_id", "text", "source")
     common = stage(boilerplate_lines(docs, max_docs, max_share), "boilerplate").select(F.col("host").alias("h"), F.col("line").alias("l"))
     out = (_lines(docs).distinct().join(common, F.col("host").eqNullSafe(F.col("h")) & (F.col("line") == F.col("l")))
-           .groupBy("host", "d").agg(F.sum("size").alias("n")))
-    out = stage(out, "taken").select(F.col("host").alias("h"), F.col("d").alias("rd"), "n")
+           .groupBy("host", "d").agg(F.collect_set("pos").alias("gone")))
+    out = stage(out, "taken").select(F.col("host").alias("h"), F.col("d").alias("rd"), "gone")
     text = F.coalesce("text", F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    base = docs.select("doc_id", "source", F.md5("text").alias("d"), words(text).alias("w"), F.regexp_count(text, F.lit("[#*$%&|<>]")).alias("sym"),
+    base = docs.select("doc_id", "source", "text", F.md5("text").alias("d"), words(text).alias("w"), F.regexp_count(text, F.lit("[#*$%&|<>]")).alias("sym"),
                        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).alias("dup"))
-    base = base.select("doc_id", "source", "d", F.size("w").cast("long").alias("n_words"),
+    base = base.select("doc_id", "source", "text", "d", F.size("w").cast("long").alias("n_words"),
                        F.length(F.concat_ws("", "w")).cast("long").alias("word_chars"), F.col("sym").cast("long").alias("n_symbols"),
                        F.col("dup").cast("long").alias("n_dup_lines"), repeated_words(F.col("w")).alias("n_repeat_words"))
     base = base.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
     joined = base.join(out, F.col("source").eqNullSafe(F.col("h")) & (F.col("d") == F.col("rd")), "left")
-    gone = F.coalesce("n", F.lit(0)).cast("long")
-    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", gone.alias("n_boilerplate"),
-                         (~F.col("base_failed") & (F.col("n_words") - gone >= F.lit(min_left) * F.col("n_words"))).alias("kept"))
+    stay = let(F.split("text", "\n"), lambda x: F.array_join(F.transform(
+        F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("gone"))), lambda i: F.get(x, i)), "\n"))
+    joined = joined.withColumn("remaining", F.when(F.col("gone").isNull(), F.col("text")).otherwise(stay))
+    gone = F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.col("n_words") - F.size(words(F.col("remaining")))).cast("long")
+    joined = joined.withColumn("n_boilerplate", gone)
+    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_boilerplate",
+                         (~F.col("base_failed") & (F.col("n_words") - F.col("n_boilerplate") >= F.lit(min_left) * F.col("n_words"))).alias("kept"), "remaining")

@@ -49,7 +49,7 @@ def op6(spark, sf_dir):
 @query("op8_quality_rules")
 def op8(spark, sf_dir):
     from hubflow.llm.quality_rules import quality_rules
-    return quality_rules(table(spark, sf_dir, "documents"))
+    return quality_rules(table(spark, sf_dir, "documents")).withColumn("remaining_sha256", F.sha2("remaining", 256)).drop("remaining")
 
 
 @query("op4_best_fit_packing")

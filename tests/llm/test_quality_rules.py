@@ -61,3 +61,12 @@ def test_null_host_native_empty(docs):
     assert {r["n_boilerplate"] for r in got.collect()} == {2}
     assert not re.search("Python|Arrow|Pandas", got._jdf.queryExecution().toString())
     assert quality_rules(docs(rows).limit(0)).collect() == []
+
+
+def test_remaining_text_in_line_order(docs):
+    common = "Share this story now"
+    rows = [(i, f"{common}\n{prose(i)}\n\n share  THIS story now\nlast {i}\n") for i in range(30)] + [(30, f"{prose(30)}\n\nend"), (31, None), (32, common)]
+    got = by_id(quality_rules(docs(rows), 20, 0.01))
+    for i in range(30):
+        assert got[i]["remaining"] == f"{prose(i)}\n\nlast {i}\n" and got[i]["n_boilerplate"] == 8
+    assert got[30]["remaining"] == rows[30][1] and got[31]["remaining"] is None and got[32]["remaining"] == "" and got[32]["n_boilerplate"] == 4
