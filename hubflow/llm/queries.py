@@ -95,3 +95,10 @@ def op9(spark, sf_dir):
     extra = spark.createDataFrame([(-7, 0, "user", CONTROL), (-7, 1, "assistant", CONTROL)], "conv_id long, turn long, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return chat_report(turns.unionByName(extra))
+
+
+@query("op13_byte_bpe")
+def op13(spark, sf_dir):
+    import public_tokenizers
+    from hubflow.llm.byte_bpe import encoding_report
+    return encoding_report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)

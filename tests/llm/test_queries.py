@@ -11,7 +11,8 @@ COLUMNS = {
     "op3": "doc_id n_pieces ids_crc32", "op4": "doc_id piece start length ids_crc32 sequence_id offset", "op5": "doc_id held_out score predicted",
     "op6": "doc_id keep_id group_size kept text_sha256", "op7": "page_id host path rule verdict",
     "op8": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
-    "op9": "conv_id n_turns turns_sha256 loss_chars loss_sha256 formatted_chars", "op10": "doc_id n_bytes n_removed n_spans kept_sha256"}
+    "op9": "conv_id n_turns turns_sha256 loss_chars loss_sha256 formatted_chars", "op10": "doc_id n_bytes n_removed n_spans kept_sha256",
+    "op13": "doc_id n_tokens ids_sha256 decoded_sha256"}
 
 
 def test_one_query_for_each_operator():
