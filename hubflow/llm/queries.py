@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hubflow.llm import sqltext
+
 QUERIES = {}
 ORACLE = {}
 
@@ -102,3 +104,15 @@ def op13(spark, sf_dir):
     import public_tokenizers
     from hubflow.llm.byte_bpe import encoding_report
     return encoding_report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query("op11_conversation_trie", sqltext.TRIE)
+def op11(spark, sf_dir):
+    from hubflow.llm.conversation_trie import conversation_trie
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+@query("op12_merkle_manifest", sqltext.MERKLE)
+def op12(spark, sf_dir):
+    from hubflow.llm.merkle_manifest import tampering_report
+    return tampering_report(table(spark, sf_dir, "documents"))
