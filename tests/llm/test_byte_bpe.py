@@ -39,6 +39,11 @@ def brute(piece, ranks):
         parts[i:i + 2] = [parts[i] + parts[i + 1]]
 
 
+def bpe_plain(piece, ranks):
+    """As ``brute``, without the look-up of the whole pre-token."""
+    return brute(piece + b"\xff", ranks)[:-1]
+
+
 def sha(raw):
     return hashlib.sha256(raw).hexdigest()
 
@@ -75,6 +80,8 @@ def test_any_ranks_equal_a_whole_search(piece, more):
     ranks = {bytes([b]): b for b in range(256)} | {m.encode(): 256 + i for i, m in enumerate(more)}
     bpe = Bpe(b"\n".join(base64.b64encode(p) + b" " + str(r).encode() for p, r in ranks.items()), P.PATTERN)
     assert bpe.merge(piece.encode()) == brute(piece.encode(), ranks)
+    together = [piece.encode(), b"abab", piece[::-1].encode(), b"a"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in bpe.merge_many(together)] == [bpe_plain(p, ranks) for p in together]
 
 
 @pytest.mark.parametrize("text", ["a" * 30_000, "ab" * 20_000 + "c", "日本語の文章" * 4000, "x" + "é" * 9999, "\n \n" * 5000, "1234567890" * 3000, "=-" * 7000, "\U0001F600" * 3000])
@@ -86,7 +93,14 @@ def test_texts_longer_than_a_block_and_a_full_table():
     rng = random.Random(5)
     text = " ".join("".join(rng.choices("abcdefgh", k=rng.randrange(1, 9))) for _ in range(150_000))
     assert ids(text) == LIBRARY.encode_ordinary(text)
-    assert len(BPE.known) <= 1 << 17
+    assert len(BPE.known) <= 1 << 18
+
+
+def test_many_pre_tokens_through_one_queue_equal_each_alone():
+    rng = random.Random(9)
+    pieces = ["".join(rng.choices("etaoinshrdluéñü日 the", k=rng.randrange(1, 14))).encode() for _ in range(20_000)] + [b"aaaa" * 500, b"ab" * 999, b" the" * 300]
+    pieces = [p for p in pieces if p not in RANKS]
+    assert [np.frombuffer(x, "<u4").tolist() for x in BPE.merge_many(pieces)] == [BPE.merge(p) for p in pieces]
 
 
 def test_whole_table_equals_the_library(spark):
