@@ -1,24 +1,27 @@
-"""Arrival-time regressors with Spark ML.
+"""Arrival-time regressors: boosted trees with a published random search.
 
-Boosted trees are ``pyspark.ml.regression.GBTRegressor`` (distributed
-training: each tree's split search is an aggregate over partitions).  The
-hyper-parameter search evaluates seeded random draws on expanding time
-folds and refits the best draw on all training rows; only the small list of
-parameter draws and the per-fold MAE numbers live on the driver.
+The search is spread over the cluster by its settings: the labelled rows of a fit are
+bounded (``TRAIN_ROWS``, chosen by a hash of the row's key), binned once and broadcast
+(rows x features bytes); every (draw, fold) is one Spark task that trains on the rows
+before its fold and reports the fold's mean absolute error.  Predictions run over all rows.
 """
 
 from __future__ import annotations
 
 import random
+from collections.abc import Iterator
+from dataclasses import dataclass
 
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hubflow.operators.boosting import Trees, bin_codes, bin_edges, boost
 from hubflow.operators.encoding import apply_medians, apply_target_encoding, fit_medians, fit_target_encoding
+from hubflow.session import ship_code
 
+# FIXED VALUES — the numeric model features, in natural order
 NUMERIC_FEATURES = ["osrm_predicted_eta", "distance_km", "osrm_distance_km", "hour_of_day", "day_of_week",
                     "is_weekend", "is_cutoff", "start_scan_to_end_scan"]
 HIGH_CARD = ["source_hub_id", "dest_hub_id"]
@@ -33,11 +36,15 @@ SEARCH_SPACE = {
     "subsample": (0.6, 1.0),
     "colsample_bytree": (0.5, 1.0),
     "min_child_weight": (1, 10),      # integer, high exclusive
+    "reg_lambda": (0.5, 3.0),
+    "reg_alpha": (0.0, 1.0),
 }
 
 # the embedding-augmented model samples fewer of its many columns
 HYBRID_SPACE = SEARCH_SPACE | {"colsample_bytree": (0.3, 0.8)}
 DRAWS, FOLDS = 20, 5
+#: Bound of the labelled rows of a fit; all training rows take part below it.
+TRAIN_ROWS = 3000
 
 
 def encode_features(train: DataFrame, test: DataFrame, numeric=NUMERIC_FEATURES, high_card=HIGH_CARD,
@@ -56,93 +63,148 @@ def feature_columns(numeric=NUMERIC_FEATURES, high_card=HIGH_CARD, low_card=LOW_
 
 
 def draw_params(n: int, seed: int = 42, space: dict = SEARCH_SPACE) -> list[dict]:
+    """``n`` seeded settings; a range of two integers is drawn as an integer below the high end."""
     rng = random.Random(seed)
-    out = []
-    for _ in range(n):
-        out.append({
-            "maxIter": rng.randrange(*space["n_estimators"]),
-            "stepSize": rng.uniform(*space["learning_rate"]),
-            "maxDepth": rng.randrange(*space["max_depth"]),
-            "subsamplingRate": rng.uniform(*space["subsample"]),
-            "featureSubsetStrategy": f"{rng.uniform(*space['colsample_bytree']):.3f}",
-            "minInstancesPerNode": rng.randrange(*space["min_child_weight"]),
-        })
-    return out
-
-
-def gbt_pipeline(features, label: str = TARGET, params: dict | None = None, seed: int = 42,
-                 vector_cols=()) -> Pipeline:
-    # NULL scalars are kept (trees route them); vector inputs are never NULL
-    # (unknown hubs get the zero vector) and their width comes from the data.
-    assembler = VectorAssembler(inputCols=list(features) + list(vector_cols), outputCol="features",
-                                handleInvalid="error" if vector_cols else "keep")
-    gbt = GBTRegressor(featuresCol="features", labelCol=label, predictionCol="predicted_eta", seed=seed,
-                       lossType="squared", maxBins=64)
-    if params:
-        gbt = gbt.setParams(**params)
-    return Pipeline(stages=[assembler, gbt])
-
-
-def fit_eta_model(train: DataFrame, features, label: str = TARGET, draws: list[dict] | None = None,
-                  folds: DataFrame | None = None, seed: int = 42, vector_cols=()):
-    """Fit a GBT.  With several ``draws`` and fold-tagged rows ``folds`` (from
-    ``expanding_folds``), every draw is scored by its mean MAE over the folds —
-    fold i trains on positions before its test block — and the best draw is
-    refit on all of ``train``.  Only k fold starts and the MAE numbers reach
-    the driver."""
-    best = draws[0] if draws else None
-    if draws and len(draws) > 1 and folds is not None:
-        starts = sorted((r["test_fold"], r["start"]) for r in folds.filter(F.col("test_fold").isNotNull())
-                        .groupBy("test_fold").agg(F.min("pos").alias("start")).collect())
-        scores = []
-        for p in draws:
-            maes = []
-            for fold, start in starts:
-                tr = folds.filter(F.col("pos") < start)
-                te = folds.filter(F.col("test_fold") == fold)
-                m = gbt_pipeline(features, label, p, seed, vector_cols).fit(tr)
-                maes.append(m.transform(te).agg(F.avg(F.abs(F.col("predicted_eta") - F.col(label)))).first()[0])
-            scores.append(sum(maes) / len(maes))
-        best = draws[min(range(len(draws)), key=scores.__getitem__)]
-    return gbt_pipeline(features, label, best, seed, vector_cols).fit(train)
-
-
-def search_eta_model(train: DataFrame, features, draws: int = DRAWS, folds: int = FOLDS, space: dict = SEARCH_SPACE,
-                     seed: int = 42, vector_cols=()):
-    """The published random search: ``draws`` settings of ``space`` on ``folds`` expanding folds, the best refit on all of ``train``."""
-    from hubflow.operators.splits import expanding_folds
-    tagged = expanding_folds(train, k=folds)
-    return fit_eta_model(train, features, draws=draw_params(draws, seed, space), folds=tagged, seed=seed, vector_cols=vector_cols)
-
-
-def predict(model, df: DataFrame, keep=("trip_id",), label: str = TARGET, positive: bool = False) -> DataFrame:
-    out = model.transform(df)
-    pred = F.greatest(F.col("predicted_eta"), F.lit(0.0)) if positive else F.col("predicted_eta")
-    return out.select(*keep, F.col(label).alias("actual_eta"), pred.alias("predicted_eta"),
-                      *[c for c in ("osrm_predicted_eta",) if c in df.columns])
-
-
-def importances(model, features, vector_cols=(), vector_sizes=()) -> DataFrame:
-    """Feature-importance table (feature, importance, group) from the fitted GBT."""
-    names = list(features)
-    for c, n in zip(vector_cols, vector_sizes):
-        names += [f"{c}_{i}" for i in range(n)]
-    imp = model.stages[-1].featureImportances.toArray().tolist()
-    from pyspark.sql import SparkSession
-    s = SparkSession.getActiveSession()
-    rows = [(n, float(v), n.rsplit("_", 1)[0] if any(n.startswith(vc) for vc in vector_cols) else "base")
-            for n, v in zip(names, imp)]
-    return s.createDataFrame(rows, "feature string, importance double, feature_group string")
-
-
-def learning_curve(model, train: DataFrame, val: DataFrame) -> DataFrame:
-    """Loss per boosting round on train and validation rows."""
-    gbt = model.stages[-1]
-    tr = model.stages[0].transform(train)
-    va = model.stages[0].transform(val)
-    a = gbt.evaluateEachIteration(tr, "squared")
-    b = gbt.evaluateEachIteration(va, "squared")
-    from pyspark.sql import SparkSession
-    s = SparkSession.getActiveSession()
-    return s.createDataFrame([(i + 1, float(x), float(y)) for i, (x, y) in enumerate(zip(a, b))],
-                             "round int, train_loss double, val_loss double")
+    return [{k: rng.randrange(*r) if isinstance(r[0], int) else rng.uniform(*r) for k, r in space.items()} for _ in range(n)]
+
+
+def feature_array(features, vector_cols=()) -> Column:
+    """One array of doubles: the scalar columns (NULL: missing), then the vector columns' elements."""
+    scalars = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in features])
+    return F.concat(scalars, *[F.col(c).cast("array<double>") for c in vector_cols]) if vector_cols else scalars
+
+
+@dataclass
+class EtaModel:
+    """A fitted model: bin edges and trees, its setting, the (draw, fold, mae) of the search, and names and groups of its inputs."""
+    features: list[str]
+    vector_cols: list[str]
+    edges: list[np.ndarray]
+    trees: Trees
+    params: dict
+    scores: list[tuple[int, int, float]]
+
+    def names(self) -> list[tuple[str, str]]:
+        """(input, group): scalars in group base, vector elements in the group of their column."""
+        width = (len(self.edges) - len(self.features)) // max(1, len(self.vector_cols))
+        return [(f, "base") for f in self.features] + [(f"{v}_{i}", v) for v in self.vector_cols for i in range(width)]
+
+
+def labelled_rows(train: DataFrame, features, label: str = TARGET, vector_cols=(), rows: int = TRAIN_ROWS,
+                  order=("trip_creation_time", "row_ord")) -> tuple[np.ndarray, np.ndarray]:
+    """(matrix, y) of at most ``rows`` labelled rows in time order: the first by a hash of the order key, the same in every run."""
+    keys = [F.col(c).alias(f"__o{i}") for i, c in enumerate(order)]
+    chosen = (train.where(F.col(label).isNotNull()).select(feature_array(features, vector_cols).alias("__x"), F.col(label).cast("double").alias("__y"), *keys)
+              .orderBy(F.xxhash64(*[k for k in (F.col(f"__o{i}") for i in range(len(order)))]), *[f"__o{i}" for i in range(len(order))]).limit(rows))
+    got = sorted(chosen.collect(), key=lambda r: tuple((v is not None, v) if v is not None else (False, 0) for v in r[2:]))
+    return np.array([r["__x"] for r in got], float), np.array([r["__y"] for r in got], float)
+
+
+def fold_starts(n: int, folds: int) -> list[tuple[int, int]]:
+    """(first test row, end) of every expanding fold of n rows in time order; empty folds are left out."""
+    size = n // (folds + 1)
+    return [(n - size * (folds - i), n - size * (folds - i - 1)) for i in range(folds)] if size else []
+
+
+def search_scores(spark: SparkSession, codes: np.ndarray, y: np.ndarray, settings: list[dict], folds: int, seed: int) -> list[tuple[int, int, float]]:
+    """(draw, fold, mean absolute error): every setting on every expanding fold, one Spark task each, the largest first."""
+    ship_code(spark)
+    shared = spark.sparkContext.broadcast((codes, y, settings))
+    starts = fold_starts(len(y), folds)
+    cells = sorted(((d, f) for d in range(len(settings)) for f in range(len(starts))),
+                   key=lambda c: -settings[c[0]]["n_estimators"] * settings[c[0]]["max_depth"] * starts[c[1]][0])
+    if not cells:
+        return []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes_, y_, settings_ = shared.value
+            out = []
+            for i in batch.column(0).to_pylist():
+                draw, fold = cells[i]
+                first, end = starts[fold]
+                _, pred = boost(codes_[:end], y_[:end], np.arange(end) < first, settings_[draw], seed + draw)
+                out.append((draw, fold, float(np.abs(pred[first:] - y_[first:end]).mean())))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.float64()))], ["draw", "fold", "mae"])
+
+    got = spark.range(0, len(cells), 1, len(cells)).mapInArrow(run, "draw int, fold int, mae double").collect()
+    return sorted(tuple(r) for r in got)
+
+
+def search_eta_model(train: DataFrame, features, draws: int = DRAWS, folds: int = FOLDS, space: dict = SEARCH_SPACE, seed: int = 42, vector_cols=(),
+                     label: str = TARGET, rows: int = TRAIN_ROWS, order=("trip_creation_time", "row_ord"), val: DataFrame | None = None) -> EtaModel:
+    """The published random search: ``draws`` settings of ``space`` on ``folds`` expanding folds, the least mean error refit on all rows of the fit.
+
+    With ``val`` (same columns, at most ``rows`` of it) the refit also follows its loss by round.
+    An empty ``train`` can't be fitted and raises.
+    """
+    spark = train.sparkSession
+    matrix, y = labelled_rows(train, features, label, vector_cols, rows, order)
+    if not len(y):
+        raise ValueError("no labelled rows to fit on")
+    edges = bin_edges(matrix)
+    codes = bin_codes(matrix, edges)
+    settings = draw_params(draws, seed, space)
+    scores = search_scores(spark, codes, y, settings, folds, seed) if draws > 1 else []
+    by_draw = [np.mean([m for d, _, m in scores if d == i]) if scores else 0.0 for i in range(draws)]
+    best = settings[int(np.argmin(by_draw))]
+    is_train = np.ones(len(y), bool)
+    if val is not None:
+        more, more_y = labelled_rows(val, features, label, vector_cols, rows, order)
+        if len(more_y):
+            codes, y = np.concatenate((codes, bin_codes(more, edges))), np.concatenate((y, more_y))
+            is_train = np.arange(len(y)) < len(is_train)
+    ship_code(spark)
+    shared = spark.sparkContext.broadcast((codes, y, is_train))
+
+    def refit(batches):
+        import pickle
+        for batch in batches:
+            for _ in batch.column(0).to_pylist():
+                trees, _ = boost(*shared.value, best, seed, curve=True)
+                yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(trees)], pa.binary())], ["trees"])
+
+    import pickle
+    trees = pickle.loads(spark.range(0, 1, 1, 1).mapInArrow(refit, "trees binary").first()["trees"])
+    return EtaModel(list(features), list(vector_cols), edges, trees, best, scores)
+
+
+def predict(model: EtaModel, df: DataFrame, keep=("trip_id",), label: str = TARGET, positive: bool = False) -> DataFrame:
+    """``keep``, actual_eta, predicted_eta (and osrm_predicted_eta where there is one) of every row."""
+    spark = df.sparkSession
+    ship_code(spark)
+    shared = spark.sparkContext.broadcast(model)
+    cols = [*keep, F.col(label).alias("actual_eta"), *[c for c in ("osrm_predicted_eta",) if c in df.columns]]
+    src = df.select(*cols, feature_array(model.features, model.vector_cols).alias("__x"))
+    schema = src.drop("__x").withColumn("predicted_eta", F.lit(0.0)).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column(batch.num_columns - 1)
+            matrix = x.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, len(shared.value.edges)))
+            out = shared.value.trees.predict(bin_codes(matrix, shared.value.edges))
+            if positive:
+                out = np.maximum(out, 0)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out)], [*batch.schema.names[:-1], "predicted_eta"])
+
+    out = src.mapInArrow(run, schema)
+    return out.select(*keep, "actual_eta", "predicted_eta", *[c for c in ("osrm_predicted_eta",) if c in df.columns])
+
+
+def importances(model: EtaModel, spark: SparkSession) -> DataFrame:
+    """(feature, importance, feature_group, rank): each input's share of the gain of all cuts, rank 1 the largest (ties by name)."""
+    gain = model.trees.gain / max(model.trees.gain.sum(), 1e-300)
+    rows = sorted(((n, float(v), g) for (n, g), v in zip(model.names(), gain)), key=lambda r: (-r[1], r[0]))
+    return spark.createDataFrame([(*r, i + 1) for i, r in enumerate(rows)], "feature string, importance double, feature_group string, rank int")
+
+
+def group_shares(table: DataFrame, top: int = 15) -> DataFrame:
+    """(feature_group, share_pct, features, top): share of the importance and the ``top`` inputs that fall into each group."""
+    total = table.agg(F.sum("importance").alias("all"))
+    return (table.groupBy("feature_group").agg(F.sum("importance").alias("s"), F.count("*").alias("features"), F.count_if(F.col("rank") <= top).alias("top"))
+            .crossJoin(F.broadcast(total)).select("feature_group", F.try_divide(F.col("s") * 100, F.col("all")).alias("share_pct"), "features", "top"))
+
+
+def learning_curve(model: EtaModel, spark: SparkSession) -> DataFrame:
+    """(round, train_loss, val_loss): mean squared error after each round on the rows of the fit and on the validation rows (NaN without any), kept while training."""
+    return spark.createDataFrame([(i + 1, a, b) for i, (a, b) in enumerate(model.trees.curve)], "round int, train_loss double, val_loss double")

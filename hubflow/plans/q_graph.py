@@ -227,29 +227,50 @@ def q_edge_representation(spark, sf):
 # ---------------------------------------------------------------------------
 # Feature-augmented regressors (rows-only)
 # ---------------------------------------------------------------------------
+_HYBRID: dict = {}
+
+
+def hybrid_model(spark, sf):
+    """(model, test rows): boosted trees on the base features plus source/destination walk embeddings; hubs without one have zeros."""
+    from hubflow.plans.q_models import encoded
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _HYBRID:
+        emb = walk_vectors(spark, sf).select("hub_id", F.col("embedding").cast("array<double>").alias("__v"))
+        zero = F.array_repeat(F.lit(0.0), 64)
+
+        def aug(df):
+            s = emb.select(F.col("hub_id").alias("source_hub_id"), F.col("__v").alias("src_emb"))
+            d = emb.select(F.col("hub_id").alias("dest_hub_id"), F.col("__v").alias("dst_emb"))
+            out = df.join(s, "source_hub_id", "left").join(d, "dest_hub_id", "left")
+            return out.withColumns({c: F.coalesce(F.col(c), zero) for c in ("src_emb", "dst_emb")})
+        tr, te = map(aug, encoded(spark, sf))
+        _HYBRID[key] = ML.search_eta_model(tr, ML.feature_columns(), space=ML.HYBRID_SPACE, vector_cols=("src_emb", "dst_emb")), te
+    return _HYBRID[key]
+
+
 @query("hybrid_eta")
 def q_hybrid_eta(spark, sf):
     """Boosted trees on the base features plus source/destination walk embeddings."""
-    from hubflow.plans.q_models import encoded
-    from pyspark.ml.functions import array_to_vector
-    tr, te = encoded(spark, sf)
-    emb = walk_vectors(spark, sf).select("hub_id", array_to_vector("embedding").alias("__v"))
-    zero = F.array_repeat(F.lit(0.0), 64)
-    def aug(df):
-        s = emb.select(F.col("hub_id").alias("source_hub_id"), F.col("__v").alias("src_emb"))
-        d = emb.select(F.col("hub_id").alias("dest_hub_id"), F.col("__v").alias("dst_emb"))
-        out = df.join(s, "source_hub_id", "left").join(d, "dest_hub_id", "left")
-        return out.withColumns({c: F.coalesce(F.col(c), array_to_vector(zero)) for c in ("src_emb", "dst_emb")})
-    tr, te = aug(tr), aug(te)
-    model = ML.search_eta_model(tr, ML.feature_columns(), space=ML.HYBRID_SPACE, vector_cols=("src_emb", "dst_emb"))
+    model, te = hybrid_model(spark, sf)
     return M.prediction_table(ML.predict(model, te, keep=("trip_id", "row_ord")))
 
 
+@query("hybrid_top_features")
+def q_hybrid_top_features(spark, sf):
+    """The hybrid's fifteen inputs with the largest share of the gain."""
+    return ML.importances(hybrid_model(spark, sf)[0], spark).where("rank <= 15")
+
+
+@query("hybrid_embedding_share")
+def q_hybrid_embedding_share(spark, sf):
+    """Share of the gain by group of inputs: the base features and the two embeddings."""
+    return ML.group_shares(ML.importances(hybrid_model(spark, sf)[0], spark))
+
+
 @query("neighbour_eta")
 def q_neighbour_eta(spark, sf):
     """Boosted trees on [2-hop neighbour features of both ends ‖ trip edge features]; positive output."""
-    from pyspark.ml.functions import array_to_vector
-    vec = NB.to_vectors(hub_h2(spark, sf)).select("hub_id", array_to_vector("vector").alias("__v"))
+    vec = NB.to_vectors(hub_h2(spark, sf)).select("hub_id", F.col("vector").cast("array<double>").alias("__v"))
     e = edge_table(spark, sf)
     e = (e.join(vec.select(F.col("hub_id").alias("source_center"), F.col("__v").alias("src_vec")), "source_center")
          .join(vec.select(F.col("hub_id").alias("destination_center"), F.col("__v").alias("dst_vec")),

@@ -193,7 +193,7 @@ def q_gbt_metrics(spark, sf):
 @query("importances")
 def q_importances(spark, sf):
     model, _, _ = gbt_model(spark, sf)
-    return ML.importances(model, ML.feature_columns())
+    return ML.importances(model, spark)
 
 
 @query("learning_curve")
@@ -202,7 +202,7 @@ def q_learning_curve(spark, sf):
     sp = split_table(spark, sf).withColumn("is_train", F.col("split") == "train").drop("split", "pos")
     tagged = SP.val_tail(sp, frac=0.1)
     tr, va = ML.encode_features(tagged.filter(F.col("split") == "train"), tagged.filter(F.col("split") == "val"))
-    return ML.learning_curve(ML.search_eta_model(tr, ML.feature_columns()), tr, va)
+    return ML.learning_curve(ML.search_eta_model(tr, ML.feature_columns(), val=va), spark)
 
 
 @query("fold_summary", f"""with {S.MODEL},
@@ -224,6 +224,11 @@ def q_chrono_sorted(spark, sf):
 
 @query("gbt_search")
 def q_gbt_search(spark, sf):
-    """Random search: 20 seeded draws scored on 5 expanding folds, best refit, test predictions."""
-    model, _, te = gbt_model(spark, sf)
-    return M.regression_metrics(ML.predict(model, te, keep=("row_ord",)).withColumn("model", F.lit("gbt_search")))
+    """The random search itself: each of the 20 seeded draws with its setting and its mean error on 5 expanding folds; the least is refit."""
+    model, _, _ = gbt_model(spark, sf)
+    settings = ML.draw_params(ML.DRAWS)
+    scores = spark.createDataFrame(model.scores, "draw int, fold int, mae double")
+    drawn = spark.createDataFrame([(i, *p.values()) for i, p in enumerate(settings)], "draw int, " + ", ".join(f"{k} {'int' if isinstance(v, int) else 'double'}" for k, v in settings[0].items()))
+    per = scores.groupBy("draw").agg(F.avg("mae").alias("cv_mae"), F.count("*").alias("folds"))
+    best = per.agg(F.min(F.struct("cv_mae", "draw")).alias("b")).select(F.col("b.draw").alias("best"))
+    return drawn.join(per, "draw").crossJoin(F.broadcast(best)).withColumn("refit", F.col("draw") == F.col("best")).drop("best")

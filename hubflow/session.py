@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -96,3 +97,12 @@ def materialize_round(df: DataFrame, round_no: int, flag: str | None = None, eve
     if previous is not None and previous.is_cached:
         previous.unpersist()
     return df, int(n or 0)
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Let the Python workers import this library: its code goes along with the job (once per context)."""
+    sc = spark.sparkContext
+    if not getattr(sc, "_hubflow_shipped", False):
+        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        sc.addPyFile(shutil.make_archive(f"{sc._temp_dir}/hubflow_lib", "zip", root, "hubflow"))
+        sc._hubflow_shipped = True
