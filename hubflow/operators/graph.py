@@ -1,8 +1,9 @@
 """Graph operators on a (vertices, edges) pair of DataFrames.
 
 There is no graph object: a hub table and a corridor table *are* the graph.
-Degree-type metrics are aggregates; iterative algorithms (components,
-betweenness) are DataFrame fixed-point loops whose state is checkpointed into
+Degree-type metrics are aggregates; a corridor table of checked size is sent to
+the tasks as arrays where an operator searches paths (betweenness, walks).
+Other iterative algorithms (components, betweenness of larger graphs) are DataFrame fixed-point loops whose state is checkpointed into
 the session's reliable checkpoint folder every round, so lineage stays short
 and a lost executor only recomputes one round.  Each round's only driver
 traffic is one count to test convergence.
@@ -10,11 +11,19 @@ traffic is one count to test convergence.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+from heapq import heappop, heappush
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from hubflow.schema import SLA_THRESHOLD
-from hubflow.session import cut_lineage, materialize_round
+from hubflow.session import cut_lineage, materialize_round, ship_code
 
 
 def vertices_of(edges: DataFrame, src="src", dst="dst", extra: DataFrame | None = None) -> DataFrame:
@@ -136,31 +145,111 @@ def component_summary(components: DataFrame, top: int = 5) -> DataFrame:
 # Weighted directed betweenness (Brandes semantics) as DataFrame iterations.
 # ---------------------------------------------------------------------------
 def pick_pivots(vertices: DataFrame, k: int | None = None, seed: int = 42) -> tuple[DataFrame, int, int]:
-    """(sources, number of vertices, number of sources): all vertices, or with ``k`` the first k by a
-    seeded hash (sampling is only done when asked for)."""
+    """(sources, number of vertices, number of sources): all vertices, or with ``k`` the first k by
+    the md5 of ``vertex:seed`` (sampling is only done when asked for)."""
     n = vertices.count()
     if k is None or k >= n:
         return vertices.select(F.col("v").alias("s")), n, n
-    ordered = vertices.orderBy(F.xxhash64(F.col("v"), F.lit(seed)), "v").limit(k)
+    ordered = vertices.orderBy(F.md5(F.concat(F.col("v").cast("string"), F.lit(f":{seed}")).cast("binary")), "v").limit(k)
     return ordered.select(F.col("v").alias("s")), n, k
 
 
+#: Graphs of up to this many edges are sent to the tasks as arrays (at most 16 bytes an edge and the vertex names).
+PACKED_EDGES = 2_000_000
+
+
+@dataclass
+class PackedGraph:
+    """A graph as arrays: vertex names in order, and per vertex the slice start[i]:start[i + 1] of targets (ascending) and weights."""
+    names: list
+    start: np.ndarray
+    target: np.ndarray
+    weight: np.ndarray
+
+
+def pack(edges: DataFrame, limit: int = PACKED_EDGES, vertices: DataFrame | None = None) -> PackedGraph | None:
+    """The arrays of ``edges`` (src, dst, w) and ``vertices`` (v), or None if there are more than ``limit`` edges or vertices."""
+    if edges.count() > limit or (vertices is not None and vertices.count() > limit):
+        return None
+    rows = edges.select("src", "dst", "w").toArrow()
+    src, dst = rows["src"].to_pylist(), rows["dst"].to_pylist()
+    names = sorted({*src, *dst, *([r["v"] for r in vertices.select("v").collect()] if vertices is not None else [])})
+    number = {v: i for i, v in enumerate(names)}
+    a, b = (np.fromiter((number[v] for v in side), np.int32, len(side)) for side in (src, dst))
+    order = np.lexsort((b, a))
+    return PackedGraph(names, np.searchsorted(a[order], np.arange(len(names) + 1)), b[order], np.array(rows["w"].to_pylist(), float)[order])
+
+
+def source_dependencies(graph: tuple[list, list, list], s: int, total: np.ndarray) -> None:
+    """Add the dependencies of source ``s`` to ``total``: one heap-based shortest-path pass, then path counts backwards."""
+    start, target, weight = graph
+    dist, paths, before, order, done, heap = {s: 0.0}, {s: 1}, {}, [], set(), [(0.0, s)]
+    while heap:
+        d, u = heappop(heap)
+        if u in done:
+            continue
+        done.add(u)
+        order.append(u)
+        for i in range(start[u], start[u + 1]):
+            v, far = target[i], d + weight[i]
+            old = dist.get(v)
+            if old is None or far < old:
+                dist[v], paths[v], before[v] = far, paths[u], [u]
+                heappush(heap, (far, v))
+            elif far == old:
+                paths[v] += paths[u]
+                before[v].append(u)
+    depends = dict.fromkeys(order, 0.0)
+    for v in reversed(order):
+        for u in before.get(v, ()):
+            depends[u] += paths[u] / paths[v] * (1.0 + depends[v])
+        if v != s:
+            total[v] += depends[v]
+
+
+def _packed_dependencies(graph: PackedGraph, pivots: DataFrame) -> DataFrame:
+    """(v, b): summed dependencies of all pivots; each task adds up its own pivots first."""
+    spark = pivots.sparkSession
+    ship_code(spark)
+    shared = spark.sparkContext.broadcast(graph)
+    kind = pivots.schema["s"].dataType
+    schema = StructType([StructField("v", kind), StructField("b", DoubleType())])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g = shared.value
+        number = {v: i for i, v in enumerate(g.names)}
+        lists, total = (g.start.tolist(), g.target.tolist(), g.weight.tolist()), np.zeros(len(g.names))
+        for batch in batches:
+            for v in batch.column(0).to_pylist():
+                if v in number:
+                    source_dependencies(lists, number[v], total)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array([g.names[i] for i in at.tolist()], arrow.field("v").type), pa.array(total[at])], schema=arrow)
+
+    return pivots.repartition(spark.sparkContext.defaultParallelism).mapInArrow(run, schema).groupBy("v").agg(F.sum("b").alias("b"))
+
+
 def betweenness(edges: DataFrame, vertices: DataFrame | None = None, weight: str = "weight",
                 k: int | None = None, seed: int = 42, max_iter: int = 1000,
-                normalized: bool = True) -> DataFrame:
+                normalized: bool = True, packed_edges: int = PACKED_EDGES) -> DataFrame:
     """Betweenness centrality of every vertex, directed, weighted, 1/((n-1)(n-2)).
 
+    Exact unless ``k`` asks for that many seeded pivots (``BETWEENNESS_PIVOTS``
+    is the published choice for large networks): BC(v) = scale · Σ_s δ(s,v),
+    scale × n/k when pivots are sampled; ``pivots`` in the output says how many
+    were used.  Weights must be positive.
+
+    Graphs of up to ``packed_edges`` edges go to the tasks as arrays; each task
+    runs one shortest-path pass per pivot of its own and sums up.  Larger ones
+    are iterated as DataFrames:
     1. single-source distances from every pivot: frontier Bellman–Ford
        (frontier ⋈ corridors, min per (s, v)), one job per round;
     2. shortest-path DAG: corridors with d(s,u) + w = d(s,v);
     3. DAG height per (s, v) (integer fixed point) gives the number of rounds
-       for path counts σ (forward) and dependencies δ (backward);
-    4. BC(v) = scale · Σ_s δ(s,v), scale × n/k when pivots are sampled.
-    Exact unless ``k`` asks for that many seeded pivots (``BETWEENNESS_PIVOTS``
-    is the published choice for large networks); ``pivots`` in the output says
-    how many were used.  State is (pivot, vertex) pairs, k · n rows, not the
-    trip volume.  Weights must be positive; raises if a loop has not converged
-    after ``max_iter`` rounds.
+       for path counts σ (forward) and dependencies δ (backward).
+    Their state is (pivot, vertex) pairs, k · n rows, not the trip volume; they
+    raise if a loop has not converged after ``max_iter`` rounds.
     """
     v = vertices if vertices is not None else vertices_of(edges)
     e = cut_lineage(edges.filter(F.col("src") != F.col("dst"))
@@ -168,6 +257,9 @@ def betweenness(edges: DataFrame, vertices: DataFrame | None = None, weight: str
     if e.filter(~(F.col("w") > 0)).limit(1).count():
         raise ValueError("betweenness needs positive weights")
     pivots, n, kk = pick_pivots(v, k, seed=seed)
+    graph = pack(e, packed_edges) if packed_edges else None
+    if graph is not None:
+        return _scaled(v, _packed_dependencies(graph, pivots), n, kk, normalized)
 
     dist = cut_lineage(pivots.select("s", F.col("s").alias("v"), F.lit(0.0).alias("d"),
                                      F.lit(True).alias("fresh")))
@@ -229,12 +321,12 @@ def betweenness(edges: DataFrame, vertices: DataFrame | None = None, weight: str
         nxt = (dist.select("s", "v").join(contrib, ["s", "v"], "left")
                .select("s", "v", F.coalesce(F.col("nd"), F.lit(0.0)).alias("delta")))
         delta, _ = materialize_round(nxt, i, previous=delta if i > 1 else None)
-    if normalized and n > 2:
-        scale = 1.0 / ((n - 1) * (n - 2))
-    else:
-        scale = 1.0
-    scale = scale * n / kk
-    total = (delta.filter(F.col("s") != F.col("v")).groupBy("v").agg(F.sum("delta").alias("b")))
+    total = delta.filter(F.col("s") != F.col("v")).groupBy("v").agg(F.sum("delta").alias("b"))
+    return _scaled(v, total, n, kk, normalized)
+
+
+def _scaled(v: DataFrame, total: DataFrame, n: int, kk: int, normalized: bool) -> DataFrame:
+    scale = (1.0 / ((n - 1) * (n - 2)) if normalized and n > 2 else 1.0) * n / max(kk, 1)
     return (v.select("v").join(total, "v", "left")
             .select("v", (F.coalesce(F.col("b"), F.lit(0.0)) * scale).alias("betweenness_centrality"),
                     F.lit(kk).cast("long").alias("pivots")))

@@ -71,7 +71,28 @@ def walks(spark, sf):
     return memo(spark, sf, "walks", build)
 
 
-@query("walks")
+WALKS_SQL = f"""with recursive {S.EDGES}{S.HUBS_TAIL},
+col as (select source_center as src, destination_center as dst, min(coalesce(edge_weight, 1.0)) as w
+  from edges where edge_weight is not null group by 1, 2),
+vs as (select hub_id, row_number() over (order by hub_id) - 1 as num from
+  (select hub_id from hubs union select source_center from edges union select destination_center from edges)),
+cum as (select src, dst, sum(w) over (partition by src order by dst) as hi from col),
+edge as (select src, dst, hi, coalesce(lag(hi) over (partition by src order by dst), 0.0) as lo, max(hi) over (partition by src) as total from cum),
+w as (select num * 200 + i as walker, hub_id || ':' || i as walk_id, hub_id as start, 1 as step, 0 as attempt, cast(null as varchar) as back, hub_id as cur,
+    hub_id as walk from vs, range(200) r(i)
+  union all
+  select walker, walk_id, start, step + cast(ok as integer), case when ok then 0 else attempt + 1 end, case when ok then cur else back end,
+    case when ok then dst else cur end, case when ok then walk || ' ' || dst else walk end from (
+    select w.*, e.dst, w.back is null or {W.draw_sql('walker', 'step', 'attempt', 1, 42)} * 2.0
+      < case when e.dst = w.back then 1.0 when b.src is not null then 1.0 else 2.0 end as ok
+    from (select *, {W.draw_sql('walker', 'step', 'attempt', 0, 42)} as u from w where step < 30) w
+    join edge e on e.src = w.cur and u * e.total >= e.lo and u * e.total < e.hi
+    left join col b on b.src = w.back and b.dst = e.dst))
+select walk_id, start, cast(step as integer) as length, walk
+from (select *, row_number() over (partition by walker order by step desc, attempt desc) as last from w) where last = 1"""
+
+
+@query("walks", WALKS_SQL)
 def q_walks(spark, sf):
     return walks(spark, sf).select("walk_id", "start", F.size("walk").alias("length"),
                                    F.array_join("walk", " ").alias("walk"))

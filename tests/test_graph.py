@@ -67,6 +67,18 @@ def test_betweenness_matches_brandes_with_ties(spark):
         assert got[k] == pytest.approx(want[k], abs=1e-12)
 
 
+def test_both_betweenness_paths_agree_exact_and_by_pivot(spark):
+    rng = random.Random(11)
+    edges = [(f"h{a}", f"h{b}", rng.choice([0.5, 1.0, 1.5])) for a in range(8) for b in range(8) if a != b and rng.random() < 0.4]
+    v = spark.createDataFrame([(f"h{i}",) for i in range(9)], "v string")
+    for k in (None, 3):
+        arrays, loops = ({r["v"]: tuple(r)[1:] for r in G.betweenness(_edges_df(spark, edges), v, k=k, packed_edges=limit).collect()} for limit in (10_000, 0))
+        assert arrays.keys() == loops.keys() and len(arrays) == 9
+        for name in arrays:
+            assert arrays[name][0] == pytest.approx(loops[name][0], abs=1e-12) and arrays[name][1] == loops[name][1] == (k or 9)
+    assert G.pack(_edges_df(spark, edges).withColumnRenamed("weight", "w"), limit=5) is None
+
+
 def test_degrees_and_strengths_with_self_loop_and_isolate(spark):
     e = _edges_df(spark, [("a", "b", 2.0), ("a", "a", 1.0), ("b", "c", 0.5)])
     v = spark.createDataFrame([("a",), ("b",), ("c",), ("z",)], "v string")
@@ -105,6 +117,22 @@ def test_random_walks_follow_edges_and_are_deterministic(spark):
             assert walk[-1] == "d"  # only the sink ends a walk early
 
 
+def test_walks_follow_the_second_order_rule(spark):
+    """Frequencies of the second step from a -> b against weight x p/q factor; graphs too large walk by rounds."""
+    edges = [("a", "b", 1.0), ("b", "a", 1.0), ("b", "c", 2.0), ("b", "d", 3.0), ("a", "c", 1e-12), ("c", "a", 1.0), ("d", "a", 1.0), ("b", "z", 0.0)]
+    p, q, n = 0.25, 2.0, 40_000
+    v = spark.createDataFrame([("a",)], "v string")
+    seen = {}
+    for r in W.random_walks(_edges_df(spark, edges), v, num_walks=n, walk_length=3, p=p, q=q, seed=5).collect():
+        assert r["walk"][:2] == ["a", "b"] and len(r["walk"]) == 3
+        seen[r["walk"][2]] = seen.get(r["walk"][2], 0) + 1
+    factor = {"a": 1 / p, "c": 2.0, "d": 3.0 / q}  # a is the hub before, c is its neighbour, d isn't
+    for hub, f in factor.items():
+        assert seen[hub] / n == pytest.approx(f / sum(factor.values()), abs=0.012)
+    slow = W.random_walks(_edges_df(spark, edges), v, num_walks=4, walk_length=3, p=p, q=q, seed=5, packed_edges=2).collect()
+    assert len(slow) == 4 and all(r["walk"][:2] == ["a", "b"] for r in slow)
+
+
 def test_neighbour_mean_matches_numpy(spark):
     import numpy as np
     hubs = ["a", "b", "c"]
