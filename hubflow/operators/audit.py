@@ -10,31 +10,27 @@ from hubflow.functions.cleaning import dedup_first, drop_critical_nulls, positiv
 from hubflow.operators import graph as G
 from hubflow.operators.corridors import corridor_edges
 from hubflow.operators.hubs import hub_labels
-from hubflow.operators.ordering import exact_quantile
+from hubflow.operators.selection import exact_quantile
 from hubflow.schema import ROUTING_COLUMNS, SLA_THRESHOLD, WINSOR_Q
-from hubflow.session import cut_lineage
 from hubflow.sources.trips import coerce_numeric
 
 
 def winsorise(df: DataFrame, col: str, q: float = WINSOR_Q, by: str | None = None,
               out: str | None = None) -> DataFrame:
-    """Cap ``col`` at its q-quantile (global by default, or per ``by`` group).
+    """Cap ``col`` at its q-quantile (global by default, or per ``by`` group; NULL is a group of its own).
 
-    The global cap is an exact sort-based quantile (no single task holds all
-    distinct values); it is one row, broadcast to every task.
+    The global cap is exact and found by refining counts: nothing is sorted or written.
+    Rows without a value, and groups without one, keep NULL. Every row stays.
     """
     out = out or col
     if by is None:
-        # the input is read twice (quantile, then the capped rows): write it once
-        df = cut_lineage(df)
-        cap = exact_quantile(df, col, q).withColumnRenamed("q", "__cap")
-        j = df.crossJoin(F.broadcast(cap))
+        j = df.withColumn("__cap", F.lit(exact_quantile(df, col, q)).cast("double"))
     else:
         from hubflow.operators.corridors import skew_safe_quantiles
-        cap = skew_safe_quantiles(df, [by], [("__cap", col, q)])
-        j = df.join(cap, by)
+        cap = skew_safe_quantiles(df, [by], [("__cap", col, q)]).withColumnRenamed(by, "__by")
+        j = df.join(cap, F.col(by).eqNullSafe(F.col("__by")), "left").drop("__by")
     return j.withColumn("__capped", F.col(col) > F.col("__cap")).withColumn(
-        out, F.least(F.col(col), F.col("__cap"))).drop("__cap")
+        out, F.when(F.col(col).isNotNull(), F.least(F.col(col), F.col("__cap")))).drop("__cap")
 
 
 def winsor_report(capped: DataFrame, col: str) -> DataFrame:
@@ -148,7 +144,7 @@ def exec_summary(audited: DataFrame, edges: DataFrame, metrics: DataFrame, chron
                     F.max("betweenness_centrality").alias("top_hub_bc"))
     r = ranked.agg(F.min_by("facility_id", "rank").alias("top_offender"))
     return (scale.crossJoin(e).crossJoin(c).crossJoin(h).crossJoin(r)
-            .withColumn("chronic_pct", F.col("chronic_corridors") * 100.0 / F.col("corridors"))
+            .withColumn("chronic_pct", F.try_divide(F.col("chronic_corridors") * 100.0, F.col("corridors")))
             .select("segments", "hubs", "corridors", "chronic_corridors", "chronic_pct", "top_hub", "top_hub_bc",
                     F.col("worst.source_id").alias("worst_src"), F.col("worst.destination_id").alias("worst_dst"),
                     "top_offender"))

@@ -43,3 +43,11 @@ def memo(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
     if key not in _MEMO:
         _MEMO[key] = cut_lineage(build())
     return _MEMO[key]
+
+
+def keep(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
+    """A plan whose boundaries were worked out once per session and scale factor; nothing is written."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _MEMO:
+        _MEMO[key] = build()
+    return _MEMO[key]

@@ -122,12 +122,11 @@ c as (select quantile_cont(actual_time, 0.99) as cap from nonull)
 select round(max(cap), 10) as cap, count(*) filter (where actual_time <= cap) as rows_kept,
   max(actual_time) filter (where actual_time <= cap) as max_kept from nonull, c""")
 def q_percentile_trim(spark, sf):
-    from hubflow.operators.ordering import exact_quantile
+    from hubflow.operators.selection import exact_quantile
     nn = B.drop_critical_nulls(trips(spark, sf))
-    cap = exact_quantile(nn, "actual_time", 0.99).withColumnRenamed("q", "cap")
-    return (nn.crossJoin(F.broadcast(cap)).filter(F.col("actual_time") <= F.col("cap"))  # cap: one row
-            .agg(F.round(F.max("cap"), 10).alias("cap"), F.count(F.lit(1)).alias("rows_kept"),
-                 F.max("actual_time").alias("max_kept")))
+    cap = F.lit(exact_quantile(nn, "actual_time", 0.99)).cast("double")
+    return (nn.filter(F.col("actual_time") <= cap)
+            .agg(F.round(cap, 10).alias("cap"), F.count(F.lit(1)).alias("rows_kept"), F.max("actual_time").alias("max_kept")))
 
 
 @query("group_clip", f"""with {S.FEAT},

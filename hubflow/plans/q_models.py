@@ -13,7 +13,8 @@ from hubflow.operators import metrics as M
 from hubflow.operators import models as ML
 from hubflow.operators import splits as SP
 from hubflow.plans import sqltext as S
-from hubflow.plans.common import features, memo, trips
+from hubflow.operators.ordering import global_position
+from hubflow.plans.common import features, keep, memo, trips
 from hubflow.plans.registry import query
 
 _MP_COLS = ["trip_id", "source_hub_id", "dest_hub_id", "actual_eta", "osrm_predicted_eta", "distance_km",
@@ -26,7 +27,7 @@ def prepped(spark, sf):
 
 
 def split_table(spark, sf):
-    return memo(spark, sf, "model_split", lambda: SP.chronological_split(prepped(spark, sf)))
+    return keep(spark, sf, "model_split", lambda: SP.chronological_split(prepped(spark, sf)))
 
 
 def r(df, digits, *cols):
@@ -40,7 +41,9 @@ def q_model_preprocess(spark, sf):
 
 @query("chrono_split", f"with {S.MODEL} select row_ord, pos, split from split")
 def q_chrono_split(spark, sf):
-    return split_table(spark, sf).select("row_ord", "pos", "split")
+    """The split is a filter on one boundary; the position that the table shows beside it is numbered apart, on the two keys."""
+    narrow = split_table(spark, sf).select("row_ord", "trip_creation_time", "split")
+    return global_position(narrow, ["trip_creation_time", "row_ord"], "pos").select("row_ord", "pos", "split")
 
 
 @query("split_report", f"""with {S.MODEL}
@@ -66,8 +69,8 @@ t as (select row_ord, row_number() over (order by trip_creation_time, row_ord) -
 select row_ord, pos, case when pos >= n - floor(n / 6) * 5 then cast(floor((pos - (n - floor(n / 6) * 5)) / floor(n / 6))
   as integer) end as test_fold from t""")
 def q_expanding_folds(spark, sf):
-    tr = split_table(spark, sf).filter(F.col("split") == "train").drop("pos", "split")
-    return SP.expanding_folds(tr, k=5).select("row_ord", "pos", "test_fold")
+    tr = split_table(spark, sf).filter(F.col("split") == "train").select("row_ord", "trip_creation_time")
+    return global_position(SP.expanding_folds(tr, k=5), ["trip_creation_time", "row_ord"], "pos").select("row_ord", "pos", "test_fold")
 
 
 @query("target_encode", f"""with {S.MODEL},
@@ -199,7 +202,7 @@ def q_importances(spark, sf):
 @query("learning_curve")
 def q_learning_curve(spark, sf):
     """Fit on the earlier nine tenths of the training rows, loss also on the most recent tenth; the test rows aren't looked at."""
-    sp = split_table(spark, sf).withColumn("is_train", F.col("split") == "train").drop("split", "pos")
+    sp = split_table(spark, sf).withColumn("is_train", F.col("split") == "train").drop("split")
     tagged = SP.val_tail(sp, frac=0.1)
     tr, va = ML.encode_features(tagged.filter(F.col("split") == "train"), tagged.filter(F.col("split") == "val"))
     return ML.learning_curve(ML.search_eta_model(tr, ML.feature_columns(), val=va), spark)
@@ -213,7 +216,7 @@ f as (select pos, case when pos >= n - floor(n / 6) * 5 then cast(floor((pos - (
 select test_fold, count(*) as test_rows, min(pos) as test_start, min(pos) as train_rows from f
 where test_fold is not null group by 1""")
 def q_fold_summary(spark, sf):
-    tr = split_table(spark, sf).filter(F.col("split") == "train").drop("pos", "split")
+    tr = split_table(spark, sf).filter(F.col("split") == "train").drop("split")
     return SP.fold_summary(SP.expanding_folds(tr, k=5))
 
 
