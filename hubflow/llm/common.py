@@ -31,14 +31,18 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def unstage(*frames: DataFrame) -> None:
     """Delete the files of tables made by ``stage``; the frames must not be used afterwards."""
     for df in frames:
         path = getattr(df, "_llm_path", None)
         if path:
-            jvm = df.sparkSession.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            delete_path(df.sparkSession, path)
 
 
 def ship_package(spark: SparkSession) -> None:

@@ -16,7 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hubflow.llm.common import id_text, map_rows, stage
+from hubflow.llm.common import delete_path, id_text, map_rows, stage
 from hubflow.session import ensure_checkpoint_dir
 
 BUCKETS = 64
@@ -32,7 +32,7 @@ class DigestIndex:
 
     def __init__(self, spark: SparkSession, name: str, path: str | None = None, buckets: int = BUCKETS):
         self.spark, self.name = spark, name
-        path = path or f"{ensure_checkpoint_dir(spark)}/llm-{name}"
+        self.path = path = path or f"{ensure_checkpoint_dir(spark)}/llm-{name}"
         spark.sql(f"CREATE TABLE IF NOT EXISTS {name} (digest BINARY, keep_id BIGINT, group_size BIGINT, batch STRING) "
                   f"USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'")
 
@@ -45,8 +45,11 @@ class DigestIndex:
         fresh = new.hint("merge").join(self.table().select("digest").hint("merge"), "digest", "left_anti")
         fresh.withColumn("batch", F.lit(batch)).write.insertInto(self.name)
 
-    def drop(self) -> None:
+    def drop(self, files: bool = False) -> None:
+        """Take the table out of the catalog; its files stay unless ``files``."""
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        if files:
+            delete_path(self.spark, self.path)
 
 
 def text_digests(docs: DataFrame) -> DataFrame:
@@ -58,7 +61,7 @@ def text_digests(docs: DataFrame) -> DataFrame:
     return map_rows(id_text(docs), rows, "doc_id long, digest binary", rows=20_000)
 
 
-def exact_dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
+def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, batch: str | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, seen_before; the index grows by the new texts.
 
     Texts are equal when identical after lower-casing A-Z; null equals empty. Of equal
@@ -67,10 +70,22 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     group_size counts the batch's equal rows. A null doc_id is kept only if its text has
     no row with an id. Of repeated rows that are equal in doc_id and text all carry the
     same decision; extra columns are ignored. An empty table gives an empty result.
+
+    A job that died may be run again under the same name ``batch``: digests that it has
+    already added are its own, so the result is that of one run. Without an index an empty
+    one is made for the call and removed again.
     """
-    spark = docs.sparkSession
-    batch = uuid.uuid4().hex
-    index = index or DigestIndex(spark, f"digest_index_{batch}")
+    batch = batch or uuid.uuid4().hex
+    if index is None:
+        index = DigestIndex(docs.sparkSession, f"digest_index_{uuid.uuid4().hex}")
+        try:
+            return stage(_decide(docs, index, batch), "deduped")
+        finally:
+            index.drop(files=True)
+    return _decide(docs, index, batch)
+
+
+def _decide(docs: DataFrame, index: DigestIndex, batch: str) -> DataFrame:
     digests = stage(text_digests(docs), "digests")
     sizes = digests.groupBy("digest").agg(F.count("*").alias("n"))
     index.append(digests, batch)

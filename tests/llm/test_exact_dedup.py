@@ -36,3 +36,23 @@ def test_odd_rows(docs):
     assert exact_dedup(docs([(1, "a")]).limit(0)).collect() == []
     lone = [r for r in got if r["doc_id"] is None][0]
     assert lone["kept"] and lone["keep_id"] is None
+
+
+def test_a_batch_that_died_is_run_again(docs, spark):
+    """The append was done, the result never read: the same rows come out of the second run, and of a third that adds a row."""
+    index = DigestIndex(spark, "digest_index_rerun", buckets=4)
+    rows = [(1, "x"), (2, "y"), (3, "X")]
+    try:
+        exact_dedup(docs([(0, "old")]), index, "first")
+        exact_dedup(docs(rows), index, "monday")
+        again = {r["doc_id"]: (r["kept"], r["keep_id"], r["group_size"], r["seen_before"]) for r in exact_dedup(docs(rows + [(4, "old")]), index, "monday").collect()}
+        assert again == {1: (False, 3, 2, False), 2: (True, 2, 1, False), 3: (True, 3, 2, False), 4: (False, 0, 1, True)}
+        assert index.table().count() == 3
+    finally:
+        index.drop(files=True)
+
+
+def test_the_default_index_is_removed(docs, spark):
+    before = {t.name for t in spark.catalog.listTables()}
+    assert exact_dedup(docs([(1, "a"), (2, "A")])).where("kept").count() == 1
+    assert {t.name for t in spark.catalog.listTables()} == before

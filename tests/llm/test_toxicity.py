@@ -66,3 +66,32 @@ def test_stage_keeps_all_rows_without_both_labels(spark, docs):
     rows, labels = corpus(spark, 60)
     for some in (labels.limit(0), labels.where("toxic = 1"), labels.where("toxic = 0"), labels.selectExpr("doc_id + 1000 as doc_id", "quality", "toxic")):
         assert sorted(r["doc_id"] for r in T.drop_toxic(docs(rows), some).collect()) == list(range(60))
+
+
+def test_bound_of_grams_takes_turns(spark, docs, monkeypatch):
+    """Texts of 400 KB: the sample shrinks to the bound, both classes stay in it (a dozen rows are too few to judge the scores by)."""
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abdeiklmnorstu") for _ in range(rng.randint(2, 8))) for _ in range(200)]
+    rows = [(i, " ".join(rng.choices(words, k=80_000)) + (" vilest scumbag" * 40 if i % 2 else "")) for i in range(1, 25)]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i, _ in rows], "doc_id long, quality int, toxic int")
+    seen = []
+    fit = T.fit
+    monkeypatch.setattr(T, "fit", lambda r, ratio: seen.append(r) or fit(r, ratio))
+    size = T.features(rows[0][1].encode()).size
+    monkeypatch.setattr(T, "SAMPLE_GRAMS", 12 * size)
+    assert T.toxicity(docs(rows), labels).count() == 24
+    assert 8 <= len(seen[0]) < 24 and {y for _, y in seen[0]} == {0, 1}
+    assert sum(x.size for x, _ in seen[0]) < size  # only the kept grams reach the driver
+
+
+def test_ratios_equal_a_plain_count(spark, docs):
+    rows, labels = corpus(spark, 150)
+    truth = {r["doc_id"]: r["toxic"] for r in labels.collect()}
+    pos, neg = np.zeros(1 << T.BITS), np.zeros(1 << T.BITS)
+    for i, text in rows:
+        (pos if truth[i] else neg)[T.features(text.encode())] += 1
+    want = np.log((pos + 1) / (pos + 1).sum()) - np.log((neg + 1) / (neg + 1).sum())
+    want[(pos + neg < T.MIN_DOCS) | (np.abs(want) < T.MIN_RATIO)] = 0
+    sample = spark.createDataFrame([(bytearray(T.features(t.encode()).tobytes()), truth[i]) for i, t in rows], "x binary, y int").repartition(3)
+    got = T.log_count_ratios(sample)
+    assert np.allclose(got, want) and (got != 0).sum() > 20
