@@ -176,6 +176,42 @@ def kde(df: DataFrame, col: str, points: int = 200, by: str | None = None) -> Da
     return (near.groupBy(*keys, "grid_index").agg(F.first(x).alias("x"), F.sum(contrib).alias("density")))
 
 
+#: Bins per bandwidth of a binned curve, and the bandwidths beyond which a kernel is 0 for double precision.
+BINS_PER_BANDWIDTH, REACH = 8, 9
+
+
+def binned_kde(df: DataFrame, col: str, by: str, points: int = 200) -> DataFrame:
+    """The density curves of ``kde`` from binned counts: (by, grid_index, x, density), a curve per value of ``by`` (NULL is one).
+
+    Each value is shared between the two neighbouring nodes of a grid an eighth of the
+    bandwidth wide, which is a sum on every mapper; the nodes' sums are then convolved
+    with the kernel, each over the grid points within ``REACH`` bandwidths of it.  So the
+    rows grow with range and bandwidth, not with the number of distinct values.  The error
+    against the direct sum is below 0.001 / bandwidth at every point.  Groups without
+    spread, and values that are NULL, have no part.
+    """
+    vals = df.select(F.col(by).alias("__k"), F.col(col).cast("double").alias("__v")).filter(F.col("__v").isNotNull())
+    stats = (vals.groupBy("__k").agg(F.count(F.lit(1)).alias("__n"), F.stddev_samp("__v").alias("__sd"), F.min("__v").alias("__min"), F.max("__v").alias("__max"))
+             .filter(F.col("__sd") > 0).withColumn("__h", F.col("__sd") * F.pow(F.col("__n"), F.lit(-0.2)))
+             .withColumn("__w", F.col("__h") / BINS_PER_BANDWIDTH).withColumn("__g0", F.col("__min") - (F.col("__max") - F.col("__min")) / 2)
+             .withColumn("__step", (F.col("__max") - F.col("__min")) * 2 / (points - 1)).withColumnRenamed("__k", "__sk"))
+    at = (F.col("__v") - F.col("__min")) / F.col("__w")
+    left = F.floor(at)
+    shared = (vals.join(stats, F.col("__k").eqNullSafe(F.col("__sk")))
+              .select("__k", F.inline(F.array(F.struct(left.alias("__bin"), (1 - (at - left)).alias("__c")), F.struct((left + 1).alias("__bin"), (at - left).alias("__c"))))))
+    nodes = shared.groupBy("__k", "__bin").agg(F.sum("__c").alias("__c")).join(stats, F.col("__k").eqNullSafe(F.col("__sk"))).drop("__sk")
+    v = F.col("__min") + F.col("__bin") * F.col("__w")
+    first = F.greatest(F.lit(0), F.ceil((v - REACH * F.col("__h") - F.col("__g0")) / F.col("__step")))
+    last = F.least(F.lit(points - 1), F.floor((v + REACH * F.col("__h") - F.col("__g0")) / F.col("__step")))
+    near = nodes.filter(first <= last).withColumn("grid_index", F.explode(F.sequence(first.cast("int"), last.cast("int"))))
+    z = (F.col("__g0") + F.col("grid_index") * F.col("__step") - v) / F.col("__h")
+    sums = near.groupBy("__k", "grid_index").agg(F.sum(F.col("__c") * F.exp(-0.5 * z * z)).alias("__s"))
+    grid = stats.withColumn("__i", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    out = grid.join(sums, F.col("__sk").eqNullSafe(F.col("__k")) & (F.col("__i") == F.col("grid_index")), "left")
+    return out.select(F.col("__sk").alias(by), F.col("__i").alias("grid_index"), (F.col("__g0") + F.col("__i") * F.col("__step")).alias("x"),
+                      (F.coalesce("__s", F.lit(0.0)) / (F.col("__n") * F.col("__h") * math.sqrt(2 * math.pi))).alias("density"))
+
+
 def box_stats(df: DataFrame, value: str, by: str) -> DataFrame:
     """Quartiles, 1.5·IQR whiskers (most extreme data inside the fences) and outlier count."""
     q = (with_quantiles(df.filter(F.col(value).isNotNull()), [by], [F.count(F.lit(1)).alias("n")],

@@ -101,20 +101,12 @@ select model, count(*) as rows_in,
   count(*) filter (where actual_eta is null or predicted_eta is null or isnan(actual_eta) or isnan(predicted_eta)
     or isinf(actual_eta) or isinf(predicted_eta)) as dropped_non_finite,
   count(*) filter (where isfinite(actual_eta) and isfinite(predicted_eta) and actual_eta = 0) as dropped_zero_actual,
-  count(*) filter (where isfinite(actual_eta) and isfinite(predicted_eta) and actual_eta <> 0) as rows_out
+  count(*) filter (where isfinite(actual_eta) and isfinite(predicted_eta) and actual_eta <> 0) as rows_out,
+  count(*) filter (where isfinite(actual_eta) and isfinite(predicted_eta) and actual_eta <> 0) < 100 as too_few
 from pred group by 1""")
 def q_prediction_drop_counts(spark, sf):
     from hubflow.plans.q_models import closed_form_predictions
-    return _drop_counts_by_model(closed_form_predictions(spark, sf))
-
-
-def _drop_counts_by_model(p):
-    a, pr = F.col("actual_eta"), F.col("predicted_eta")
-    bad = lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == F.lit(float("inf")))
-    return p.groupBy("model").agg(
-        F.count(F.lit(1)).alias("rows_in"), F.count_if(bad(a) | bad(pr)).alias("dropped_non_finite"),
-        F.count_if(~(bad(a) | bad(pr)) & (a == 0)).alias("dropped_zero_actual"),
-        F.count_if(~(bad(a) | bad(pr)) & (a != 0)).alias("rows_out"))
+    return drop_counts(closed_form_predictions(spark, sf), by="model")
 
 
 @query("percentile_trim", f"""with {S.NONULL},

@@ -27,4 +27,4 @@ def query(name: str, sql: str | None = None):
 def load_all() -> None:
     """Import every query module so the registry is complete."""
     from hubflow.plans import (  # noqa: F401
-        q_profile, q_corridors, q_audit, q_decisions, q_models, q_graph, q_io)
+        q_profile, q_corridors, q_audit, q_decisions, q_models, q_graph, q_io, q_charts)

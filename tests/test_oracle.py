@@ -8,10 +8,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from hubflow.plans import registry
 
 SF = os.environ.get("HUBFLOW_TEST_SF", "/root/testdata/sf0.001")
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "embeddings"]
-SQL = E.oracle_sql()
+registry.load_all()
+SQL = registry.ORACLE  # the library's own; the training-data queries are tested beside their code
 
 
 def _norm(v):
