@@ -6,8 +6,9 @@ in the index are looked up by rarity (document frequency over all files); postin
 whose positions agree relative to the file (file position - template position) are
 intersected, and an alignment counts when every word of its key phrases stands there.
 
-One scan keeps the licence words of each file with their positions; ordinary files keep
-none, so what follows is small. Templates are a fixed list, which bounds the broadcasts.
+One scan keeps the key phrases' words of each file with their positions (a code and a
+number each, no context); files without a looked-up word keep none, so what follows is
+small. Templates are a fixed list, which bounds the broadcasts.
 """
 
 from __future__ import annotations
@@ -52,10 +53,6 @@ PROSE = {"a", "and", "any", "are", "as", "by", "can", "for", "in", "into", "is",
 LOOKED_UP = 3
 
 
-#: Words kept on either side of a looked-up word; at least the length of the longest key phrase.
-AROUND = 16
-
-
 def phrases() -> list[tuple]:
     """(template, label, base, mandatory phrases of the template, phrase number, position in the template, words)."""
     out = []
@@ -112,25 +109,31 @@ def license_scan(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     docs = docs.select("doc_id", "text")
     index, looked = postings(docs.sparkSession, word_rarity(docs))
-    wanted = F.array(*[F.lit(w) for w in looked])
+    words = sorted({w for *_, key in phrases() for w in key})
+    wanted, known = F.array(*[F.lit(w) for w in looked]), F.array(*[F.lit(w) for w in words])
     w = docs.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("h"), file_words(F.col("text")).alias("w"))
 
     def hit(x, i):
-        from_ = F.greatest(i - AROUND, F.lit(0))
-        return F.when(F.array_contains(wanted, x), F.struct(x.alias("word"), i.alias("pos"), from_.alias("from"), F.slice("w", from_ + 1, F.lit(2 * AROUND + 1)).alias("around")))
+        return F.when(F.array_contains(known, x), F.struct(F.array_position(known, x).cast("int").alias("code"), i.alias("pos")))
 
     hits = F.when(F.arrays_overlap("w", wanted), F.filter(F.transform("w", hit), lambda x: x.isNotNull()))
     files = stage(w.select("doc_id", "h", F.size("w").cast("long").alias("n_words"), hits.alias("hits")), "licence-words")
-    found = (files.where("hits is not null").dropDuplicates(["doc_id", "h"]).select("doc_id", "h", F.explode("hits").alias("x")).select("doc_id", "h", "x.*")
-             .join(F.broadcast(index), "word"))  # the templates are a fixed list
-    start = F.col("pos") - F.col("i")
-    aligned = (found.withColumn("start", start).where("start >= 0")
+    found = files.where("hits is not null").dropDuplicates(["doc_id", "h"]).select("doc_id", "h", F.explode("hits").alias("x")).select("doc_id", "h", "x.*")
+    code = F.array_position(known, F.col("word")).cast("int")
+    # the rarest words' postings first: places where all of them agree in their relative position
+    aligned = (found.join(F.broadcast(index.withColumn("code", code)), "code")  # the templates are a fixed list
+               .withColumn("start", F.col("pos") - F.col("i")).where("start >= 0")
                .groupBy("doc_id", "h", "template", "phrase", "start")
-               .agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("label", "base", "n_keys", "at", "key", "n_rare", "share", "from", "around")])
+               .agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("label", "base", "n_keys", "at", "key", "n_rare", "share")])
                .where("n = n_rare"))
-    there = F.slice("around", F.col("start") - F.col("from") + 1, F.size("key")) == F.col("key")
-    places = aligned.where(F.col("start") >= F.col("from")).where(there).select(
-        "doc_id", "h", "label", "base", "template", "phrase", F.col("start").cast("long"), F.size("key").alias("length"), "share", "n_keys", (F.col("start") - F.col("at")).alias("origin"))
+    # then every word of the phrase at its place
+    asked = aligned.select("doc_id", "h", "template", "phrase", "start", "label", "base", "n_keys", "at", "share", F.size("key").alias("length"), F.posexplode("key").alias("k", "word"))
+    asked = asked.select("*", code.alias("c"), (F.col("start") + F.col("k")).alias("p")).drop("k", "word")
+    there = found.select(F.col("doc_id").alias("i"), F.col("h").alias("g"), F.col("code").alias("c2"), F.col("pos").alias("p2"))
+    places = (asked.join(there, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("g")) & (F.col("c") == F.col("c2")) & (F.col("p") == F.col("p2")))
+              .groupBy("doc_id", "h", "template", "phrase", "start").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("label", "base", "n_keys", "at", "share", "length")])
+              .where("n = length")
+              .select("doc_id", "h", "label", "base", "template", "phrase", F.col("start").cast("long"), "length", "share", "n_keys", (F.col("start") - F.col("at")).alias("origin")))
     return files.select("doc_id", "h", "n_words"), places
 
 
