@@ -150,3 +150,34 @@ def q_stream_ingest(spark, sf):
     out = spark.read.parquet(f"{base}/clean")
     return out.groupBy("data").agg(F.count(F.lit(1)).alias("rows"), F.sum("actual_time").alias("total_actual_time"),
                                    F.countDistinct("time_of_day").alias("buckets"))
+
+
+@query("labelled_predictions", f"""with {S.MODEL}
+select model, count(*) as rows, round(sum(actual_eta), 4) as actual_total, round(sum(predicted_eta), 4) as predicted_total
+from pred where isfinite(actual_eta) and isfinite(predicted_eta) and actual_eta <> 0 group by 1""")
+def q_labelled_predictions(spark, sf):
+    """The prediction tables of three models, cleaned and put under each other with their labels."""
+    from hubflow.plans.q_models import closed_form_predictions
+    from hubflow.sources.predictions import labelled_predictions
+    p = closed_form_predictions(spark, sf)
+    frames = {m: p.filter(F.col("model") == m).drop("model") for m in ("router", "global_median", "corridor_median")}
+    return labelled_predictions(frames).groupBy("model").agg(
+        F.count(F.lit(1)).alias("rows"), F.round(F.sum("actual_eta"), 4).alias("actual_total"), F.round(F.sum("predicted_eta"), 4).alias("predicted_total"))
+
+
+@query("parquet_or_clean", f"""with {S.FEAT},
+one as (select count(*) as rows, round(sum(actual_time), 4) as total_actual_time from clean)
+select 'raw shards' as read_from, rows, total_actual_time from one union all select 'clean parquet', rows, total_actual_time from one""")
+def q_parquet_or_clean(spark, sf):
+    """Raw shards are cleaned inline while there is no clean table; once it is written it is read instead."""
+    from hubflow.sources.trips import read_parquet_or_clean, require_columns
+    t = trips(spark, sf)
+    full = require_columns(t.select(*[F.col(f.name) if f.name in t.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in TRIP_SCHEMA.fields]),
+                           ["trip_uuid", "source_center", "destination_center", "actual_time"])
+    raw, clean = (sinks.artifact_dir(spark, n) for n in ("raw-shards", "clean"))
+    sinks.write_csv(full, f"{raw}/data_part_all.csv", timestamp_format="yyyy-MM-dd HH:mm:ss.SSSSSS")
+    first = read_parquet_or_clean(spark, clean, raw)
+    sinks.write_parquet(first, clean)
+    parts = [df.agg(F.lit(name).alias("read_from"), F.count(F.lit(1)).alias("rows"), F.round(F.sum("actual_time"), 4).alias("total_actual_time"))
+             for name, df in (("raw shards", first), ("clean parquet", read_parquet_or_clean(spark, clean, raw)))]
+    return parts[0].unionByName(parts[1])
