@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 from hubflow.functions.features import route_code_graph, tod_code
 
+# FIXED VALUES — feature columns, in natural order
 NODE_FEAT_COLS = ["avg_congestion_factor", "cutoff_rate", "avg_dwell_time_min", "log_dwell_time",
                   "unique_destinations", "unique_sources", "outbound_trips", "ftl_ratio", "p75_delay_ratio",
                   "weekend_congestion_delta"]
+# FIXED VALUES — feature columns, in natural order
 EDGE_FEAT_COLS = ["osrm_time", "log_osrm_time", "log_distance", "log_dwell", "hour_of_day", "day_of_week",
                   "time_of_day_code", "route_type_enc", "is_cutoff_int"]
 

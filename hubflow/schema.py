@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 # ---------------------------------------------------------------------------
 # Trip-segment log: one row per segment of a multi-leg journey.
 # ---------------------------------------------------------------------------
+# FIXED VALUES — column names of the trip table, in natural order
 TRIP_SCHEMA = T.StructType([
     T.StructField("data", T.StringType()),
     T.StructField("trip_creation_time", T.TimestampNTZType()),
@@ -38,6 +39,7 @@ TRIP_SCHEMA = T.StructType([
     T.StructField("segment_factor", T.DoubleType()),
 ])
 
+# FIXED VALUES — column names of the trip table, in natural order
 TIMESTAMP_COLUMNS = ["trip_creation_time", "od_start_time", "od_end_time", "cutoff_timestamp"]
 NUMERIC_COLUMNS = [f.name for f in TRIP_SCHEMA.fields if isinstance(f.dataType, T.DoubleType)]
 
