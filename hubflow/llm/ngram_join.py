@@ -65,7 +65,9 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, threshold_pct: int = 80) ->
     tied = min_labels(links)
     pairs = _candidates(docs, classes, tied, n, threshold_pct)
     more = _verified(docs, classes, pairs, n, threshold_pct)
+    unstage(pairs)
     labels = min_labels(links.union(more)) if more.limit(1).count() else tied
+    unstage(links, more)
 
     comp = (classes.join(labels, F.col("k") == F.col("v"), "left").select("k", "doc_id", "size", F.coalesce("c", "k").alias("c")))
     first = comp.groupBy("c").agg(F.min("doc_id").alias("component_id"))
@@ -132,10 +134,18 @@ def _crowd_links(docs: DataFrame, classes: DataFrame, n: int, pct: int) -> DataF
         # a near copy of a pivot shares most of the prefix: the others are left to the full search
         pairs = (members.join(pivots, "s").where("c <> ac").groupBy("a", F.col("k").alias("b")).agg(F.count("*").alias("shared"), F.min(F.least("p", "ap")).alias("least"))
                  .where("shared >= 2 and 2 * shared >= least").select("a", "b"))
-        found = _verified(docs, classes, stage(pairs, "pairs"), n, pct)
-        links = found if links is None else stage(links.union(found), "links")
+        pairs = stage(pairs, "pairs")
+        found = _verified(docs, classes, pairs, n, pct)
+        unstage(pairs)
+        if links is None:
+            links = found
+        else:
+            both = stage(links.union(found), "links")
+            unstage(links)
+            links = both
         if not found.limit(1).count():
             break
+    unstage(crowd, inside)
     return links
 
 
@@ -149,36 +159,61 @@ def _candidates(docs: DataFrame, classes: DataFrame, tied: DataFrame, n: int, pc
     crowd = _shingles(classes, membership_sketch(crowded, F.col("s"))).select("k", "s").join(crowded, "s").join(tied, F.col("k") == F.col("v"), "left")
     groups = crowd.select("s", F.coalesce("c", "k").alias("c")).distinct().groupBy("s").agg(F.count("*").alias("df"))
     freq2 = stage(freq.join(groups, "s", "left").select("s", F.coalesce("df", "m").alias("df")), "freq")
-    freq, whole = freq2, None
+    unstage(freq)
+    freq, chosen = freq2, _chosen(group, classes, freq2, pct)
+    longer = stage(chosen.where("more").select("k", "c"), "longer")
+    whole, own = None, None
     for left in reversed(range(LONGER)):
-        sketch = membership_sketch(freq, F.col("s"))
-        shared = _shingles(classes, sketch).join(freq, "s").groupBy(F.col("k").alias("fk")).agg(F.collect_list(F.struct("pos", "df")).alias("freq"))
-        chosen = stage(_choose(group.join(shared, F.col("k") == F.col("fk"), "left").drop("fk"), pct), "prefixes")
-        longer = chosen.where("more").select("k", "c")
-        if whole is not None:
-            longer = longer.join(whole.select("k"), "k", "left_anti")
-        longer = stage(longer, "longer")
-        if not longer.limit(1).count():
+        some = longer.limit(HOT).count()
+        if not some:
             break
-        more = _sets(docs, classes, longer.select("k"), n).join(longer, "k")
-        whole = stage(more if whole is None else whole.unionByName(more), "whole")
-        toks = whole.select("c", F.explode("s").alias("s")).distinct()
-        if left:  # whole sets hold shingles that no head has shown: count the groups of theirs anew
-            own = stage(toks.select("s").distinct(), "own")
-            heads = _shingles(classes, membership_sketch(own, F.col("s"))).select("k", "s").join(own, "s").join(tied, F.col("k") == F.col("v"), "left")
-            again = toks.select("s", "c").union(heads.select("s", F.coalesce("c", "k"))).distinct().groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
-            freq = stage(freq.join(own, "s", "left_anti").union(again), "freq")
-        else:
-            own = toks.select("s")
-    useful = freq.select("s") if whole is None or left else freq.select("s").union(own).distinct()
+        more = stage(_sets(docs, classes, longer.select("k"), n).join(longer, "k"), "whole")
+        toks = stage(more.select("c", F.explode("s").alias("s")).distinct(), "toks")
+        added, before = toks.select("s").distinct(), whole
+        own = toks if own is None else stage(own.union(toks).distinct(), "toks")
+        whole = more if before is None else stage(before.unionByName(more), "whole")
+        # whole sets hold shingles that no head has shown: count the groups of theirs anew; under HOT
+        # documents can make a shingle hot only together with others, where it costs a few candidates more
+        if not left or some < HOT:
+            break
+        heads = _shingles(classes, membership_sketch(added, F.col("s"))).select("k", "s").join(added, "s").join(tied, F.col("k") == F.col("v"), "left")
+        again = stage(own.join(added, "s").select("s", "c").union(heads.select("s", F.coalesce("c", "k"))).distinct().groupBy("s").agg(F.count("*").alias("df")).where("df > 1"), "again")
+        # a choice holds as long as no shingle of the head has become hot
+        newly = stage(again.where(F.col("df") >= HOT).select("s").join(freq.where(F.col("df") >= HOT), "s", "left_anti").select("s"), "newly")
+        recounted = stage(freq.join(added, "s", "left_anti").union(again), "freq")
+        unstage(freq, again, longer)
+        freq = recounted
+        touched = _shingles(classes, membership_sketch(newly, F.col("s"))).select("k", "s").join(newly, "s").select("k").distinct()
+        touched = stage(touched.join(whole.select("k"), "k", "left_anti"), "touched")
+        anew = _chosen(group.join(touched, "k", "left_semi"), classes, freq, pct, touched)
+        kept = stage(chosen.join(touched, "k", "left_anti").unionByName(anew), "prefixes")
+        longer = stage(anew.where("more").select("k", "c"), "longer")
+        unstage(chosen, anew, touched, newly)
+        chosen = kept
     index = chosen.where("not more").select("k", "n", "c", "l", "r", F.explode("toks").alias("s"))
     if whole is None:
-        return stage(_matches(stage(index.join(useful, "s", "left_semi").select("k", "n", "c", "l", "r", "s"), "index"), pct), "pairs")
+        rows = stage(index.join(freq.select("s"), "s", "left_semi").select("k", "n", "c", "l", "r", "s"), "index")
+        unstage(chosen, freq)
+        pairs = stage(_matches(rows, pct), "pairs")
+        unstage(rows)
+        return pairs
+    useful = freq.select("s").union(own.select("s")).distinct()
     long = stage(_whole_prefixes(whole, freq, pct), "long")
     index = index.union(long.select("k", "n", "c", "l", "r", F.explode("toks").alias("s"))).join(useful, "s", "left_semi").select("k", "n", "c", "l", "r", "s")
-    saturated = long.where(F.col("l") == WHOLE).select("k", "n", "c", F.size("toks").alias("u"), F.explode("hot").alias("s"))
-    pairs = _matches(stage(index, "index"), pct).union(_hot_matches(stage(saturated, "saturated"), pct))
-    return stage(pairs.distinct(), "pairs")
+    index = stage(index, "index")
+    saturated = stage(long.where(F.col("l") == WHOLE).select("k", "n", "c", F.size("toks").alias("u"), "hot", F.explode("hot").alias("s")), "saturated")
+    unstage(chosen, freq, own, whole, long)
+    pairs = stage(_matches(index, pct).union(_hot_matches(saturated, pct)).distinct(), "pairs")
+    unstage(index, saturated)
+    return pairs
+
+
+def _chosen(group: DataFrame, classes: DataFrame, freq: DataFrame, pct: int, only: DataFrame | None = None) -> DataFrame:
+    """The prefixes of the classes in ``group`` (of those in ``only``, if given) under the frequencies ``freq`` (written table)."""
+    own = classes if only is None else classes.join(only, "k", "left_semi")
+    shared = (_shingles(own, membership_sketch(freq, F.col("s"))).join(freq, "s")
+              .groupBy(F.col("k").alias("fk")).agg(F.collect_list(F.struct("pos", "df")).alias("freq")))
+    return stage(_choose(group.join(shared, F.col("k") == F.col("fk"), "left").drop("fk"), pct), "prefixes")
 
 
 def _matches(index: DataFrame, pct: int) -> DataFrame:
@@ -248,11 +283,13 @@ def _hot_matches(index: DataFrame, pct: int) -> DataFrame:
     """Pairs of documents that are hot nearly throughout (u shingles aren't) and share one of the first hot ones.
 
     Pairs that share a rare shingle are matched by that; the others lose all u on either side.
+    A pair comes from the least hot shingle that both have among their first.
     """
     b = index.select(*[F.col(x).alias(f"{x}2") for x in index.columns])
     return (index.join(b, (F.col("s") == F.col("s2")) & (F.col("k") < F.col("k2")) & (F.col("c") != F.col("c2"))
-                       & F.expr(f"{100 + pct} * least(n - u, n2 - u2) >= {pct} * (n + n2)"))
-            .select(F.col("k").alias("a"), F.col("k2").alias("b")).distinct())
+                       & F.expr(f"{100 + pct} * least(n - u, n2 - u2) >= {pct} * (n + n2)")
+                       & F.expr("array_min(array_intersect(hot, hot2)) = s"))
+            .select(F.col("k").alias("a"), F.col("k2").alias("b")))
 
 
 def _sets(docs: DataFrame, classes: DataFrame, keys: DataFrame, n: int) -> DataFrame:
