@@ -84,6 +84,19 @@ def q_recommend_transport(spark, sf):
         "rule_cost_ftl", "rule_cost_carting", "cost_saving", "net_saving", "override_applied")
 
 
+@query("recommendation_reasoning", DEC_SQL + """
+select source_center, destination_center, route_type, time_of_day, case when override_applied then
+    printf('OVERRIDE: Source hub centrality=%.4f (≥0.05), peak ToD, distance=%.0f km <300 km threshold. '
+      || 'FTL through chokepoint during peak compounds cascade risk.', src_betweenness_centrality, median_dist_km)
+  else 'Cost model: FTL=₹' || format('{:,}', round_even(rftl, 0)::bigint)
+    || ', Carting=₹' || format('{:,}', round_even(rcart, 0)::bigint)
+    || ', diff=₹' || case when rftl - rcart >= 0 then '+' else '-' end || format('{:,}', round_even(abs(rftl - rcart), 0)::bigint)
+    || printf('. Delay ratio=%.2f×, dist=%.0f km, centrality=%.4f, peak=', mean_delay_ratio, median_dist_km, src_betweenness_centrality)
+    || case when is_peak_tod then 'True' else 'False' end || '.' end as reasoning from recs""")
+def q_reasoning(spark, sf):
+    return recs_table(spark, sf).select("source_center", "destination_center", "route_type", "time_of_day", "reasoning")
+
+
 @query("export_recommendations", DEC_SQL + """
 select source_center, destination_center, route_type, time_of_day, median_dist_km, mean_delay_ratio,
   round(src_betweenness_centrality, 10) as src_betweenness_centrality, src_centrality_tier, is_chronic, is_peak_tod,
@@ -275,6 +288,23 @@ def q_score_modes(spark, sf):
                                     "bc_regime", "sla_breaching")
 
 
+@query("score_mode_parts", REC_SQL + """
+select row_ord, round_even(fb, 4) as ftl_base_cost, round_even(cb, 4) as carting_base_cost,
+  round_even(m3, 6)::double as ftl_multiplier, case when is_peak then 1.35 else 1.0 end::double as carting_multiplier from scored""")
+def q_score_parts(spark, sf):
+    return scored(spark, sf).select("row_ord", "ftl_base_cost", "carting_base_cost", "ftl_multiplier", "carting_multiplier")
+
+
+@query("recommend_inferred_label", REC_SQL + """
+select row_ord, recommendation, confidence_score, case when hour_of_day < 6 then 'Night_0_6' when hour_of_day < 10 then 'Morning_6_10'
+  when hour_of_day < 16 then 'Afternoon_10_16' when hour_of_day < 20 then 'Evening_16_20' else 'Night_20_24' end
+  as resolved_time_of_day from scored""")
+def q_recommend_inferred(spark, sf):
+    """The label is inferred from the hour where the records bring none."""
+    valid, _ = D.quarantine(records(spark, sf).drop("time_of_day_label"))
+    return D.recommend_route_type(valid).select("row_ord", "recommendation", "confidence_score", "resolved_time_of_day")
+
+
 @query("recommend_route_type", REC_SQL + """
 select row_ord, recommendation, confidence_score, time_of_day_label as resolved_time_of_day from scored""")
 def q_recommend_route_type(spark, sf):
