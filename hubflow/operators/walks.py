@@ -1,4 +1,4 @@
-"""Second-order biased random walks and walk embeddings.
+"""Second-order biased random walks, and the health of embeddings.
 
 Every step draws a hub by corridor weight × {1/p back to the previous hub, 1 if
 previous → next exists, 1/q otherwise} (the published node2vec rule).
@@ -22,8 +22,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import Word2Vec
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -170,17 +168,6 @@ def _walk_rounds(edges: DataFrame, vertices: DataFrame, num_walks: int, walk_len
     return state.select("walk_id", "start", "walk")
 
 
-def walk_embeddings(walks: DataFrame, dim: int = 64, window: int = 10, min_count: int = 1, epochs: int = 5,
-                    seed: int = 42, partitions: int | None = None) -> DataFrame:
-    """Skip-gram embeddings of hubs from walk sequences (Spark ML Word2Vec)."""
-    n = partitions or max(1, int(walks.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 2)
-    w2v = Word2Vec(vectorSize=dim, windowSize=window, minCount=min_count, maxIter=epochs, seed=seed,
-                   inputCol="walk", outputCol="__vec", numPartitions=n, stepSize=0.025)
-    model = w2v.fit(walks.select("walk"))
-    return model.getVectors().select(F.col("word").alias("hub_id"),
-                                     vector_to_array("vector").alias("embedding"))
-
-
 def embedding_health(emb: DataFrame, col: str = "embedding", dead: float = 1e-6) -> DataFrame:
     """Variance per dimension (population), with a dead-dimension flag."""
     return (emb.select(F.posexplode(col).alias("dim", "__x"))

@@ -13,6 +13,7 @@ from hubflow.operators import metrics as M
 from hubflow.operators import models as ML
 from hubflow.operators import neighbourhood as NB
 from hubflow.operators import splits as SP
+from hubflow.operators import skipgram as SG
 from hubflow.operators import walks as W
 from hubflow.plans import sqltext as S
 from hubflow.plans.common import features, memo, training
@@ -99,8 +100,21 @@ def q_walks(spark, sf):
 
 
 def walk_vectors(spark, sf):
-    return memo(spark, sf, "walk_embeddings", lambda: W.walk_embeddings(walks(spark, sf), dim=64, window=10,
-                                                                       min_count=1, epochs=5, seed=42))
+    return memo(spark, sf, "walk_embeddings", lambda: SG.skipgram(walks(spark, sf), dim=64, window=10, min_count=1, epochs=5, negative=5, seed=42))
+
+
+@query("walk_pairs", f"""with ws as ({WALKS_SQL}),
+tok as (select walk_id, unnest(string_split(walk, ' ')) as hub, generate_subscripts(string_split(walk, ' '), 1) as pos from ws)
+select a.hub as center, b.hub as context, cast(sum(11 - abs(a.pos - b.pos)) as bigint) as weight
+from tok a join tok b on a.walk_id = b.walk_id and a.pos <> b.pos and abs(a.pos - b.pos) <= 10 group by all""")
+def q_walk_pairs(spark, sf):
+    return SG.window_pairs(walks(spark, sf), 10)
+
+
+@query("walk_tokens", f"""with ws as ({WALKS_SQL}) select hub_id, count(*) as n
+from (select unnest(string_split(walk, ' ')) as hub_id from ws) group by 1""")
+def q_walk_tokens(spark, sf):
+    return SG.token_counts(walks(spark, sf))
 
 
 @query("word2vec_hubs")
@@ -153,6 +167,36 @@ def q_embedding_join(spark, sf):
                     F.size("src_emb").cast("bigint").alias("src_dim"))
 
 
+_LATE = """slow as (select source_center as hub from feat group by 1 having avg(factor) > (select avg(factor) from feat)),
+lv as (select hv.* from hv join slow on hub_id = hub)"""
+
+
+def late_joined(spark, sf):
+    """Only hubs whose mean factor is above that of all trips have a vector yet."""
+    f = features(spark, sf)
+    mean = f.agg(F.avg("factor").alias("all"))
+    slow = f.groupBy(F.col("source_center").alias("hub_id")).agg(F.avg("factor").alias("own")).join(F.broadcast(mean), F.col("own") > F.col("all"))  # one row
+    return NB.embedding_join(f, hub_vectors(spark, sf).join(slow.select("hub_id"), "hub_id", "left_semi"), dim=64)
+
+
+@query("embedding_join_late", f"""with {S.FEAT}, {_HV}, {_LATE}
+select f.row_ord, s.hub_id is not null as src_known, d.hub_id is not null as dst_known,
+  round(coalesce(list_sum(s.emb), 0.0), 6) as src_emb_sum, round(coalesce(list_sum(d.emb), 0.0), 6) as dst_emb_sum
+from feat f left join lv s on s.hub_id = f.source_center left join lv d on d.hub_id = f.destination_center""")
+def q_embedding_join_late(spark, sf):
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    return late_joined(spark, sf).select("row_ord", "src_known", "dst_known", F.round(total(F.col("src_emb")), 6).alias("src_emb_sum"),
+                                         F.round(total(F.col("dst_emb")), 6).alias("dst_emb_sum"))
+
+
+@query("embedding_coverage_late", f"""with {S.FEAT}, {_HV}, {_LATE},
+k as (select case when s.hub_id is not null then 1.0 else 0.0 end as a, case when d.hub_id is not null then 1.0 else 0.0 end as b
+  from feat f left join lv s on s.hub_id = f.source_center left join lv d on d.hub_id = f.destination_center)
+select count(*) as rows, avg(a) * 100 as src_coverage_pct, avg(b) * 100 as dst_coverage_pct, avg(a) * 100 < 90 or avg(b) * 100 < 90 as warning from k""")
+def q_embedding_coverage_late(spark, sf):
+    return NB.embedding_coverage(late_joined(spark, sf))
+
+
 @query("embedding_coverage", f"""with {S.FEAT}, {_HV}
 select count(*) as rows, avg(case when s.hub_id is not null then 1.0 else 0.0 end) * 100 as src_coverage_pct,
   avg(case when d.hub_id is not null then 1.0 else 0.0 end) * 100 as dst_coverage_pct,

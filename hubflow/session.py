@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,6 +78,22 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return out
 
 
+def write_table(df: DataFrame, label: str, partition_by: str | None = None) -> tuple[DataFrame, str]:
+    """``df`` written to the shared checkpoint folder and read back, and the folder it is in (for ``drop_table``)."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    writer = df.write.partitionBy(partition_by) if partition_by else df.write
+    writer.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def drop_table(spark: SparkSession, *paths: str) -> None:
+    """Delete folders made by ``write_table`` that nothing reads any more."""
+    for path in paths:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def materialize_round(df: DataFrame, round_no: int, flag: str | None = None, every: int = 4,
                       previous: DataFrame | None = None) -> tuple[DataFrame, int]:
     """Materialise the state of one loop round with a single job.
