@@ -71,16 +71,33 @@ def edge_features(trips: DataFrame) -> DataFrame:
     })
 
 
+#: Trips of one corridor that meet its vectors in one task; a busier corridor is dealt to several.
+HOT_PAIR_ROWS = 5_000_000
+
+
 def embedding_join(trips: DataFrame, vectors: DataFrame, dim: int, key: str = "hub_id",
-                   vec: str = "embedding") -> DataFrame:
-    """Source and destination vectors per trip; unknown hubs get the zero vector."""
+                   vec: str = "embedding", hot_pair_rows: int = HOT_PAIR_ROWS) -> DataFrame:
+    """Source and destination vectors per trip; unknown and missing hubs get the zero vector.
+
+    Vectors meet the corridors first (one row per different hub pair, repeated once per
+    ``hot_pair_rows`` trips), and trips join that table once, so no row that is shuffled trip by
+    trip has an array.  The list of busy corridors is broadcast: at most trips / ``hot_pair_rows`` rows.
+    """
+    src, dst = "source_center", "destination_center"
+    side = lambda end, out: vectors.select(F.col(key).alias(f"__{end}"), F.col(vec).alias(out))
+    pairs = (trips.groupBy(F.col(src).alias("__src"), F.col(dst).alias("__dst")).agg(F.count(F.lit(1)).alias("__c"))
+             .withColumn("__parts", (F.floor(F.col("__c") / hot_pair_rows) + 1).cast("int")))
+    busy = F.broadcast(pairs.where("__parts > 1").select(F.col("__src").alias("__bs"), F.col("__dst").alias("__bd"), F.col("__parts").alias("__bp")))
+    table = (pairs.join(side("src", "__s"), "__src", "left").join(side("dst", "__d"), "__dst", "left")
+             .select("__src", "__dst", "__s", "__d", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)).alias("__salt")))
+    # equal rows of a busy corridor share a part; the part follows from the row, so a task run again gives the same
+    part = F.coalesce(F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in trips.columns]), F.col("__bp")).cast("int"), F.lit(0))
+    dealt = trips.join(busy, F.col(src).eqNullSafe(F.col("__bs")) & F.col(dst).eqNullSafe(F.col("__bd")), "left").withColumn("__part", part)
     zero = F.array_repeat(F.lit(0.0), dim)
-    s = vectors.select(F.col(key).alias("source_center"), F.col(vec).alias("__s"))
-    d = vectors.select(F.col(key).alias("destination_center"), F.col(vec).alias("__d"))
-    return (trips.join(s, "source_center", "left").join(d, "destination_center", "left")
-            .withColumn("src_known", F.col("__s").isNotNull()).withColumn("dst_known", F.col("__d").isNotNull())
-            .withColumn("src_emb", F.coalesce(F.col("__s"), zero)).withColumn("dst_emb", F.coalesce(F.col("__d"), zero))
-            .drop("__s", "__d"))
+    return (dealt.join(table, F.col(src).eqNullSafe(F.col("__src")) & F.col(dst).eqNullSafe(F.col("__dst")) & (F.col("__part") == F.col("__salt")))
+            .withColumns({"src_known": F.col("__s").isNotNull(), "dst_known": F.col("__d").isNotNull(),
+                          "src_emb": F.coalesce("__s", zero), "dst_emb": F.coalesce("__d", zero)})
+            .select(*trips.columns, "src_known", "dst_known", "src_emb", "dst_emb"))
 
 
 def embedding_coverage(joined: DataFrame, warn_below_pct: float = 90.0) -> DataFrame:

@@ -131,3 +131,20 @@ def test_sample_has_the_exact_size(spark):
     a = sorted(r[0] for r in P.sample_rows(df, 150).collect())
     assert len(set(a)) == 150 and a == sorted(r[0] for r in P.sample_rows(df.repartition(7), 150).collect())
     assert P.sample_rows(df, 5000).count() == 1000
+
+
+def test_embedding_join_hot_pairs_null_and_unknown_hubs(spark):
+    """A corridor over the limit is dealt to several parts; no trip is lost or doubled, and each gets its own vectors."""
+    from hubflow.operators import neighbourhood as NB
+    rows = [(i, "a", "b") for i in range(50)] + [(50, "a", None), (51, None, "b"), (52, None, None), (53, "x", "b"), (53, "x", "b")]
+    trips = spark.createDataFrame(rows, "row_ord long, source_center string, destination_center string")
+    vectors = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [3.0, 4.0])], "hub_id string, embedding array<double>")
+    known = {"a": [1.0, 2.0], "b": [3.0, 4.0]}
+    want = sorted((i, s in known, d in known, known.get(s, [0.0, 0.0]), known.get(d, [0.0, 0.0])) for i, s, d in rows)
+    for limit in (7, 5_000_000):
+        got = NB.embedding_join(trips, vectors, 2, hot_pair_rows=limit)
+        assert sorted((r["row_ord"], r["src_known"], r["dst_known"], r["src_emb"], r["dst_emb"]) for r in got.collect()) == want
+        assert got.columns == trips.columns + ["src_known", "dst_known", "src_emb", "dst_emb"]
+    low = NB.embedding_coverage(NB.embedding_join(trips, vectors, 2)).first()
+    assert low["rows"] == 55 and not low["warning"]
+    assert NB.embedding_join(trips.limit(0), vectors, 2).collect() == []
