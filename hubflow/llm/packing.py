@@ -82,63 +82,87 @@ def pieces(docs: DataFrame, vocabulary: str, limit: int = LIMIT) -> DataFrame:
 
 def plan(counts: dict[int, int], limit: int = LIMIT) -> list[tuple[tuple[int, ...], int]]:
     """[(lengths of one sequence, longest first; how many such sequences)] that uses every piece exactly once."""
-    have = np.zeros(limit + 1, np.int64)
-    for length, n in counts.items():
-        have[length] = n
+    index = SumIndex(counts, limit)
+    have = index.have
     out: list[tuple[tuple[int, ...], int]] = []
-
-    def take(shape: tuple[int, ...]) -> int:
-        most = min(int(have[x]) // shape.count(x) for x in set(shape))
-        for x in shape:
-            have[x] -= most
-        if most:
-            out.append((shape, most))
-        return most
-
     left = np.zeros(limit + 1, np.int64)
     for length in range(limit, 0, -1):
         while have[length]:
-            shape = complement(have, length, limit)
+            shape = index.complement(length)
             if shape is None:
                 left[length] += have[length]
                 have[length] = 0
             else:
-                take(shape)
+                most = min(have[x] // shape.count(x) for x in set(shape))
+                for x in shape:
+                    have[x] -= most
+                out.append((shape, most))
     return out + best_fit(left, limit)
 
 
-def complement(have: np.ndarray, length: int, limit: int) -> tuple[int, ...] | None:
-    """``length`` and the lengths of one to three pieces in stock that fill the sequence exactly, the longest first; None if there are none."""
-    gap = limit - length
-    if not gap:
-        return (length,)
-    spare = have.copy()
-    spare[length] -= 1
-    if spare[length] < 0:
+class SumIndex:
+    """Hash indexes of the sums of one, two and three lengths in stock, under their counts ``have``.
+
+    ``have`` is the index of single lengths. ``pairs[sum]`` lists the longer lengths of the
+    pairs with that sum, ``triples(sum)`` the longest lengths of the triples, both ascending. Counts only
+    fall, so an entry whose lengths have run out is dropped from the end of its list for good.
+    """
+
+    def __init__(self, counts: dict[int, int], limit: int):
+        self.limit = limit
+        self.have = [0] * (limit + 1)
+        for length, n in counts.items():
+            self.have[length] = int(n)
+        stock = [x for x in range(1, limit) if self.have[x]]
+        self.pairs: dict[int, list[int]] = {}
+        for a in stock:
+            for b in stock:
+                if b > a or a + b >= limit:
+                    break
+                self.pairs.setdefault(a + b, []).append(a)
+        self._stock, self._triples = stock, {}
+
+    def _pair(self, total: int, used: tuple[int, ...]) -> tuple[int, int] | None:
+        """The pair of that sum with the longest first length, beside the lengths already ``used``."""
+        have, longer = self.have, self.pairs.get(total, [])
+        while longer and not (have[longer[-1]] and have[total - longer[-1]]):
+            longer.pop()
+        for a in reversed(longer):
+            b = total - a
+            if have[a] - used.count(a) - (a == b) > 0 and have[b] - used.count(b) > 0:
+                return a, b
         return None
-    top = min(gap, length)
-    if gap <= length and spare[gap] > 0:
-        return (length, gap)
 
-    def pair(total: int, most: int) -> tuple[int, int] | None:
-        a = np.arange(min(most, total - 1), (total + 1) // 2 - 1, -1)
-        if not a.size:
+    def triples(self, total: int) -> list[int]:
+        """The longest lengths of the triples of that sum: indexed when a gap of that size is first met."""
+        if total not in self._triples:
+            self._triples[total] = [a for a in self._stock if a < total <= 3 * a and self.pairs.get(total - a)]
+        return self._triples[total]
+
+    def complement(self, length: int) -> tuple[int, ...] | None:
+        """``length`` and one to three lengths in stock that fill the sequence exactly, the longest first; None if there are none.
+
+        ``length`` is the longest in stock.
+        """
+        have, gap = self.have, self.limit - length
+        if not gap:
+            return (length,)
+        if not have[length]:
             return None
-        fits = (spare[a] > 0) & (spare[total - a] > 0) & ((a != total - a) | (spare[a] > 1))
-        hit = int(fits.argmax())
-        return (int(a[hit]), int(total - a[hit])) if fits[hit] else None
-
-    two = pair(gap, top)
-    if two:
-        return (length, *two)
-    for a in np.flatnonzero(spare[:top + 1])[::-1].tolist():
-        if a < gap and 3 * a >= gap:
-            spare[a] -= 1
-            two = pair(gap - a, min(a, gap - a - 1))
-            spare[a] += 1
-            if two:
-                return (length, a, *two)
-    return None
+        if have[gap] - (gap == length) > 0:
+            return (length, gap)
+        two = self._pair(gap, (length,))
+        if two:
+            return (length, *two)
+        longest = self.triples(gap)
+        while longest and not have[longest[-1]]:
+            longest.pop()
+        for a in reversed(longest):
+            if have[a] - (a == length) > 0:
+                two = self._pair(gap - a, (length, a))
+                if two and two[0] <= a:
+                    return (length, a, *two)
+        return None
 
 
 def best_fit(left: np.ndarray, limit: int) -> list[tuple[tuple[int, ...], int]]:

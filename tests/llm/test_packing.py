@@ -3,6 +3,7 @@
 import random
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations_with_replacement
 
 import numpy as np
 import pytest
@@ -30,17 +31,44 @@ def test_plan_uses_every_piece_once(n):
 
 
 def test_complements():
-    have = np.zeros(2049, np.int64)
-    have[[1500, 548]] = 1
-    assert P.complement(have, 1500, 2048) == (1500, 548)
-    have[548] = 0
-    have[[500, 48]] = 1
-    assert P.complement(have, 1500, 2048) == (1500, 500, 48)
-    have[48] = 0
-    have[[40, 8]] = 1
-    assert P.complement(have, 1500, 2048) == (1500, 500, 40, 8)
-    have[8] = 0
-    assert P.complement(have, 1500, 2048) is None
+    stock = lambda *lengths: P.SumIndex(Counter(lengths), 2048).complement(1500)
+    assert stock(1500, 548, 500, 48) == (1500, 548)
+    assert stock(1500, 500, 48, 40, 8) == (1500, 500, 48)
+    assert stock(1500, 500, 40, 8) == (1500, 500, 40, 8)
+    assert stock(1500, 500, 40) is None and stock(1500, 274) is None and stock(1500, 274, 274) == (1500, 274, 274)
+    assert P.SumIndex({2048: 1}, 2048).complement(2048) == (2048,)
+
+
+def _exhaustive(have, limit):
+    """The complement of the longest length by trying everything: fewest lengths, then the longest ones first."""
+    length = max(x for x, n in have.items() if n)
+    rest = have - Counter([length])
+    gap = limit - length
+    lengths = sorted((x for x, n in rest.items() if n), reverse=True)
+    if not gap:
+        return (length,)
+    for k in (1, 2, 3):
+        for shape in combinations_with_replacement(lengths, k):
+            if sum(shape) == gap and all(rest[x] >= n for x, n in Counter(shape).items()):
+                return (length, *shape)
+    return None
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_indexes_agree_with_trying_everything(seed):
+    """Down to the last piece, while counts fall and entries of the indexes run out."""
+    rng = random.Random(seed)
+    limit = rng.choice([16, 40, 64])
+    have = Counter(rng.randint(1, limit) for _ in range(rng.randint(1, 60)))
+    index = P.SumIndex(have, limit)
+    while +have:
+        want = _exhaustive(have, limit)
+        length = max(+have)
+        assert index.complement(length) == want
+        taken = Counter(want) if want else Counter({length: have[length]})
+        have -= taken
+        for x, n in taken.items():
+            index.have[x] -= n
 
 
 def test_large_counts_stay_a_small_plan():
