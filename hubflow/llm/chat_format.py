@@ -45,44 +45,59 @@ def read_back(formatted: str) -> list[tuple[str, str, int, int]]:
     return out
 
 
+#: The columns that tell a turn of ``events_of_turns`` from others.
+TURN = ("conv_id", "turn", "digest", "copy")
+
+
 def events_of_turns(turns: DataFrame) -> DataFrame:
-    """(conv_id, message, seq, kind, role, text) of finished turns (conv_id, turn, role, text): a start and a delta each.
+    """The log (conv_id, turn, digest, copy, seq, kind, role, text) of finished turns (conv_id, turn, role, text).
 
-    Repeated rows and equal turns stay apart: messages are numbered by turn, role, text.
-    A null turn comes first, a null role is empty.
+    A hash of the turn picks how it was written: streamed in two deltas, a draft that an
+    edit replaces, a half that is regenerated, or an edited half that a delta continues. Each folds back to
+    the turn's text. Repeated rows and equal turns stay apart by ``copy``. A null turn comes
+    first, a null role is empty.
     """
     keyed = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    # equal rows are told apart by a number among themselves
-    keyed = keyed.groupBy("conv_id", "turn", "role", "text").agg(F.count("*").alias("n")).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
-    message = F.struct("turn", "role", "text", "copy").alias("message")
-    each = keyed.select("conv_id", message, "role", "text")
-    kinds = F.array(F.struct(F.lit(0).cast("long").alias("seq"), F.lit("start").alias("kind"), F.lit("").alias("add")),
-                    F.struct(F.lit(1).cast("long").alias("seq"), F.lit("delta").alias("kind"), F.col("text").alias("add")))
-    return each.select("conv_id", "message", "role", F.explode(kinds).alias("e")).select("conv_id", "message", "e.seq", "e.kind", "role", F.col("e.add").alias("text"))
+    keyed = keyed.withColumn("digest", F.sha2(F.concat(F.length("role").cast("string"), F.lit(":"), F.col("role"), F.col("text")).cast("binary"), 256))
+    # texts are shuffled here, by conversation, turn and digest, and keep that place until the turns are rendered
+    each = (keyed.groupBy("conv_id", "turn", "digest").agg(F.count("*").alias("n"), F.first("role").alias("role"), F.first("text").alias("text"))
+            .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))))
+    half = F.expr("length(text) div 2")
+    head, tail = F.substring("text", F.lit(1), half), F.expr("substring(text, length(text) div 2 + 1)")
+
+    def log(*events):
+        return F.array(*[F.struct(F.lit(seq).cast("long").alias("seq"), F.lit(kind).alias("kind"), add.alias("add"))
+                         for seq, (kind, add) in enumerate((("start", F.lit("")), *events))])
+
+    way = F.pmod(F.xxhash64("conv_id", "turn", "digest", "copy"), F.lit(4))
+    written = (F.when(way == 0, log(("delta", head), ("delta", tail)))
+               .when(way == 1, log(("delta", tail), ("edit", F.col("text"))))
+               .when(way == 2, log(("delta", head), ("regenerate", F.lit("")), ("delta", head), ("delta", tail)))
+               .otherwise(log(("delta", tail), ("edit", head), ("delta", tail))))
+    return each.select(*TURN, "role", F.explode(written).alias("e")).select(*TURN, "e.seq", "e.kind", "role", F.col("e.add").alias("text"))
 
 
-def fold(events: DataFrame) -> DataFrame:
-    """(conv_id, message, role, text): the final message of each (conv_id, message) of the log.
+def fold(events: DataFrame, key: tuple[str, ...] = ("conv_id", "message")) -> DataFrame:
+    """(*key, role, text): the final message of each ``key`` of the log.
 
     Events count by ascending seq (ties: by kind, then text; a null seq first). The last
     edit or regenerate discards what was before it; deltas after it are appended. The
     role is the first event's that has one; null texts add nothing.
     """
-    by = Window.partitionBy("conv_id", "message")
+    by = Window.partitionBy(*key)
     reset = F.max(F.when(F.col("kind").isin("edit", "regenerate"), F.coalesce("seq", F.lit(-(2 ** 62))))).over(by)
     live = events.withColumn("reset", reset).where(F.col("reset").isNull() | (F.coalesce("seq", F.lit(-(2 ** 62))) >= F.col("reset")) | (F.col("kind") == "start"))
     text = F.when(F.col("kind").isin("delta", "edit"), F.coalesce("text", F.lit(""))).otherwise("")
-    return (live.groupBy("conv_id", "message")
+    return (live.groupBy(*key)
             .agg(F.array_sort(F.collect_list(F.struct("seq", "kind", text.alias("add")))).alias("parts"), F.min_by("role", F.struct(F.col("role").isNull(), "seq")).alias("role"))
-            .select("conv_id", "message", F.coalesce("role", F.lit("")).alias("role"), F.concat_ws("", F.transform("parts", lambda p: p["add"])).alias("text")))
+            .select(*key, F.coalesce("role", F.lit("")).alias("role"), F.concat_ws("", F.transform("parts", lambda p: p["add"])).alias("text")))
 
 
-def render(messages: DataFrame) -> DataFrame:
-    """(conv_id, formatted): the messages of a conversation in order, one string."""
-    turn = F.concat(F.lit(OPEN), escape(F.col("role"), True), F.lit(AFTER_ROLE), escape(F.col("text")), F.lit(CLOSE))
-    parts = messages.select("conv_id", "message", turn.alias("part"))
-    return (parts.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("message", "part"))).alias("parts"))
-            .select("conv_id", F.concat_ws("", F.transform("parts", lambda p: p["part"])).alias("formatted")))
+def render(messages: DataFrame, order: str = "message") -> DataFrame:
+    """(conv_id, formatted): the messages of a conversation by ``order`` (ties: by role, then text), one string."""
+    said = F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), "role", "text")))
+    part = lambda m: F.concat(F.lit(OPEN), escape(m["role"], True), F.lit(AFTER_ROLE), escape(m["text"]), F.lit(CLOSE))
+    return messages.groupBy("conv_id").agg(said.alias("said")).select("conv_id", F.concat_ws("", F.transform("said", part)).alias("formatted"))
 
 
 def loss_spans(formatted: DataFrame) -> DataFrame:
@@ -96,7 +111,7 @@ def loss_spans(formatted: DataFrame) -> DataFrame:
 
 def format_conversations(turns: DataFrame) -> DataFrame:
     """(conv_id, formatted, spans) of finished turns, by way of their events. An empty table gives an empty result."""
-    return loss_spans(render(fold(events_of_turns(turns))))
+    return loss_spans(render(fold(events_of_turns(turns), TURN), "turn"))
 
 
 def chat_report(turns: DataFrame) -> DataFrame:
