@@ -63,11 +63,12 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, threshold_pct: int = 80) ->
 
     links = _crowd_links(docs, classes, n, threshold_pct)
     tied = min_labels(links)
-    pairs = _candidates(docs, classes, tied, n, threshold_pct)
+    pairs, hot = _candidates(docs, classes, tied, n, threshold_pct)
     more = _verified(docs, classes, pairs, n, threshold_pct)
     unstage(pairs)
-    labels = min_labels(links.union(more)) if more.limit(1).count() else tied
-    unstage(links, more)
+    added = more if hot is None else more.union(hot.select("a", "b"))
+    labels = min_labels(links.union(added)) if added.limit(1).count() else tied
+    unstage(links, more, *([] if hot is None else [hot]))
 
     comp = (classes.join(labels, F.col("k") == F.col("v"), "left").select("k", "doc_id", "size", F.coalesce("c", "k").alias("c")))
     first = comp.groupBy("c").agg(F.min("doc_id").alias("component_id"))
@@ -149,8 +150,8 @@ def _crowd_links(docs: DataFrame, classes: DataFrame, n: int, pct: int) -> DataF
     return links
 
 
-def _candidates(docs: DataFrame, classes: DataFrame, tied: DataFrame, n: int, pct: int) -> DataFrame:
-    """Pairs of classes in different groups that share enough prefix shingles (written table a, b)."""
+def _candidates(docs: DataFrame, classes: DataFrame, tied: DataFrame, n: int, pct: int) -> tuple[DataFrame, DataFrame | None]:
+    """Pairs of classes in different groups that share enough prefix shingles (written table a, b), and links found on the way (``_hot_links``)."""
     group = classes.select("k", "n", "head").join(tied, F.col("k") == F.col("v"), "left").select("k", "n", "head", F.coalesce("c", "k").alias("c"))
     # document frequency: different groups with the shingle; only those in two or more matter
     seen = group.select(F.xxhash64("c").alias("g"), F.explode("head").alias("s"))
@@ -196,16 +197,18 @@ def _candidates(docs: DataFrame, classes: DataFrame, tied: DataFrame, n: int, pc
         unstage(chosen, freq)
         pairs = stage(_matches(rows, pct), "pairs")
         unstage(rows)
-        return pairs
+        return pairs, None
     useful = freq.select("s").union(own.select("s")).distinct()
     long = stage(_whole_prefixes(whole, freq, pct), "long")
     index = index.union(long.select("k", "n", "c", "l", "r", F.explode("toks").alias("s"))).join(useful, "s", "left_semi").select("k", "n", "c", "l", "r", "s")
     index = stage(index, "index")
     saturated = stage(long.where(F.col("l") == WHOLE).select("k", "n", "c", F.size("toks").alias("u"), "hot", F.explode("hot").alias("s")), "saturated")
-    unstage(chosen, freq, own, whole, long)
-    pairs = stage(_matches(index, pct).union(_hot_matches(saturated, pct)).distinct(), "pairs")
-    unstage(index, saturated)
-    return pairs
+    unstage(chosen, freq, own, long)
+    hot, groups = _hot_links(saturated, whole, pct)
+    now = saturated if groups is None else saturated.join(groups, F.col("c") == F.col("v"), "left").select("k", "n", F.coalesce("now", "c").alias("c"), "u", "hot", "s")
+    pairs = stage(_matches(index, pct).union(_hot_matches(now, pct)).distinct(), "pairs")
+    unstage(index, saturated, whole)
+    return pairs, hot
 
 
 def _chosen(group: DataFrame, classes: DataFrame, freq: DataFrame, pct: int, only: DataFrame | None = None) -> DataFrame:
@@ -272,13 +275,60 @@ def _whole_prefixes(whole: DataFrame, freq: DataFrame, pct: int) -> DataFrame:
             l, r, end = (l, r, size - _least(size, pct) + l) if l else (WHOLE, 1, size)
             rare = np.flatnonzero(df[:end] < HOT)
             # the 1-prefix of the order in which hot shingles come last
-            hot = np.flatnonzero(df >= HOT)[:max(0, size - _least(size, pct) + 1 - rare.size)] if l == WHOLE else ()
+            hot = np.flatnonzero(df >= HOT) if l == WHOLE else np.array([], np.int64)
+            # the least frequent of them first: those of its own family and not of a passage that many families have
+            hot = hot[np.lexsort((np.array(s, np.int64)[hot], df[hot]))][:max(0, size - _least(size, pct) + 1 - rare.size)]
             yield k, size, c, l, r, [s[i] for i in rare], [s[i] for i in hot]
 
     freqs = whole.select("k", F.posexplode("s").alias("pos", "s")).join(freq, "s").groupBy("k").agg(F.collect_list(F.struct("pos", "df")).alias("freq"))
     return map_rows(whole.join(freqs, "k", "left").select("k", "c", "s", "freq"), rows, "k binary, n long, c binary, l int, r int, toks array<long>, hot array<long>")
 
 
+def _hot_links(index: DataFrame, whole: DataFrame, pct: int) -> tuple[DataFrame | None, DataFrame | None]:
+    """Links (written table a, b, ca, cb) between the documents of a hot shingle and a few of them, and (v, now): the groups they tie together.
+
+    Documents that are hot nearly throughout and have the same hot shingles are in one family and link;
+    comparing all with those that have the least of their own ties them, so that ``_hot_matches`` lists no pair of them.
+    """
+    links, groups = None, None
+    sets = whole.select("k", "s")
+    for r in range(ROUNDS):
+        members = index.select("k", "n", "c", "u", "s")
+        if groups is not None:
+            members = members.join(groups, F.col("c") == F.col("v"), "left").select("k", "n", F.coalesce("now", "c").alias("c"), "u", "s")
+        middle = F.lit(0) if r else F.col("u")
+        chosen = members.groupBy("s").agg(*[F.min(F.struct(middle.alias("o"), F.xxhash64("k", F.lit(PIVOTS * r + i)).alias("x"), "k", "c", "n", "u")).alias(f"p{i}") for i in range(PIVOTS)])
+        pivots = chosen.select("s", F.explode(F.array_distinct(F.array(*[F.struct(*[F.col(f"p{i}.{x}").alias(f"{x}2") for x in ("k", "c", "n", "u")]) for i in range(PIVOTS)]))).alias("x")).select("s", "x.*")
+        pairs = (members.join(pivots, "s").where("c <> c2").where(f"{100 + pct} * least(n - u, n2 - u2) >= {pct} * (n + n2)")
+                 .groupBy(F.col("k").alias("a"), F.col("k2").alias("b")).agg(F.first("c").alias("ca"), F.first("c2").alias("cb")))
+        both = pairs.join(sets.select(F.col("k").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("k").alias("b"), F.col("s").alias("sb")), "b")
+        found = stage(map_rows(both, _linked(pct, "ca", "cb"), "a binary, b binary, ca binary, cb binary"), "hotlinks")
+        some = found.limit(1).count()
+        if links is None:
+            links = found
+        else:
+            more = stage(links.union(found), "hotlinks")
+            unstage(links, found)
+            links = more
+        if not some:
+            break
+        # groups of the first round's names: later rounds tie names of earlier ones
+        tied = min_labels(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+        groups = tied.select("v", F.col("c").alias("now"))
+    return links, groups
+
+
+def _linked(pct: int, *extra: str):
+    """Rows (a, b, sa, sb) whose sets reach the threshold, as a, b and the ``extra`` columns."""
+    def rows(cols):
+        for a, b, sa, sb, *more in zip(*(cols[x] for x in ("a", "b", "sa", "sb", *extra))):
+            shared = np.intersect1d(np.array(sa, np.int64), np.array(sb, np.int64), assume_unique=True).size
+            if (100 + pct) * shared >= pct * (len(sa) + len(sb)):
+                yield a, b, *more
+
+    return rows
+
+
 def _hot_matches(index: DataFrame, pct: int) -> DataFrame:
     """Pairs of documents that are hot nearly throughout (u shingles aren't) and share one of the first hot ones.
 
@@ -333,13 +383,7 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, pct
     keys = near.select(F.col("a").alias("k")).union(near.select("b")).distinct()
     sets = stage(_sets(docs, classes, keys, n), "sets")
 
-    def linked(cols):
-        for a, b, sa, sb in zip(*(cols[x] for x in ("a", "b", "sa", "sb"))):
-            shared = np.intersect1d(np.array(sa, np.int64), np.array(sb, np.int64), assume_unique=True).size
-            if (100 + pct) * shared >= pct * (len(sa) + len(sb)):
-                yield a, b
-
     full = near.join(sets.select(F.col("k").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("k").alias("b"), F.col("s").alias("sb")), "b")
-    out = stage(map_rows(full, linked, "a binary, b binary"), "links")
+    out = stage(map_rows(full, _linked(pct), "a binary, b binary"), "links")
     unstage(sets, near)
     return out
