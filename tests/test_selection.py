@@ -80,3 +80,16 @@ def test_exec_summary_of_empty_tables(spark):
     got = exec_summary(none("a int"), none("a int"), none("facility_id string, betweenness_centrality double"),
                        none("source_id string, destination_id string, breach_severity_score double"), none("facility_id string, rank int")).first()
     assert got["corridors"] == 0 and got["chronic_pct"] is None
+
+
+@pytest.mark.parametrize("keys", [[], ["g"]])
+@pytest.mark.parametrize("margin", [1 / 3000, 0.0])
+def test_group_quantiles_equal_percentile(spark, monkeypatch, keys, margin):
+    """All columns in one call, also where the brackets miss their ranks (margin 0): ties, NULL keys, empty groups, outliers."""
+    monkeypatch.setattr(SEL, "MARGIN", margin)
+    rng = random.Random(3)
+    rows = [(rng.choice(["x", "y", None]), rng.choice([1.0, 1.0, 7.5, rng.random()]), 10.0 ** rng.randrange(-200, 200), rng.randrange(5)) for _ in range(900)]
+    df = spark.createDataFrame([*rows, ("empty", None, None, None), ("one", 3.0, None, 1)], "g string, v double, w double, i int").repartition(5)
+    specs = [(f"{c}{int(q * 100)}", c, q) for c in ("v", "w", "i") for q in (0.0, 0.25, 0.5, 0.98, 1.0)]
+    want = df.groupBy(*keys).agg(*[F.percentile(c, q).alias(n) for n, c, q in specs])
+    assert sorted(map(tuple, SEL.group_quantiles(df, keys, specs).collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
