@@ -11,6 +11,7 @@ from hubflow.operators import graph as G
 from hubflow.operators.corridors import corridor_edges
 from hubflow.operators.hubs import hub_labels
 from hubflow.operators.selection import exact_quantile
+from hubflow.session import write_table
 from hubflow.schema import ROUTING_COLUMNS, SLA_THRESHOLD, WINSOR_Q
 from hubflow.sources.trips import coerce_numeric
 
@@ -27,7 +28,8 @@ def winsorise(df: DataFrame, col: str, q: float = WINSOR_Q, by: str | None = Non
         j = df.withColumn("__cap", F.lit(exact_quantile(df, col, q)).cast("double"))
     else:
         from hubflow.operators.corridors import skew_safe_quantiles
-        cap = skew_safe_quantiles(df, [by], [("__cap", col, q)]).withColumnRenamed(by, "__by")
+        # one row per group, written: its size is known before the trips are joined, which stay where they are if it is small
+        cap, _ = write_table(skew_safe_quantiles(df, [by], [("__cap", col, q)]).withColumnRenamed(by, "__by"), "caps")
         j = df.join(cap, F.col(by).eqNullSafe(F.col("__by")), "left").drop("__by")
     return j.withColumn("__capped", F.col(col) > F.col("__cap")).withColumn(
         out, F.when(F.col(col).isNotNull(), F.least(F.col(col), F.col("__cap")))).drop("__cap")
@@ -43,17 +45,22 @@ def audit_clean(trips: DataFrame, order_col: str = "row_ord") -> DataFrame:
     t = drop_critical_nulls(trips, ROUTING_COLUMNS)
     t = coerce_numeric(t, ["segment_actual_time", "segment_osrm_time", "segment_osrm_distance"])
     t = positive_times(t.na.drop(subset=["segment_actual_time", "segment_osrm_time"]))
-    t = dedup_first(t, ["trip_uuid", "source_center", "destination_center"], order_col)
+    t, _ = write_table(dedup_first(t, ["trip_uuid", "source_center", "destination_center"], order_col), "segments")  # read for the cap and by the caller
     t = t.withColumn("computed_delay_ratio", F.col("segment_actual_time") / F.col("segment_osrm_time"))
     return winsorise(t, "computed_delay_ratio", WINSOR_Q)
 
 
 def corridor_graph(audited: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(vertices with label, simple-digraph edges) of the audit graph."""
-    labels = hub_labels(audited).withColumnRenamed("hub_id", "v")
-    edges = (corridor_edges(audited).withColumnRenamed("source_center", "src")
-             .withColumnRenamed("destination_center", "dst"))
-    return labels, edges
+    return hub_table(audited), corridor_table(audited)
+
+
+def hub_table(audited: DataFrame) -> DataFrame:
+    return hub_labels(audited).withColumnRenamed("hub_id", "v")
+
+
+def corridor_table(audited: DataFrame) -> DataFrame:
+    return corridor_edges(audited).withColumnRenamed("source_center", "src").withColumnRenamed("destination_center", "dst")
 
 
 def node_metrics(vertices: DataFrame, edges: DataFrame, k: int | None = None, seed: int = 42) -> DataFrame:

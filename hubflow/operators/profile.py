@@ -15,6 +15,7 @@ from hubflow.functions.features import signed_pct_error
 from hubflow.operators.corridors import skew_safe_quantiles, with_quantiles
 from hubflow.operators.hubs import hub_inventory
 from hubflow.operators.ordering import global_position
+from hubflow.session import write_table
 
 
 def _maybe_round(df: DataFrame, digits, cols) -> DataFrame:
@@ -195,6 +196,7 @@ def binned_kde(df: DataFrame, col: str, by: str, points: int = 200) -> DataFrame
              .filter(F.col("__sd") > 0).withColumn("__h", F.col("__sd") * F.pow(F.col("__n"), F.lit(-0.2)))
              .withColumn("__w", F.col("__h") / BINS_PER_BANDWIDTH).withColumn("__g0", F.col("__min") - (F.col("__max") - F.col("__min")) / 2)
              .withColumn("__step", (F.col("__max") - F.col("__min")) * 2 / (points - 1)).withColumnRenamed("__k", "__sk"))
+    stats, _ = write_table(stats, "curves")  # a row a curve, of known size: the values aren't shuffled by curve
     at = (F.col("__v") - F.col("__min")) / F.col("__w")
     left = F.floor(at)
     shared = (vals.join(stats, F.col("__k").eqNullSafe(F.col("__sk")))

@@ -14,17 +14,19 @@ from hubflow.plans.registry import query
 
 def audited(spark, sf):
     """Audit-cleaned segments, written once per session (they feed the hub
-    labels, the corridor table and every audit summary)."""
-    from hubflow.plans.common import memo
-    return memo(spark, sf, "audited", lambda: A.audit_clean(trips(spark, sf)))
+    labels, the corridor table and every audit summary): the columns that these read."""
+    from hubflow.plans.common import keep
+    return keep(spark, sf, "audited", lambda: A.audit_clean(trips(spark, sf).select(
+        "trip_uuid", "row_ord", "source_center", "source_name", "destination_center", "destination_name",
+        "segment_actual_time", "segment_osrm_time", "segment_osrm_distance")))
 
 
 def graph_of(spark, sf):
     """Hub and corridor tables, materialised once (small next to the trips;
     every graph operator reads them several times)."""
     from hubflow.plans.common import memo
-    v = memo(spark, sf, "audit_vertices", lambda: A.corridor_graph(audited(spark, sf))[0])
-    e = memo(spark, sf, "audit_edges", lambda: A.corridor_graph(audited(spark, sf))[1])
+    v = memo(spark, sf, "audit_vertices", lambda: A.hub_table(audited(spark, sf)))
+    e = memo(spark, sf, "audit_edges", lambda: A.corridor_table(audited(spark, sf)))
     return v, e
 
 

@@ -8,7 +8,7 @@ from hubflow.operators import audit as A
 from hubflow.operators import corridors as C
 from hubflow.operators import decisions as D
 from hubflow.plans import sqltext as S
-from hubflow.plans.common import features, memo, r10, training
+from hubflow.plans.common import features, memo, r10, training_table
 from hubflow.plans.q_audit import BC_SQL, CHRONIC_SQL, graph_of, metrics_of
 from hubflow.plans.registry import query
 
@@ -16,7 +16,7 @@ from hubflow.plans.registry import query
 def dec_table(spark, sf):
     def build():
         v, e = graph_of(spark, sf)
-        return D.decision_dataset(C.edge_weights(training(spark, sf)), metrics_of(spark, sf),
+        return D.decision_dataset(C.edge_weights(training_table(spark, sf)), metrics_of(spark, sf),
                                   A.chronic_corridors(e, v))
     return memo(spark, sf, "decision_dataset", build)
 

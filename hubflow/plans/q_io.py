@@ -8,7 +8,7 @@ from hubflow.functions import cleaning as B
 from hubflow.operators import corridors as C
 from hubflow.operators import profile as P
 from hubflow.plans import sqltext as S
-from hubflow.plans.common import features, memo, trips
+from hubflow.plans.common import features, memo, route_times, trips
 from hubflow.plans.registry import query
 from hubflow.schema import TRIP_SCHEMA
 from hubflow.sources import sinks
@@ -127,7 +127,7 @@ select route_type, round(cap, 10) as cap, count(*) filter (where actual_time > c
   round(max(least(actual_time, cap)), 10) as max_after from feat join c using (route_type) group by 1, 2""")
 def q_group_clip(spark, sf):
     from hubflow.operators.audit import winsorise
-    w = winsorise(features(spark, sf), "actual_time", 0.98, by="route_type", out="clipped")
+    w = winsorise(route_times(spark, sf), "actual_time", 0.98, by="route_type", out="clipped")
     return w.groupBy("route_type").agg(F.round(F.max("clipped"), 10).alias("cap"),
                                        F.count_if(F.col("__capped")).alias("rows_clipped"),
                                        F.round(F.max("clipped"), 10).alias("max_after"))

@@ -49,3 +49,33 @@ def test_dedup_is_partial_aggregate_not_window(spark):
                                "destination_center string, row_ord int")
     plan = _plan(dedup_first(df, ["trip_uuid", "source_center", "destination_center"]))
     assert "Window" not in plan and "partial_min_by" in plan.replace(" ", "")
+
+
+def test_trip_view_moves_the_line_items_once(spark):
+    """Customers join the orders, nations the customers and suppliers: the line items meet two tables, and methods stay small enough to be compiled."""
+    from hubflow.sources.trips import trips_from_tables
+    was = spark.conf.get("spark.sql.codegen.hugeMethodLimit")
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "65535")
+    try:
+        df = trips_from_tables(spark, SF)
+        assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
+    finally:
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", was)
+    above = 0
+    for l in df._jdf.queryExecution().optimizedPlan().toString().splitlines():
+        if "l_orderkey" in l and "Relation" in l:
+            break
+        above += "Join Inner" in l
+    assert above == 2
+
+
+def test_model_rows_are_written_once(spark):
+    """Split, encoders and medians read the written model rows, not the tables again."""
+    from hubflow.plans.q_models import split_table
+    assert "lineitem" not in _plan(split_table(spark, SF))
+
+
+def test_segments_are_deduplicated_without_unused_columns(spark):
+    from hubflow.plans.q_audit import audited
+    a = audited(spark, SF)
+    assert "lineitem" not in _plan(a) and "trip_creation_time" not in a.columns
