@@ -28,15 +28,21 @@ def trips_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     evaluation order; ``row_ord`` is a deterministic tie key.
     """
     small_methods(spark)
+    # round half away from zero on the double itself (no per-row BigDecimal):
+    # the price bucket feeds the ratio, which filters and projections reuse
+    cents = F.abs(F.col("l_extendedprice") * 100)
+    rounded = F.signum(F.col("l_extendedprice")) * F.when(cents - F.floor(cents) >= 0.5, F.ceil(cents)) \
+        .otherwise(F.floor(cents))
+    # what depends on the line item or the nation alone is worked out before the shuffle: fewer bytes move, filters don't repeat it
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
-        "l_extendedprice", "l_linestatus")
+        (rounded.cast("bigint") % 100).alias("_bucket"), (F.col("l_linestatus") == "O").alias("_cutoff"))
     od = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderdate")
     cu = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_nationkey")
     su = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", "s_nationkey")
     na = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name")
-    sn = na.select(F.col("n_nationkey").alias("sn_key"), F.col("n_name").alias("sname"))
-    cn = na.select(F.col("n_nationkey").alias("cn_key"), F.col("n_name").alias("dname"))
+    sn = na.select(F.col("n_nationkey").alias("sn_key"), F.col("n_name").alias("sname"), _hub(F.col("n_nationkey")).alias("shub"))
+    cn = na.select(F.col("n_nationkey").alias("cn_key"), F.col("n_name").alias("dname"), _hub(F.col("n_nationkey")).alias("dhub"))
 
     # orders meet their customer and suppliers their nation before the line items, which are then shuffled once
     ordered = od.join(cu, F.col("o_custkey") == cu.c_custkey).join(cn, F.col("c_nationkey") == cn.cn_key)
@@ -45,15 +51,9 @@ def trips_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     q = F.col("l_quantity")
     osrm = F.lit(10.0) + F.lit(2.0) * q
-    # round half away from zero on the double itself (no per-row BigDecimal):
-    # the price bucket feeds the ratio, which filters and projections reuse
-    cents = F.abs(F.col("l_extendedprice") * 100)
-    rounded = F.signum(F.col("l_extendedprice")) * F.when(cents - F.floor(cents) >= 0.5, F.ceil(cents)) \
-        .otherwise(F.floor(cents))
-    price_bucket = rounded.cast("bigint") % 100
     lane = (F.col("s_nationkey") * 7 + F.col("c_nationkey") * 13) % 11
     ratio = (F.when(F.col("l_partkey") % 211 == 0, F.lit(12.0))
-             .otherwise((F.lit(10) + price_bucket) * (F.lit(3) + lane) / F.lit(256.0)))
+             .otherwise((F.lit(10) + F.col("_bucket")) * (F.lit(3) + lane) / F.lit(256.0)))
     hours = (F.col("l_orderkey") * 7 + F.col("l_linenumber") * 5) % 24
     seg_zero = F.col("l_partkey") % 307 == 0
 
@@ -66,13 +66,13 @@ def trips_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_linenumber") % 3 == 0, "Carting").otherwise("FTL").alias("route_type"),
         F.concat(F.lit("trip-"), F.col("l_orderkey").cast("string")).alias("trip_uuid"),
         F.when(F.col("l_partkey") % 401 == 0, F.lit(None).cast("string"))
-         .otherwise(_hub(F.col("s_nationkey"))).alias("source_center"),
+         .otherwise(F.col("shub")).alias("source_center"),
         F.when(F.col("l_partkey") % 97 == 0, F.lit(None).cast("string"))
          .otherwise(F.col("sname")).alias("source_name"),
-        _hub(F.col("c_nationkey")).alias("destination_center"),
+        F.col("dhub").alias("destination_center"),
         F.col("dname").alias("destination_name"),
         (o * r + F.lit(32.0) * F.col("l_linenumber")).alias("start_scan_to_end_scan"),
-        (F.col("l_linestatus") == "O").alias("is_cutoff"),
+        F.col("_cutoff").alias("is_cutoff"),
         F.col("l_linenumber").cast("int").alias("cutoff_factor"),
         F.when(F.col("l_suppkey") % 53 == 0, F.lit(0.0625))
          .otherwise(F.lit(1.25) * q).alias("actual_distance_to_destination"),
