@@ -2,6 +2,8 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet
 and read again as the next stage's docs. All but the last return the columns of documents.
+From the first stage on the session deletes the shuffle files of each execution at its end,
+so a stage's disk doesn't hold what the ones before have moved.
 """
 
 from __future__ import annotations
@@ -12,7 +14,9 @@ from pyspark.sql import functions as F
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier rejects go; it learns from the labels of the documents at hand."""
+    from hubflow.llm.common import release_shuffles
     from hubflow.llm.toxicity import drop_toxic
+    release_shuffles(spark)
     return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 

@@ -25,12 +25,14 @@ for 20,000 shingles each).
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hubflow.llm.common import id_text, map_rows, membership_sketch, min_labels, sketch_test, stage, unstage
+from hubflow.llm.common import id_text, map_rows, membership_sketch, min_labels, release, ship_package, sketch_test, stage, unstage
 from hubflow.llm.hashing import shingle_set
 
 #: A shingle in the prefixes of this many groups generates no candidates.
@@ -61,9 +63,10 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, threshold_pct: int = 80) ->
     rows = stage(sets.select("doc_id", "n", "k"), "rows")
     unstage(sets)
 
-    links = _crowd_links(docs, classes, n, threshold_pct)
+    counts = stage(_counts(classes, threshold_pct), "counts")
+    links = _crowd_links(docs, classes, counts, n, threshold_pct)
     tied = min_labels(links)
-    pairs, hot = _candidates(docs, classes, tied, n, threshold_pct)
+    pairs, hot = _candidates(docs, classes, counts, tied, n, threshold_pct)
     more = _verified(docs, classes, pairs, n, threshold_pct)
     unstage(pairs)
     added = more if hot is None else more.union(hot.select("a", "b"))
@@ -90,36 +93,48 @@ def _heads(texts: DataFrame, n: int, pct: int) -> DataFrame:
             s = shingle_set(text, n)
             base = s.size - _least(s.size, pct)
             head = s[:base + 1 + max(8, (base + 1) // 2)]
-            yield doc_id, s.size, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), head.view(np.int64).tolist()
+            yield doc_id, s.size, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), head.view(np.int64)
 
     return map_rows(texts, rows, "doc_id long, n long, k binary, head array<long>")
 
 
-def _shingles(classes: DataFrame, sketch=None, first: bool = False, pct: int = 0) -> DataFrame:
-    """(k, pos, s): the shingles of each class's head, of the 1-prefix if ``first``; those in the sketch if one is given."""
-    def rows(cols):
-        for k, size, head in zip(cols["k"], cols["n"], cols["head"]):
-            a = np.array(head, np.int64)
-            if first:
-                a = a[:size - _least(size, pct) + 1]
-            at = np.flatnonzero(sketch_test(sketch.value, a)) if sketch else np.arange(a.size)
-            for p in at.tolist():
-                yield k, p, int(a[p])
+def _shingles(classes: DataFrame, sketch, first: bool = False, pct: int = 0) -> DataFrame:
+    """(k, pos, s): the shingles of each class's head, of the 1-prefix if ``first``, that are in the sketch."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                bounds = part.column(2).offsets.to_numpy()
+                sizes, flat = np.diff(bounds), part.column(2).values.to_numpy(zero_copy_only=False)[bounds[0]:bounds[-1]]
+                pos = np.arange(flat.size) - np.repeat(bounds[:-1] - bounds[0], sizes)
+                hit = sketch_test(sketch.value, flat)
+                if first:
+                    n = part.column(1).to_numpy()
+                    hit &= pos < np.repeat(n + (-pct * n) // 100 + 1, sizes)
+                hit = np.flatnonzero(hit)
+                if hit.size:
+                    k = part.column(0).take(pa.array(np.repeat(np.arange(sizes.size), sizes)[hit]))
+                    yield pa.RecordBatch.from_arrays([k, pa.array(pos[hit].astype(np.int32)), pa.array(flat[hit])], ["k", "pos", "s"])
+
+    ship_package(classes.sparkSession)
+    return classes.select("k", "n", "head").mapInArrow(run, "k binary, pos int, s long")
+
 
-    return map_rows(classes.select("k", "n", "head"), rows, "k binary, pos int, s long", rows=20_000)
+def _counts(classes: DataFrame, pct: int) -> DataFrame:
+    """(s, m, first): the classes with the shingle in their head and in their 1-prefix, of shingles in two or more heads."""
+    seen = classes.select(F.expr(f"n - ({pct} * n + 99) div 100 + 1").alias("p"), F.posexplode("head").alias("pos", "s"))
+    return seen.groupBy("s").agg(F.count("*").alias("m"), F.count_if(F.col("pos") < F.col("p")).alias("first")).where("m > 1")
 
 
-def _crowd_links(docs: DataFrame, classes: DataFrame, n: int, pct: int) -> DataFrame:
+def _crowd_links(docs: DataFrame, classes: DataFrame, counts: DataFrame, n: int, pct: int) -> DataFrame:
     """Links between members of a crowded shingle and a few of its members (written table a, b)."""
-    spark = docs.sparkSession
-    counted = (classes.select(F.explode(F.expr(f"slice(head, 1, int(n - ({pct} * n + 99) div 100 + 1))")).alias("s"))
-               .groupBy("s").count().where(F.col("count") >= CROWD))
-    crowd = stage(counted.select("s"), "crowd")
+    crowd = stage(counts.where(F.col("first") >= CROWD).select("s"), "crowd")
     sketch = membership_sketch(crowd, F.col("s"))
     inside = _shingles(classes, sketch, True, pct).select("k", "s").join(crowd, "s")
     own = inside.groupBy("k").agg(F.count("*").alias("x")).join(classes.select("k", "n"), "k").select(
         F.col("k").alias("ok"), F.expr(f"n - ({pct} * n + 99) div 100 + 1 - x").alias("own"), F.expr(f"n - ({pct} * n + 99) div 100 + 1").alias("p"))
     inside = stage(inside.join(own, F.col("k") == F.col("ok")).drop("ok"), "inside")
+    release(sketch)
     links = None
     for r in range(ROUNDS):
         members = inside
@@ -150,16 +165,20 @@ def _crowd_links(docs: DataFrame, classes: DataFrame, n: int, pct: int) -> DataF
     return links
 
 
-def _candidates(docs: DataFrame, classes: DataFrame, tied: DataFrame, n: int, pct: int) -> tuple[DataFrame, DataFrame | None]:
+def _candidates(docs: DataFrame, classes: DataFrame, counts: DataFrame, tied: DataFrame, n: int, pct: int) -> tuple[DataFrame, DataFrame | None]:
     """Pairs of classes in different groups that share enough prefix shingles (written table a, b), and links found on the way (``_hot_links``)."""
     group = classes.select("k", "n", "head").join(tied, F.col("k") == F.col("v"), "left").select("k", "n", "head", F.coalesce("c", "k").alias("c"))
-    # document frequency: different groups with the shingle; only those in two or more matter
-    seen = group.select(F.xxhash64("c").alias("g"), F.explode("head").alias("s"))
-    freq = stage(seen.groupBy("s").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("s", "m"), "freq")
+    # document frequency: different groups with the shingle; only those in two or more matter, so those that one group has alone go
+    inside = classes.join(tied, F.col("k") == F.col("v")).select("c", F.explode("head").alias("s")).groupBy("s", "c").agg(F.count("*").alias("x"))
+    alone = inside.join(counts, "s").where("x = m").select("s")
+    freq = stage(counts.join(alone, "s", "left_anti").select("s", "m"), "freq")
+    unstage(counts)
     crowded = freq.where(F.col("m") >= HOT).select("s")
-    crowd = _shingles(classes, membership_sketch(crowded, F.col("s"))).select("k", "s").join(crowded, "s").join(tied, F.col("k") == F.col("v"), "left")
+    sketch = membership_sketch(crowded, F.col("s"))
+    crowd = _shingles(classes, sketch).select("k", "s").join(crowded, "s").join(tied, F.col("k") == F.col("v"), "left")
     groups = crowd.select("s", F.coalesce("c", "k").alias("c")).distinct().groupBy("s").agg(F.count("*").alias("df"))
     freq2 = stage(freq.join(groups, "s", "left").select("s", F.coalesce("df", "m").alias("df")), "freq")
+    release(sketch)
     unstage(freq)
     freq, chosen = freq2, _chosen(group, classes, freq2, pct)
     longer = stage(chosen.where("more").select("k", "c"), "longer")
@@ -168,7 +187,7 @@ def _candidates(docs: DataFrame, classes: DataFrame, tied: DataFrame, n: int, pc
         some = longer.limit(HOT).count()
         if not some:
             break
-        more = stage(_sets(docs, classes, longer.select("k"), n).join(longer, "k"), "whole")
+        more = _sets(docs, classes, longer, n, "whole")
         toks = stage(more.select("c", F.explode("s").alias("s")).distinct(), "toks")
         added, before = toks.select("s").distinct(), whole
         own = toks if own is None else stage(own.union(toks).distinct(), "toks")
@@ -177,15 +196,19 @@ def _candidates(docs: DataFrame, classes: DataFrame, tied: DataFrame, n: int, pc
         # documents can make a shingle hot only together with others, where it costs a few candidates more
         if not left or some < HOT:
             break
-        heads = _shingles(classes, membership_sketch(added, F.col("s"))).select("k", "s").join(added, "s").join(tied, F.col("k") == F.col("v"), "left")
+        sketch = membership_sketch(added, F.col("s"))
+        heads = _shingles(classes, sketch).select("k", "s").join(added, "s").join(tied, F.col("k") == F.col("v"), "left")
         again = stage(own.join(added, "s").select("s", "c").union(heads.select("s", F.coalesce("c", "k"))).distinct().groupBy("s").agg(F.count("*").alias("df")).where("df > 1"), "again")
+        release(sketch)
         # a choice holds as long as no shingle of the head has become hot
         newly = stage(again.where(F.col("df") >= HOT).select("s").join(freq.where(F.col("df") >= HOT), "s", "left_anti").select("s"), "newly")
         recounted = stage(freq.join(added, "s", "left_anti").union(again), "freq")
         unstage(freq, again, longer)
         freq = recounted
-        touched = _shingles(classes, membership_sketch(newly, F.col("s"))).select("k", "s").join(newly, "s").select("k").distinct()
+        sketch = membership_sketch(newly, F.col("s"))
+        touched = _shingles(classes, sketch).select("k", "s").join(newly, "s").select("k").distinct()
         touched = stage(touched.join(whole.select("k"), "k", "left_anti"), "touched")
+        release(sketch)
         anew = _chosen(group.join(touched, "k", "left_semi"), classes, freq, pct, touched)
         kept = stage(chosen.join(touched, "k", "left_anti").unionByName(anew), "prefixes")
         longer = stage(anew.where("more").select("k", "c"), "longer")
@@ -214,9 +237,13 @@ def _candidates(docs: DataFrame, classes: DataFrame, tied: DataFrame, n: int, pc
 def _chosen(group: DataFrame, classes: DataFrame, freq: DataFrame, pct: int, only: DataFrame | None = None) -> DataFrame:
     """The prefixes of the classes in ``group`` (of those in ``only``, if given) under the frequencies ``freq`` (written table)."""
     own = classes if only is None else classes.join(only, "k", "left_semi")
-    shared = (_shingles(own, membership_sketch(freq, F.col("s"))).join(freq, "s")
+    sketch = membership_sketch(freq, F.col("s"))
+    shared = (_shingles(own, sketch).join(freq, "s")
               .groupBy(F.col("k").alias("fk")).agg(F.collect_list(F.struct("pos", "df")).alias("freq")))
-    return stage(_choose(group.join(shared, F.col("k") == F.col("fk"), "left").drop("fk"), pct), "prefixes")
+    known = group.join(shared, F.col("k") == F.col("fk"), "left")
+    out = stage(_choose(known.select("k", "n", "head", "c", F.col("freq.pos").alias("pos"), F.col("freq.df").alias("df")), pct), "prefixes")
+    release(sketch)
+    return out
 
 
 def _matches(index: DataFrame, pct: int) -> DataFrame:
@@ -248,15 +275,14 @@ def best_prefix(n: int, pct: int, df: np.ndarray, known: int) -> tuple[int, int]
 
 def _choose(classes: DataFrame, pct: int) -> DataFrame:
     def rows(cols):
-        for k, n, head, c, freq in zip(*(cols[x] for x in ("k", "n", "head", "c", "freq"))):
+        for k, n, head, c, pos, freq in zip(*(cols[x] for x in ("k", "n", "head", "c", "pos", "df"))):
             df = np.ones(len(head))
-            for f in freq or ():
-                df[f["pos"]] = f["df"]
+            if pos is not None:
+                df[pos] = freq
             l, r = best_prefix(n, pct, df, len(head))
-            keep = np.flatnonzero(df[:n - _least(n, pct) + l] < HOT) if l else ()
-            yield k, n, c, l, r, [head[i] for i in keep], l == 0
+            yield k, n, c, l, r, head[np.flatnonzero(df[:n - _least(n, pct) + l] < HOT)] if l else head[:0], l == 0
 
-    return map_rows(classes, rows, "k binary, n long, c binary, l int, r int, toks array<long>, more boolean")
+    return map_rows(classes, rows, "k binary, n long, c binary, l int, r int, toks array<long>, more boolean", arrays=True)
 
 
 #: l of a document whose whole set is its prefix.
@@ -266,10 +292,10 @@ WHOLE = 1 << 30
 def _whole_prefixes(whole: DataFrame, freq: DataFrame, pct: int) -> DataFrame:
     """Prefixes out of whole sets; l is WHOLE, and ``hot`` the first hot shingles, where a set is hot nearly throughout."""
     def rows(cols):
-        for k, c, s, freq_ in zip(*(cols[x] for x in ("k", "c", "s", "freq"))):
+        for k, c, s, pos, freq_ in zip(*(cols[x] for x in ("k", "c", "s", "pos", "df"))):
             df = np.ones(len(s))
-            for f in freq_ or ():
-                df[f["pos"]] = f["df"]
+            if pos is not None:
+                df[pos] = freq_
             size = len(s)
             l, r = best_prefix(size, pct, df, size)
             l, r, end = (l, r, size - _least(size, pct) + l) if l else (WHOLE, 1, size)
@@ -277,11 +303,12 @@ def _whole_prefixes(whole: DataFrame, freq: DataFrame, pct: int) -> DataFrame:
             # the 1-prefix of the order in which hot shingles come last
             hot = np.flatnonzero(df >= HOT) if l == WHOLE else np.array([], np.int64)
             # the least frequent of them first: those of its own family and not of a passage that many families have
-            hot = hot[np.lexsort((np.array(s, np.int64)[hot], df[hot]))][:max(0, size - _least(size, pct) + 1 - rare.size)]
-            yield k, size, c, l, r, [s[i] for i in rare], [s[i] for i in hot]
+            hot = hot[np.lexsort((s[hot], df[hot]))][:max(0, size - _least(size, pct) + 1 - rare.size)]
+            yield k, size, c, l, r, s[rare], s[hot]
 
     freqs = whole.select("k", F.posexplode("s").alias("pos", "s")).join(freq, "s").groupBy("k").agg(F.collect_list(F.struct("pos", "df")).alias("freq"))
-    return map_rows(whole.join(freqs, "k", "left").select("k", "c", "s", "freq"), rows, "k binary, n long, c binary, l int, r int, toks array<long>, hot array<long>")
+    known = whole.join(freqs, "k", "left").select("k", "c", "s", F.col("freq.pos").alias("pos"), F.col("freq.df").alias("df"))
+    return map_rows(known, rows, "k binary, n long, c binary, l int, r int, toks array<long>, hot array<long>", arrays=True)
 
 
 def _hot_links(index: DataFrame, whole: DataFrame, pct: int) -> tuple[DataFrame | None, DataFrame | None]:
@@ -302,7 +329,7 @@ def _hot_links(index: DataFrame, whole: DataFrame, pct: int) -> tuple[DataFrame
         pairs = (members.join(pivots, "s").where("c <> c2").where(f"{100 + pct} * least(n - u, n2 - u2) >= {pct} * (n + n2)")
                  .groupBy(F.col("k").alias("a"), F.col("k2").alias("b")).agg(F.first("c").alias("ca"), F.first("c2").alias("cb")))
         both = pairs.join(sets.select(F.col("k").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("k").alias("b"), F.col("s").alias("sb")), "b")
-        found = stage(map_rows(both, _linked(pct, "ca", "cb"), "a binary, b binary, ca binary, cb binary"), "hotlinks")
+        found = stage(map_rows(both, _linked(pct, "ca", "cb"), "a binary, b binary, ca binary, cb binary", arrays=True), "hotlinks")
         some = found.limit(1).count()
         if links is None:
             links = found
@@ -322,7 +349,7 @@ def _linked(pct: int, *extra: str):
     """Rows (a, b, sa, sb) whose sets reach the threshold, as a, b and the ``extra`` columns."""
     def rows(cols):
         for a, b, sa, sb, *more in zip(*(cols[x] for x in ("a", "b", "sa", "sb", *extra))):
-            shared = np.intersect1d(np.array(sa, np.int64), np.array(sb, np.int64), assume_unique=True).size
+            shared = np.intersect1d(sa, sb, assume_unique=True).size
             if (100 + pct) * shared >= pct * (len(sa) + len(sb)):
                 yield a, b, *more
 
@@ -342,9 +369,9 @@ def _hot_matches(index: DataFrame, pct: int) -> DataFrame:
             .select(F.col("k").alias("a"), F.col("k2").alias("b")))
 
 
-def _sets(docs: DataFrame, classes: DataFrame, keys: DataFrame, n: int) -> DataFrame:
-    """(k, s): the whole sets of the classes in ``keys``; classes whose rows all lack an id are found by their key."""
-    ids = stage(keys.join(classes.select("k", "doc_id"), "k").select("k", "doc_id"), "ids")
+def _sets(docs: DataFrame, classes: DataFrame, keys: DataFrame, n: int, label: str) -> DataFrame:
+    """(k, s) and the other columns of ``keys``: the whole sets of the classes in it (written table); classes whose rows all lack an id are found by their key."""
+    ids = stage(keys.select("k").join(classes.select("k", "doc_id"), "k").select("k", "doc_id"), "ids")
     sketch = membership_sketch(ids.where("doc_id is not null"), F.col("doc_id"))
     nameless = ids.where("doc_id is null")
     # the first 7 bytes of the key, as ``int.from_bytes`` reads them
@@ -358,10 +385,14 @@ def _sets(docs: DataFrame, classes: DataFrame, keys: DataFrame, n: int) -> DataF
             s = shingle_set(cols["text"][i], n)
             k = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
             if known[i] or sketch_test(other.value, np.array([int.from_bytes(k[:7], "big")], np.int64))[0]:
-                yield k, s.view(np.int64).tolist()
+                yield k, s.view(np.int64)
 
     found = map_rows(id_text(docs), rows, "k binary, s array<long>", rows=64)
-    return found.join(ids.select("k"), "k", "left_semi").dropDuplicates(["k"])
+    found = found.join(ids.select("k"), "k", "left_semi").dropDuplicates(["k"])
+    out = stage(found.join(keys, "k") if len(keys.columns) > 1 else found, label)
+    release(sketch, other)
+    unstage(ids)
+    return out
 
 
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, pct: int) -> DataFrame:
@@ -370,7 +401,7 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, pct
 
     def promising(cols):
         for a, b, na, nb, ha, hb in zip(*(cols[x] for x in ("a", "b", "na", "nb", "ha", "hb"))):
-            x, y = np.array(ha, np.int64).view(np.uint64), np.array(hb, np.int64).view(np.uint64)
+            x, y = ha.view(np.uint64), hb.view(np.uint64)
             both = min([h[-1] for h, size in ((x, na), (y, nb)) if h.size < size], default=np.uint64(2**64 - 1))
             cx, cy = int(np.searchsorted(x, both, "right")), int(np.searchsorted(y, both, "right"))
             most = np.intersect1d(x[:cx], y[:cy], assume_unique=True).size + min(na - cx, nb - cy)
@@ -379,11 +410,13 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, pct
 
     with_a = pairs.select("a", "b").join(head.select(F.col("k").alias("a"), F.col("size").alias("na"), F.col("head").alias("ha")), "a")
     with_b = with_a.join(head.select(F.col("k").alias("b"), F.col("size").alias("nb"), F.col("head").alias("hb")), "b")
-    near = stage(map_rows(with_b, promising, "a binary, b binary"), "near")
+    near = stage(map_rows(with_b, promising, "a binary, b binary", arrays=True), "near")
+    if not near.limit(1).count():  # the texts needn't be read for none
+        return near
     keys = near.select(F.col("a").alias("k")).union(near.select("b")).distinct()
-    sets = stage(_sets(docs, classes, keys, n), "sets")
+    sets = _sets(docs, classes, keys, n, "sets")
 
     full = near.join(sets.select(F.col("k").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("k").alias("b"), F.col("s").alias("sb")), "b")
-    out = stage(map_rows(full, _linked(pct), "a binary, b binary"), "links")
+    out = stage(map_rows(full, _linked(pct), "a binary, b binary", arrays=True), "links")
     unstage(sets, near)
     return out

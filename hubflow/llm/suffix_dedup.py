@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hubflow.llm.common import id_text, map_rows, membership_sketch, ship_package, sketch_test, stage, unstage
+from hubflow.llm.common import id_text, map_rows, membership_sketch, release, ship_package, sketch_test, stage, unstage
 from hubflow.llm.hashing import BYTE, U, gram_hashes, mix, powers
 
 LENGTH, GRAM = 100, 40
@@ -222,6 +222,7 @@ def removed_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     yield doc_id, *row
 
     found = stage(map_rows(texts, places, "doc long, a long, c long, lo long, hi long, again boolean", rows=50_000), "anchors")
+    release(seen)
     firsts = stage(found.where("not again").groupBy("a", "c").agg(F.min("doc").alias("first"), F.min("lo").alias("any")), "firsts")
     several = stage(firsts.groupBy("a").agg(F.count("*").alias("contexts")).where("contexts > 1"), "several")
     covered = (found.where("not again").join(firsts.select("a", "c", "first"), ["a", "c"]).where("doc <> first").select("doc", "lo", "hi")
@@ -229,6 +230,7 @@ def removed_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     wanted = stage(firsts.join(several, "a", "left_semi").select((F.col("a").bitwiseXOR(F.col("c")).bitwiseXOR(F.col("first"))).alias("key"), "first"), "wanted")
     keys, holders = membership_sketch(wanted, F.col("key")), membership_sketch(wanted, F.col("first"))
+    unstage(wanted)
 
     def contexts(cols):
         hold = sketch_test(holders.value, np.array(cols["doc_id"], np.int64))
@@ -254,7 +256,10 @@ def removed_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield doc_id, [{"lo": a, "hi": b} for _, a, b in merged(np.zeros(lo.size, np.int64), lo, hi)]
 
     runs = spans.groupBy("doc").agg(F.collect_set(F.struct("lo", "hi")).alias("runs"))
-    return stage(map_rows(runs, join_up, "doc_id long, spans array<struct<lo:long,hi:long>>"), "spans")
+    out = stage(map_rows(runs, join_up, "doc_id long, spans array<struct<lo:long,hi:long>>"), "spans")
+    release(keys, holders)
+    unstage(found, firsts, several, held)
+    return out
 
 
 def _sorted_groups(held: DataFrame, length: int) -> DataFrame:
