@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hubflow.llm.common import id_text, map_rows, membership_sketch, min_labels, release, ship_package, sketch_test, stage, unstage
+from hubflow.llm.common import id_text, map_rows, membership_sketch, min_labels, release, ship_package, sketch_test, stage, tasks_for, unstage
 from hubflow.llm.hashing import shingle_set
 
 #: A shingle in the prefixes of this many groups generates no candidates.
@@ -59,15 +59,17 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, threshold_pct: int = 80) ->
     """
     spark = docs.sparkSession
     sets = stage(_heads(id_text(docs), n, threshold_pct), "sets")
-    classes = stage(sets.where("n > 0").groupBy("k", "n").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("size"), F.first("head").alias("head")), "classes")
+    # tables of classes and pairs have tasks by their rows: there are dozens of shuffles, and most carry little
+    tasks = tasks_for(sets)
+    classes = stage(sets.where("n > 0").groupBy("k", "n").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("size"), F.first("head").alias("head")), "classes", tasks)
     rows = stage(sets.select("doc_id", "n", "k"), "rows")
     unstage(sets)
 
-    counts = stage(_counts(classes, threshold_pct), "counts")
-    links = _crowd_links(docs, classes, counts, n, threshold_pct)
+    counts = stage(_counts(classes, threshold_pct), "counts", tasks)
+    links = _crowd_links(docs, classes, counts, n, threshold_pct, tasks)
     tied = min_labels(links)
-    pairs, hot = _candidates(docs, classes, counts, tied, n, threshold_pct)
-    more = _verified(docs, classes, pairs, n, threshold_pct)
+    pairs, hot = _candidates(docs, classes, counts, tied, n, threshold_pct, tasks)
+    more = _verified(docs, classes, pairs, n, threshold_pct, tasks)
     unstage(pairs)
     added = more if hot is None else more.union(hot.select("a", "b"))
     labels = min_labels(links.union(added)) if added.limit(1).count() else tied
@@ -75,7 +77,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, threshold_pct: int = 80) ->
 
     comp = (classes.join(labels, F.col("k") == F.col("v"), "left").select("k", "doc_id", "size", F.coalesce("c", "k").alias("c")))
     first = comp.groupBy("c").agg(F.min("doc_id").alias("component_id"))
-    comp = stage(comp.join(first, "c").select(F.col("k").alias("ck"), "component_id", F.col("size").alias("class_size")), "components")
+    comp = stage(comp.join(first, "c").select(F.col("k").alias("ck"), "component_id", F.col("size").alias("class_size")), "components", tasks)
     full = rows.where("n > 0").join(comp, F.col("k") == F.col("ck")).select(
         "doc_id", F.col("n").alias("n_shingles"), "component_id", "class_size")
     none = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("class_size"))
@@ -126,14 +128,14 @@ def _counts(classes: DataFrame, pct: int) -> DataFrame:
     return seen.groupBy("s").agg(F.count("*").alias("m"), F.count_if(F.col("pos") < F.col("p")).alias("first")).where("m > 1")
 
 
-def _crowd_links(docs: DataFrame, classes: DataFrame, counts: DataFrame, n: int, pct: int) -> DataFrame:
+def _crowd_links(docs: DataFrame, classes: DataFrame, counts: DataFrame, n: int, pct: int, tasks: int) -> DataFrame:
     """Links between members of a crowded shingle and a few of its members (written table a, b)."""
-    crowd = stage(counts.where(F.col("first") >= CROWD).select("s"), "crowd")
-    sketch = membership_sketch(crowd, F.col("s"))
-    inside = _shingles(classes, sketch, True, pct).select("k", "s").join(crowd, "s")
+    crowd = stage(counts.where(F.col("first") >= CROWD).select("s"), "crowd", tasks)
+    sketch = membership_sketch(crowd, F.col("s"), unique=True)
+    inside = _shingles(classes, sketch, True, pct).select("k", "s").join(crowd, "s").coalesce(tasks)
     own = inside.groupBy("k").agg(F.count("*").alias("x")).join(classes.select("k", "n"), "k").select(
         F.col("k").alias("ok"), F.expr(f"n - ({pct} * n + 99) div 100 + 1 - x").alias("own"), F.expr(f"n - ({pct} * n + 99) div 100 + 1").alias("p"))
-    inside = stage(inside.join(own, F.col("k") == F.col("ok")).drop("ok"), "inside")
+    inside = stage(inside.join(own, F.col("k") == F.col("ok")).drop("ok"), "inside", tasks)
     release(sketch)
     links = None
     for r in range(ROUNDS):
@@ -148,15 +150,15 @@ def _crowd_links(docs: DataFrame, classes: DataFrame, counts: DataFrame, n: int,
         chosen = members.groupBy("s").agg(*[F.min(F.struct(middle.alias("o"), F.xxhash64("k", F.lit(PIVOTS * r + i)).alias("x"), "k", "c", "p")).alias(f"p{i}") for i in range(PIVOTS)])
         pivots = chosen.select("s", F.explode(F.array_distinct(F.array(*[F.struct(F.col(f"p{i}.k").alias("a"), F.col(f"p{i}.c").alias("ac"), F.col(f"p{i}.p").alias("ap")) for i in range(PIVOTS)]))).alias("x")).select("s", "x.*")
         # a near copy of a pivot shares most of the prefix: the others are left to the full search
-        pairs = (members.join(pivots, "s").where("c <> ac").groupBy("a", F.col("k").alias("b")).agg(F.count("*").alias("shared"), F.min(F.least("p", "ap")).alias("least"))
+        pairs = (members.join(pivots, "s").where("c <> ac").coalesce(tasks).groupBy("a", F.col("k").alias("b")).agg(F.count("*").alias("shared"), F.min(F.least("p", "ap")).alias("least"))
                  .where("shared >= 2 and 2 * shared >= least").select("a", "b"))
-        pairs = stage(pairs, "pairs")
-        found = _verified(docs, classes, pairs, n, pct)
+        pairs = stage(pairs, "pairs", tasks)
+        found = _verified(docs, classes, pairs, n, pct, tasks)
         unstage(pairs)
         if links is None:
             links = found
         else:
-            both = stage(links.union(found), "links")
+            both = stage(links.union(found), "links", tasks)
             unstage(links)
             links = both
         if not found.limit(1).count():
@@ -165,53 +167,53 @@ def _crowd_links(docs: DataFrame, classes: DataFrame, counts: DataFrame, n: int,
     return links
 
 
-def _candidates(docs: DataFrame, classes: DataFrame, counts: DataFrame, tied: DataFrame, n: int, pct: int) -> tuple[DataFrame, DataFrame | None]:
+def _candidates(docs: DataFrame, classes: DataFrame, counts: DataFrame, tied: DataFrame, n: int, pct: int, tasks: int) -> tuple[DataFrame, DataFrame | None]:
     """Pairs of classes in different groups that share enough prefix shingles (written table a, b), and links found on the way (``_hot_links``)."""
     group = classes.select("k", "n", "head").join(tied, F.col("k") == F.col("v"), "left").select("k", "n", "head", F.coalesce("c", "k").alias("c"))
     # document frequency: different groups with the shingle; only those in two or more matter, so those that one group has alone go
     inside = classes.join(tied, F.col("k") == F.col("v")).select("c", F.explode("head").alias("s")).groupBy("s", "c").agg(F.count("*").alias("x"))
     alone = inside.join(counts, "s").where("x = m").select("s")
-    freq = stage(counts.join(alone, "s", "left_anti").select("s", "m"), "freq")
+    freq = stage(counts.join(alone, "s", "left_anti").select("s", "m"), "freq", tasks)
     unstage(counts)
     crowded = freq.where(F.col("m") >= HOT).select("s")
-    sketch = membership_sketch(crowded, F.col("s"))
+    sketch = membership_sketch(crowded, F.col("s"), unique=True)
     crowd = _shingles(classes, sketch).select("k", "s").join(crowded, "s").join(tied, F.col("k") == F.col("v"), "left")
     groups = crowd.select("s", F.coalesce("c", "k").alias("c")).distinct().groupBy("s").agg(F.count("*").alias("df"))
-    freq2 = stage(freq.join(groups, "s", "left").select("s", F.coalesce("df", "m").alias("df")), "freq")
+    freq2 = stage(freq.join(groups, "s", "left").select("s", F.coalesce("df", "m").alias("df")), "freq", tasks)
     release(sketch)
     unstage(freq)
-    freq, chosen = freq2, _chosen(group, classes, freq2, pct)
-    longer = stage(chosen.where("more").select("k", "c"), "longer")
+    freq, chosen = freq2, _chosen(group, classes, freq2, pct, tasks)
+    longer = stage(chosen.where("more").select("k", "c"), "longer", tasks)
     whole, own = None, None
     for left in reversed(range(LONGER)):
         some = longer.limit(HOT).count()
         if not some:
             break
-        more = _sets(docs, classes, longer, n, "whole")
-        toks = stage(more.select("c", F.explode("s").alias("s")).distinct(), "toks")
+        more = _sets(docs, classes, longer, n, "whole", tasks)
+        toks = stage(more.select("c", F.explode("s").alias("s")).distinct(), "toks", tasks)
         added, before = toks.select("s").distinct(), whole
-        own = toks if own is None else stage(own.union(toks).distinct(), "toks")
+        own = toks if own is None else stage(own.union(toks).distinct(), "toks", tasks)
         whole = more if before is None else stage(before.unionByName(more), "whole")
         # whole sets hold shingles that no head has shown: count the groups of theirs anew; under HOT
         # documents can make a shingle hot only together with others, where it costs a few candidates more
         if not left or some < HOT:
             break
-        sketch = membership_sketch(added, F.col("s"))
+        sketch = membership_sketch(added, F.col("s"), unique=True)
         heads = _shingles(classes, sketch).select("k", "s").join(added, "s").join(tied, F.col("k") == F.col("v"), "left")
-        again = stage(own.join(added, "s").select("s", "c").union(heads.select("s", F.coalesce("c", "k"))).distinct().groupBy("s").agg(F.count("*").alias("df")).where("df > 1"), "again")
+        again = stage(own.join(added, "s").select("s", "c").union(heads.select("s", F.coalesce("c", "k"))).distinct().groupBy("s").agg(F.count("*").alias("df")).where("df > 1"), "again", tasks)
         release(sketch)
         # a choice holds as long as no shingle of the head has become hot
-        newly = stage(again.where(F.col("df") >= HOT).select("s").join(freq.where(F.col("df") >= HOT), "s", "left_anti").select("s"), "newly")
-        recounted = stage(freq.join(added, "s", "left_anti").union(again), "freq")
+        newly = stage(again.where(F.col("df") >= HOT).select("s").join(freq.where(F.col("df") >= HOT), "s", "left_anti").select("s"), "newly", tasks)
+        recounted = stage(freq.join(added, "s", "left_anti").union(again), "freq", tasks)
         unstage(freq, again, longer)
         freq = recounted
-        sketch = membership_sketch(newly, F.col("s"))
+        sketch = membership_sketch(newly, F.col("s"), unique=True)
         touched = _shingles(classes, sketch).select("k", "s").join(newly, "s").select("k").distinct()
-        touched = stage(touched.join(whole.select("k"), "k", "left_anti"), "touched")
+        touched = stage(touched.join(whole.select("k"), "k", "left_anti"), "touched", tasks)
         release(sketch)
-        anew = _chosen(group.join(touched, "k", "left_semi"), classes, freq, pct, touched)
-        kept = stage(chosen.join(touched, "k", "left_anti").unionByName(anew), "prefixes")
-        longer = stage(anew.where("more").select("k", "c"), "longer")
+        anew = _chosen(group.join(touched, "k", "left_semi"), classes, freq, pct, tasks, touched)
+        kept = stage(chosen.join(touched, "k", "left_anti").unionByName(anew), "prefixes", tasks)
+        longer = stage(anew.where("more").select("k", "c"), "longer", tasks)
         unstage(chosen, anew, touched, newly)
         chosen = kept
     index = chosen.where("not more").select("k", "n", "c", "l", "r", F.explode("toks").alias("s"))
@@ -222,26 +224,26 @@ def _candidates(docs: DataFrame, classes: DataFrame, counts: DataFrame, tied: Da
         unstage(rows)
         return pairs, None
     useful = freq.select("s").union(own.select("s")).distinct()
-    long = stage(_whole_prefixes(whole, freq, pct), "long")
+    long = stage(_whole_prefixes(whole, freq, pct), "long", tasks)
     index = index.union(long.select("k", "n", "c", "l", "r", F.explode("toks").alias("s"))).join(useful, "s", "left_semi").select("k", "n", "c", "l", "r", "s")
     index = stage(index, "index")
-    saturated = stage(long.where(F.col("l") == WHOLE).select("k", "n", "c", F.size("toks").alias("u"), "hot", F.explode("hot").alias("s")), "saturated")
+    saturated = stage(long.where(F.col("l") == WHOLE).select("k", "n", "c", F.size("toks").alias("u"), "hot", F.explode("hot").alias("s")), "saturated", tasks)
     unstage(chosen, freq, own, long)
-    hot, groups = _hot_links(saturated, whole, pct)
+    hot, groups = _hot_links(saturated, whole, pct, tasks)
     now = saturated if groups is None else saturated.join(groups, F.col("c") == F.col("v"), "left").select("k", "n", F.coalesce("now", "c").alias("c"), "u", "hot", "s")
     pairs = stage(_matches(index, pct).union(_hot_matches(now, pct)).distinct(), "pairs")
     unstage(index, saturated, whole)
     return pairs, hot
 
 
-def _chosen(group: DataFrame, classes: DataFrame, freq: DataFrame, pct: int, only: DataFrame | None = None) -> DataFrame:
+def _chosen(group: DataFrame, classes: DataFrame, freq: DataFrame, pct: int, tasks: int, only: DataFrame | None = None) -> DataFrame:
     """The prefixes of the classes in ``group`` (of those in ``only``, if given) under the frequencies ``freq`` (written table)."""
     own = classes if only is None else classes.join(only, "k", "left_semi")
-    sketch = membership_sketch(freq, F.col("s"))
-    shared = (_shingles(own, sketch).join(freq, "s")
+    sketch = membership_sketch(freq, F.col("s"), unique=True)
+    shared = (_shingles(own, sketch).join(freq, "s").coalesce(tasks)
               .groupBy(F.col("k").alias("fk")).agg(F.collect_list(F.struct("pos", "df")).alias("freq")))
     known = group.join(shared, F.col("k") == F.col("fk"), "left")
-    out = stage(_choose(known.select("k", "n", "head", "c", F.col("freq.pos").alias("pos"), F.col("freq.df").alias("df")), pct), "prefixes")
+    out = stage(_choose(known.select("k", "n", "head", "c", F.col("freq.pos").alias("pos"), F.col("freq.df").alias("df")), pct), "prefixes", tasks)
     release(sketch)
     return out
 
@@ -311,7 +313,7 @@ def _whole_prefixes(whole: DataFrame, freq: DataFrame, pct: int) -> DataFrame:
     return map_rows(known, rows, "k binary, n long, c binary, l int, r int, toks array<long>, hot array<long>", arrays=True)
 
 
-def _hot_links(index: DataFrame, whole: DataFrame, pct: int) -> tuple[DataFrame | None, DataFrame | None]:
+def _hot_links(index: DataFrame, whole: DataFrame, pct: int, tasks: int) -> tuple[DataFrame | None, DataFrame | None]:
     """Links (written table a, b, ca, cb) between the documents of a hot shingle and a few of them, and (v, now): the groups they tie together.
 
     Documents that are hot nearly throughout and have the same hot shingles are in one family and link;
@@ -327,14 +329,14 @@ def _hot_links(index: DataFrame, whole: DataFrame, pct: int) -> tuple[DataFrame
         chosen = members.groupBy("s").agg(*[F.min(F.struct(middle.alias("o"), F.xxhash64("k", F.lit(PIVOTS * r + i)).alias("x"), "k", "c", "n", "u")).alias(f"p{i}") for i in range(PIVOTS)])
         pivots = chosen.select("s", F.explode(F.array_distinct(F.array(*[F.struct(*[F.col(f"p{i}.{x}").alias(f"{x}2") for x in ("k", "c", "n", "u")]) for i in range(PIVOTS)]))).alias("x")).select("s", "x.*")
         pairs = (members.join(pivots, "s").where("c <> c2").where(f"{100 + pct} * least(n - u, n2 - u2) >= {pct} * (n + n2)")
-                 .groupBy(F.col("k").alias("a"), F.col("k2").alias("b")).agg(F.first("c").alias("ca"), F.first("c2").alias("cb")))
-        both = pairs.join(sets.select(F.col("k").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("k").alias("b"), F.col("s").alias("sb")), "b")
-        found = stage(map_rows(both, _linked(pct, "ca", "cb"), "a binary, b binary, ca binary, cb binary", arrays=True), "hotlinks")
+                 .coalesce(tasks).groupBy(F.col("k").alias("a"), F.col("k2").alias("b")).agg(F.first("c").alias("ca"), F.first("c2").alias("cb")))
+        both = pairs.join(sets.select(F.col("k").alias("a"), F.col("s").alias("sa")), "a").coalesce(tasks).join(sets.select(F.col("k").alias("b"), F.col("s").alias("sb")), "b")
+        found = stage(map_rows(both, _linked(pct, "ca", "cb"), "a binary, b binary, ca binary, cb binary", arrays=True), "hotlinks", tasks)
         some = found.limit(1).count()
         if links is None:
             links = found
         else:
-            more = stage(links.union(found), "hotlinks")
+            more = stage(links.union(found), "hotlinks", tasks)
             unstage(links, found)
             links = more
         if not some:
@@ -369,10 +371,10 @@ def _hot_matches(index: DataFrame, pct: int) -> DataFrame:
             .select(F.col("k").alias("a"), F.col("k2").alias("b")))
 
 
-def _sets(docs: DataFrame, classes: DataFrame, keys: DataFrame, n: int, label: str) -> DataFrame:
+def _sets(docs: DataFrame, classes: DataFrame, keys: DataFrame, n: int, label: str, tasks: int) -> DataFrame:
     """(k, s) and the other columns of ``keys``: the whole sets of the classes in it (written table); classes whose rows all lack an id are found by their key."""
-    ids = stage(keys.select("k").join(classes.select("k", "doc_id"), "k").select("k", "doc_id"), "ids")
-    sketch = membership_sketch(ids.where("doc_id is not null"), F.col("doc_id"))
+    ids = stage(keys.select("k").join(classes.select("k", "doc_id"), "k").select("k", "doc_id"), "ids", tasks)
+    sketch = membership_sketch(ids.where("doc_id is not null"), F.col("doc_id"), unique=True)
     nameless = ids.where("doc_id is null")
     # the first 7 bytes of the key, as ``int.from_bytes`` reads them
     other = membership_sketch(nameless, F.conv(F.hex(F.substring("k", 1, 7)), 16, 10).cast("long")) if nameless.limit(1).count() else None
@@ -389,13 +391,13 @@ def _sets(docs: DataFrame, classes: DataFrame, keys: DataFrame, n: int, label: s
 
     found = map_rows(id_text(docs), rows, "k binary, s array<long>", rows=64)
     found = found.join(ids.select("k"), "k", "left_semi").dropDuplicates(["k"])
-    out = stage(found.join(keys, "k") if len(keys.columns) > 1 else found, label)
+    out = stage(found.join(keys, "k") if len(keys.columns) > 1 else found, label, tasks)
     release(sketch, other)
     unstage(ids)
     return out
 
 
-def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, pct: int) -> DataFrame:
+def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, pct: int, tasks: int) -> DataFrame:
     """The pairs (a, b) whose sets reach the threshold: an exact upper bound from the heads first, then the whole sets."""
     head = classes.select("k", F.col("n").alias("size"), "head")
 
@@ -408,15 +410,15 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, pct
             if (100 + pct) * most >= pct * (na + nb):
                 yield a, b
 
-    with_a = pairs.select("a", "b").join(head.select(F.col("k").alias("a"), F.col("size").alias("na"), F.col("head").alias("ha")), "a")
+    with_a = pairs.select("a", "b").join(head.select(F.col("k").alias("a"), F.col("size").alias("na"), F.col("head").alias("ha")), "a").coalesce(tasks)
     with_b = with_a.join(head.select(F.col("k").alias("b"), F.col("size").alias("nb"), F.col("head").alias("hb")), "b")
-    near = stage(map_rows(with_b, promising, "a binary, b binary", arrays=True), "near")
+    near = stage(map_rows(with_b, promising, "a binary, b binary", arrays=True), "near", tasks)
     if not near.limit(1).count():  # the texts needn't be read for none
         return near
     keys = near.select(F.col("a").alias("k")).union(near.select("b")).distinct()
-    sets = _sets(docs, classes, keys, n, "sets")
+    sets = _sets(docs, classes, keys, n, "sets", tasks)
 
-    full = near.join(sets.select(F.col("k").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("k").alias("b"), F.col("s").alias("sb")), "b")
-    out = stage(map_rows(full, _linked(pct), "a binary, b binary", arrays=True), "links")
+    full = near.join(sets.select(F.col("k").alias("a"), F.col("s").alias("sa")), "a").coalesce(tasks).join(sets.select(F.col("k").alias("b"), F.col("s").alias("sb")), "b")
+    out = stage(map_rows(full, _linked(pct), "a binary, b binary", arrays=True), "links", tasks)
     unstage(sets, near)
     return out

@@ -60,3 +60,34 @@ def test_operators_release_their_sketches(spark, monkeypatch):
     assert {r["component_id"] for r in ngram_jaccard_join(docs, 3, 60).collect()} == {0, 9}
     assert removed_spans(docs).count() == 5
     assert made and {id(x) for x in made} == {id(x) for x in gone}
+
+
+def test_tasks_follow_the_rows(spark):
+    """Labels of a few rows are written by a few tasks, however many partitions a shuffle has."""
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        edges = C.stage(spark.range(500).select(F.col("id").alias("a"), (F.col("id") + F.when(F.col("id") % 50 < 49, 1).otherwise(0)).alias("b")), "edges")
+        cores = spark.sparkContext.defaultParallelism
+        assert C.tasks_for(edges) == cores and C.tasks_for(C.stage(spark.range(C.TASK_ROWS * cores + 1), "rows")) == cores + 1
+        labels = C.min_labels(edges)
+        assert {(r["v"], r["c"]) for r in labels.collect()} == {(v, v - v % 50) for v in range(500)}
+        assert len({f for f in labels.inputFiles()}) <= cores
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[1])
+
+
+def test_batches_to_python_are_small(spark):
+    held = spark.conf.get(C.ARROW)
+    out = C.stage(C.map_rows(spark.range(0, 5000, 1, 1), lambda cols: ((len(cols["id"]), x) for x in cols["id"]), "n long, x long"), "batches")
+    assert out.agg(F.max("n"), F.countDistinct("x")).first()[:] == (C.ARROW_ROWS, 5000) and spark.conf.get(C.ARROW) == held
+
+
+def test_sketch_of_keys_that_repeat(spark):
+    keys = spark.range(3000).select((F.col("id") % 1000 * 7919).alias("x")).union(spark.sql("select cast(null as long)"))
+    for unique in (False, True):
+        sketch = C.membership_sketch(keys, F.col("x"), unique=unique)
+        assert C.sketch_test(sketch.value, np.arange(1000) * 7919).all() and not C.sketch_test(sketch.value, np.arange(1000) * 7919 + 1).any()
+        C.release(sketch)
