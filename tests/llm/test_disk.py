@@ -81,7 +81,7 @@ def test_tasks_follow_the_rows(spark):
 
 def test_batches_to_python_are_small(spark):
     held = spark.conf.get(C.ARROW)
-    out = C.stage(C.map_rows(spark.range(0, 5000, 1, 1), lambda cols: ((len(cols["id"]), x) for x in cols["id"]), "n long, x long"), "batches")
+    out = C.stage(C.map_rows(spark.range(0, 5000, 1, 1), lambda cols: ((len(cols["id"]), x) for x in cols["id"]), "n long, x long"), "batches", 1)
     assert out.agg(F.max("n"), F.countDistinct("x")).first()[:] == (C.ARROW_ROWS, 5000) and spark.conf.get(C.ARROW) == held
 
 
